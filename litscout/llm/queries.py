@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, shard, tokens
+from . import exact_dedup, mixing, ngram_join, shard, tokens, vector_dedup
 
 QUERIES = {
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_vector_dedup": vector_dedup.op7_vector_dedup,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": shard.op10_sharding,
