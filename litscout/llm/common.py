@@ -63,18 +63,19 @@ def slices(rows: int, per_slice: int = 20_000) -> int:
     return max(1, -(-rows // per_slice))
 
 
-def spread_row_number(df: DataFrame, group: list[str], slice_col: str, order: list[Column], name: str) -> DataFrame:
-    """Row number from 0 within each group, without bringing a group together.
+def spread_row_number(df: DataFrame, group: list[str], slice_col: str, order: list[Column], name: str, value: Column | None = None) -> DataFrame:
+    """Row number from 0 (or the sum of ``value`` over earlier rows) within each group, without bringing a group together.
 
     ``slice_col`` holds a slice number that rises with the order wanted. Rows are numbered within
     (group, slice); the sizes of the earlier slices, a table of groups x slices, are added. The group
     and slice columns must not be null.
     """
-    counts = df.groupBy(*group, slice_col).agg(F.count(F.lit(1)).alias("__n"))
+    value = F.lit(1).cast("bigint") if value is None else value
+    counts = df.groupBy(*group, slice_col).agg(F.sum(value).alias("__n"))
     before = Window.partitionBy(*group).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*group, slice_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    local = Window.partitionBy(*group, slice_col).orderBy(*order)
-    numbered = df.withColumn(name, F.row_number().over(local).cast("bigint") - 1)
+    local = Window.partitionBy(*group, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = df.withColumn(name, F.coalesce(F.sum(value).over(local), F.lit(0)))
     joined = numbered.join(counts, [*group, slice_col], "left")
     return joined.withColumn(name, F.col(name) + F.col("__base")).drop("__base")
 

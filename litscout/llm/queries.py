@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, shard, tokens, vector_dedup
+from . import exact_dedup, mixing, ngram_join, packing, shard, tokens, vector_dedup
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_vector_dedup": vector_dedup.op7_vector_dedup,

@@ -2,7 +2,9 @@
 
 ``encoder(path)`` gives exactly the library's ids. For the word vocabulary white space is dropped and
 nothing is merged across it, so a text is split at white space and only words not met before go to the
-library; a worker keeps the ids of the words it met, and starts anew beyond ``MEMO`` words. Texts in
+library. Texts of plain letters, digits and marks are split into letters, digits and marks, as the library's
+splitter does it, which leaves fewer different words. A worker keeps what it met and starts anew beyond a
+fixed number of words. Texts in
 which that does not hold (special strings, U+001C to U+001F) go to the library whole.
 """
 
@@ -11,13 +13,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table, text_of
 
-MEMO = 400_000
+MOST_WORDS = 900_000
+#: Texts of letters without normal forms or odd lower case, digits, marks but the apostrophe, and white space;
+#: and what the library's splitter parts such a text into once it is in lower case.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9 \t-\r\x85\xa0!-&(-/:-@\[-`{-~]*")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: U+001C to U+001F split words for Python but not for the library; "<|" may begin a special string.
 UNEVEN = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -29,7 +36,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """ids(text) and count(text) as the library for the file gives them, without added special tokens."""
+    """ids(text), as little-endian unsigned 32-bit numbers, as the library for the file gives them, without added special tokens."""
 
     def __init__(self, path: str):
         import os
@@ -48,38 +55,44 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.whole = lambda text: model.encode(text, add_special_tokens=False).ids
-            self.many = lambda words: [x.ids for x in model.encode_batch(words, add_special_tokens=False)]
             self.by_word = splits_at_space(path)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.sizes: dict[str, int] = {}
+            if self.by_word:
+                ends = np.zeros(model.get_vocab_size(), bool)
+                ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
+                self.ends = ends
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of words that the library leaves whole, all in one call."""
+        ids = np.array(self.whole(" ".join(new)), "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1  # each ends with an id that ends a word
+        if len(stops) == len(new):
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(new, (4 * stops).tolist()):
+                self.known[word] = raw[at:stop]
+                at = stop
+        else:
+            for word in new:
+                self.known[word] = np.array(self.whole(word), "<u4").tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
+    def ids(self, text: str) -> bytes:
         if not self.by_word or UNEVEN.search(text):
-            return None
-        words, memo = text.split(), self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO and memo:
-                memo.clear()
-                self.sizes.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.many(new)):
-                memo[w] = tuple(ids)
-                self.sizes[w] = len(ids)
-        return words
-
-    def ids(self, text: str) -> list[int]:
-        words = self._words(text)
-        if words is None:
-            return self.whole(text)
-        out: list[int] = []
-        for ids in map(self.memo.__getitem__, words):
-            out += ids
-        return out
+            return np.array(self.whole(text), "<u4").tobytes()
+        plain = PLAIN.fullmatch(text)
+        words, known = PARTS.findall(text.lower()) if plain else text.split(), self.known
+        if new := set(words).difference(known):
+            if len(known) + len(new) > MOST_WORDS:
+                known.clear()
+                new = set(words)
+            if plain:
+                self._learn(list(new))
+            else:
+                for word in new:
+                    known[word] = np.array(self.whole(word), "<u4").tobytes()
+        return b"".join(map(known.__getitem__, words))
 
     def count(self, text: str) -> int:
-        words = self._words(text)
-        return len(self.whole(text)) if words is None else sum(map(self.sizes.__getitem__, words))
+        return len(self.ids(text)) // 4
 
 
 def splits_at_space(path: str) -> bool:
