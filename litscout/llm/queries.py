@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, shard, tokens, vector_dedup
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, shard, tokens, vector_dedup
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1_html_extraction,
     "op3_packing": packing.op3_packing,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_vector_dedup": vector_dedup.op7_vector_dedup,
