@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, shard, tokens, vector_dedup
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, shard, suffix_dedup, tokens, vector_dedup
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_ngram_join": ngram_join.op5_ngram_join,
