@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import stored, table, text_of
 
 #: Rows that scorers and term lists are fitted on, at most.
 SAMPLE = 12_000
@@ -140,7 +140,7 @@ def posterior(pats: np.ndarray, prior: float, tab: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least: int = 2, z: float = 3.0, steps: int = 300) -> tuple[float, dict[int, float]]:
+def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least: int = 3, z: float = 3.0, steps: int = 300) -> tuple[float, dict[int, float]]:
     """(bias, weights by hashed feature) of a logistic regression on soft targets.
 
     Weights are kept for features met in ``least`` rows whose rate differs between the classes by ``z``
@@ -170,19 +170,6 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least: int = 2, z: fl
     return float(b), dict(zip(names[use].tolist(), w.tolist()))
 
 
-def mine_terms(rows: list[np.ndarray], toxic: np.ndarray) -> dict[int, float]:
-    """Features that labelled rows show to be toxic: smoothed share of toxic rows among those with the feature over 0.75, met in 2 toxic rows."""
-    if not len(rows) or not toxic.any():
-        return {}
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    names, ids = np.unique(np.concatenate(rows), return_inverse=True)
-    bad = np.bincount(ids, toxic[owner].astype(float), len(names))
-    total = np.bincount(ids).astype(float)
-    good = (bad >= 2) & (bad / (total + 0.5) > 0.75)
-    return dict(zip(names[good].tolist(), (bad / (total + 0.5))[good].tolist()))
-
-
 def toxic_votes(feats: set[int], terms: set[int], starts: set[int], insults: set[int], label: int | None) -> tuple[int, ...]:
     """Votes of the mined words, the mined beginnings, the fixed list and the given label."""
     return (
@@ -298,31 +285,67 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         more = base.select("id").where("id IS NOT NULL").distinct().join(ids, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(2_000 - len(some)).collect()
         some = [(r.id, r.toxic) for r in some] + [(r.id, None) for r in more]
     chosen = spark.createDataFrame([tuple(r) for r in some], "id bigint, toxic int")
-    rows = base.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(_sampler, "toxic int, votes array<int>, quality array<bigint>, terms array<bigint>").limit(4 * sample).toPandas()
-    terms = [np.asarray(t, np.int64) for t in rows["terms"]]
-    given = rows["toxic"].notna().to_numpy() if len(rows) else np.zeros(0, bool)
-    known = np.flatnonzero(given)
-    mined = mine_terms([terms[i] for i in known], rows["toxic"].fillna(0).to_numpy(int)[known] == 1) if len(known) else {}
+    # ids may repeat in the documents, so the bound is set on rows too
+    rows = base.join(F.broadcast(chosen), "id").select("toxic", "text").limit(2 * sample)
+    rows = rows.mapInArrow(_sampler, "toxic int, votes array<int>, quality array<bigint>, terms array<bigint>")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    mined = _toxic_features(rows)
     insults = {hashed("w" + w) for w in INSULTS}
-    # half of the mined features by hash make each of two labellers, so that they overlap in documents, not in evidence
-    mined_words, mined_starts = {f for f in mined if f & 1}, {f for f in mined if not f & 1}
+    # each mined feature speaks to one of two labellers, by hash, so that their votes are not the same evidence
+    one, two = {f for f in mined if f & 1}, {f for f in mined if not f & 1}
     label_of = F.broadcast(chosen.where("toxic IS NOT NULL"))
-    voted = base.join(label_of, "id", "left").select("toxic", "text").mapInArrow(_vote_counter(mined_words, mined_starts, insults), "kind string, pattern string, n bigint")
+    voted = base.join(label_of, "id", "left").select("toxic", "text").mapInArrow(_vote_counter(one, two, insults), "kind string, pattern string, n bigint")
     counts: dict[str, dict[tuple[int, ...], int]] = {"q": {}, "t": {}}
     for r in voted.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect():  # at most 3**7 + 3**4 patterns
         counts[r.kind][tuple(map(int, r.pattern.split(",")))] = r.n
     q_prior, q_tab = fit_votes(counts["q"])
     t_prior, t_tab = fit_votes(counts["t"])
-    if not len(rows):
+    small = rows.mapInArrow(_patterns(one, two, insults), "row bigint, votes array<int>, toxic array<int>, quality array<bigint>").toPandas()  # some 25 numbers a row
+    if not len(small):
         return Model((-4.0, {}), (-4.0, {}), {})
-    q_target = posterior(np.array(rows["votes"].tolist(), np.int64), q_prior, q_tab)
-    t_pats = [toxic_votes(set(t.tolist()), mined_words, mined_starts, insults, int(v) if g else None) for t, v, g in zip(terms, rows["toxic"], given)]
-    t_target = posterior(np.array(t_pats, np.int64), t_prior, t_tab)
-    quality = fit_scorer([np.asarray(x, np.int64) for x in rows["quality"]], q_target)
-    toxic = fit_scorer(terms, t_target, z=4.0)
+    q_target = posterior(np.array(small["votes"].tolist(), np.int64), q_prior, q_tab)
+    t_target = posterior(np.array(small["toxic"].tolist(), np.int64), t_prior, t_tab)
+    quality = fit_scorer([np.asarray(x, np.int64) for x in small["quality"]], q_target)
+    told = _telling_features(rows, small["row"].tolist(), t_target, z=4.0)
+    toxic = fit_scorer([np.asarray(told.get(r, []), np.int64) for r in small["row"]], t_target, z=4.0)
     return Model(quality, toxic, {"quality": (q_prior, q_tab), "toxic": (t_prior, t_tab)})
 
 
+def _toxic_features(rows: DataFrame) -> set[int]:
+    """Features that labelled rows show to be toxic: in three toxic rows or more, and a smoothed share of toxic rows over 0.7."""
+    each = rows.where("toxic IS NOT NULL").select(F.explode("terms").alias("f"), "toxic")
+    counts = each.groupBy("f").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    return {r.f for r in counts.where("bad >= 3 AND bad / (n + 1.0) > 0.7").select("f").collect()}  # of a bounded sample
+
+
+def _telling_features(rows: DataFrame, names: list[int], target: np.ndarray, z: float) -> dict[int, list[int]]:
+    """Of each sample row the features whose rate differs by ``z`` standard errors between the classes; all others would get no weight."""
+    spark = rows.sparkSession
+    share = float((target.sum() + 0.5) / (len(target) + 1))
+    of = spark.createDataFrame(list(zip(names, target.tolist())), "row bigint, target double")
+    each = rows.select("row", F.explode("terms").alias("f"))
+    counts = each.join(F.broadcast(of), "row").groupBy("f").agg(F.sum("target").alias("bad"), F.count(F.lit(1)).alias("n"))
+    gap = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
+    telling = stored(counts.where((F.col("n") >= 3) & (gap > z)).select("f"))
+    found = each.join(telling, "f").groupBy("row").agg(F.collect_list("f").alias("f")).collect()  # of a bounded sample
+    return {r.row: list(r.f) for r in found}
+
+
+def _patterns(one: set[int], two: set[int], insults: set[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = [
+                toxic_votes(set(t), one, two, insults, label)
+                for t, label in zip(batch.column("terms").to_pylist(), batch.column("toxic").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("votes"), pa.array([list(t) for t in toxic], pa.list_(pa.int32())), batch.column("quality")],
+                names=["row", "votes", "toxic", "quality"],
+            )
+
+    return run
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
