@@ -20,12 +20,14 @@ def apply_changes(state: DataFrame, upserts: DataFrame, deleted: DataFrame | Non
     """INC3: state with the latest upserts, without the deleted keys.
 
     An upsert does not touch the embedding, but one whose content hash changed drops it: it is stale.
+    One that is older than the state's row changes nothing, so a batch may come again.
     """
-    new = latest(upserts, key, version)
-    if "embedding" in state.columns:
-        old = state.select(key, F.col("embedding").alias("__embedding"), F.col("content_hash").alias("__hash"))
+    extra = [F.col("embedding").alias("__embedding"), F.col("content_hash").alias("__hash")] if "embedding" in state.columns else []
+    new = latest(upserts, key, version).join(state.select(key, F.col(version).alias("__version"), *extra), key, "left")
+    new = new.where(F.col("__version").isNull() | (F.col(version) >= F.col("__version")))
+    if extra:
         kept = F.when(F.col("content_hash").eqNullSafe(F.col("__hash")), F.col("__embedding"))
-        new = new.join(old, key, "left").withColumn("embedding", kept).drop("__embedding", "__hash")
+        new = new.withColumn("embedding", kept)
     out = state.join(new.select(key), key, "left_anti").unionByName(new.select(*state.columns))
     return out if deleted is None else remove(out, deleted, key)
 

@@ -95,8 +95,8 @@ SQL = {
     "q_incremental_state": f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG} WHERE version % 2 = 0) WHERE k = 1),
         n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG} WHERE version % 2 = 1) WHERE k = 1),
         g AS (SELECT DISTINCT key FROM {LOG} WHERE version % 2 = 1 AND version % 97 = 1)
-        SELECT coalesce(n.key, b.key) AS key, coalesce(n.version, b.version) AS version, coalesce(n.event_type, b.event_type) AS event_type,
-               CASE WHEN n.key IS NULL THEN false ELSE coalesce(n.event_type <> b.event_type, true) END AS stale
+        SELECT coalesce(n.key, b.key) AS key, greatest(n.version, b.version) AS version, CASE WHEN b.key IS NULL OR n.version > b.version THEN n.event_type ELSE b.event_type END AS event_type,
+               CASE WHEN b.key IS NULL THEN true WHEN n.version > b.version THEN n.event_type <> b.event_type ELSE false END AS stale
         FROM b FULL JOIN n ON b.key = n.key WHERE coalesce(n.key, b.key) NOT IN (SELECT key FROM g)""",
     "q_recent_filter": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY",
     "q_stable_rank": "SELECT row_number() OVER (ORDER BY floor(o_totalprice / 10000) DESC, o_orderkey) AS rank, o_orderkey FROM orders ORDER BY rank LIMIT 50",

@@ -1 +1 @@
-
+"""Incremental maintenance of the library with Structured Streaming."""
