@@ -49,8 +49,10 @@ def combinations(counts: np.ndarray, window: int, most: int = MOST_COMBINATIONS)
             k = np.repeat(np.arange(len(two)), len(top))
             two = np.c_[two[k], np.tile(top, len(two))]
             two = two[two[:, 2] >= two[:, 1]]
+        if not len(two):
+            continue
         rest = window - two.sum(1)
-        ok = (rest > 0) & there[np.clip(rest, 0, window)] & (rest >= two[:, -1] if len(two) else rest > 0)
+        ok = (rest >= two[:, -1]) & there[np.clip(rest, 0, window)]
         two, rest = two[ok], rest[ok]
         found.append(np.c_[two, rest, np.zeros((len(two), 4 - depth), np.int64)].astype(np.int64))
     return np.unique(np.concatenate(found), axis=0)[:most]
