@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ASOF, DOCS
+from .queries import ASOF, CANDIDATE, DOCS, LIBRARY
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 # Unicode white space as Python's str knows it
@@ -57,8 +57,8 @@ SQL = {
         AND ({has('h', ['the ', 'de '])} AND {has('h', ['tion', 'ment'])} OR {has('h', ['die'])} AND {has('h', ['keit', 'lich'])}) AND {has('h', ['er', 'la'])}""",
     "q_topic_groups": f"""SELECT doc_id FROM (SELECT ordinal AS doc_id, row_number() OVER (PARTITION BY {strip('lower(abstract)')} ORDER BY ordinal) AS k
         FROM (SELECT *, {HAY} AS h FROM {DOCS}) WHERE NOT {has('h', ['casino'])} AND {has('h', ['of', 'des'])} AND {has('h', ['in'])} AND {strip('abstract')} <> '') WHERE k = 1""",
-    "q_library_anti": f"""SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND {strip('lower(text)')} NOT IN (SELECT {strip('lower(text)')} FROM documents WHERE doc_id % 2 = 0)
-        AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.doc_id % 2 = 0 AND l.doc_id % 20 = d.doc_id % 50)""",
+    "q_library_anti": f"""SELECT doc_id FROM documents d WHERE {CANDIDATE} AND {strip('lower(text)')} NOT IN (SELECT {strip('lower(text)')} FROM documents WHERE {LIBRARY})
+        AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.{LIBRARY} AND l.doc_id % 20 = d.doc_id % 50)""",
     "q_title_normalize": f"SELECT ordinal, {strip('title')} AS clean, lower({collapse('title')}) AS norm FROM {DOCS}",
     "q_identifier_normalize": f"""SELECT page_id, {strip('lower(u)')} AS norm, CASE WHEN lower({strip('u')}) LIKE 'http%' THEN {strip('u')} ELSE 'https://doi.org/' || {strip('u')} END AS doi_url,
         regexp_matches(u, '^(?i)https?://(dx\\.)?doi\\.org/') AS is_doi FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://doi.org/10.1/' || page_id ELSE upper(url) END AS u FROM pages)""",
@@ -78,9 +78,9 @@ SQL = {
     "q_whitelist_bonus": "SELECT conv_id, CASE WHEN bool_or(lower(role) IN ('system', ' user')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM conversations GROUP BY conv_id",
     "q_label": """SELECT event_id, s AS score, CASE WHEN s >= 0.75 THEN 'must_read' WHEN s >= 0.5 THEN 'consider' ELSE 'ignore' END AS label
         FROM (SELECT event_id, round(value * 0.01::DOUBLE + 0.25::DOUBLE * 0.5::DOUBLE, 9) AS s FROM events)""",
-    "q_top1_similarity": f"SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY a.vec_id",
+    "q_top1_similarity": f"SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM embeddings a, embeddings b WHERE a.label >= 5 AND b.label < 5 GROUP BY a.vec_id",
     "q_topk_similarity": f"""SELECT vec_id, rank, round(s, 4) AS similarity FROM (SELECT a.vec_id, {DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
-        FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) WHERE rank <= 5""",
+        FROM embeddings a, embeddings b WHERE a.label >= 5 AND b.label < 5) WHERE rank <= 5""",
     "q_centroid": """WITH m AS (SELECT pos, avg(x::DOUBLE) AS m FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY pos)
         SELECT CAST(pos AS BIGINT) AS pos, round(m / (sqrt(sum(m * m) OVER ()) + 1e-12), 6) AS x FROM m""",
     "q_l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS length2 FROM embeddings",
@@ -92,22 +92,22 @@ SQL = {
     "q_upsert_latest": f"SELECT key, version, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG}) WHERE k = 1",
     "q_tombstone": f"SELECT key, version FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG}) WHERE k = 1 AND event_type <> 'error'",
     "q_cursor_max": f"SELECT max(version) AS cursor, count(*) AS fetched, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS removed FROM {LOG}",
-    "q_incremental_state": f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG} WHERE version % 2 = 0) WHERE k = 1),
-        n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG} WHERE version % 2 = 1) WHERE k = 1),
-        g AS (SELECT DISTINCT key FROM {LOG} WHERE version % 2 = 1 AND version % 97 = 1)
+    "q_incremental_state": """WITH x AS (SELECT user_id AS key, event_id AS version, event_type, ts < TIMESTAMP '2024-01-28' AS old FROM events),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM x WHERE old) WHERE k = 1),
+        n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM x WHERE NOT old) WHERE k = 1)
         SELECT coalesce(n.key, b.key) AS key, greatest(n.version, b.version) AS version, CASE WHEN b.key IS NULL OR n.version > b.version THEN n.event_type ELSE b.event_type END AS event_type,
                CASE WHEN b.key IS NULL THEN true WHEN n.version > b.version THEN n.event_type <> b.event_type ELSE false END AS stale
-        FROM b FULL JOIN n ON b.key = n.key WHERE coalesce(n.key, b.key) NOT IN (SELECT key FROM g)""",
+        FROM b FULL JOIN n ON b.key = n.key WHERE coalesce(n.event_type, '') <> 'error'""",
     "q_recent_filter": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY",
     "q_stable_rank": "SELECT row_number() OVER (ORDER BY floor(o_totalprice / 10000) DESC, o_orderkey) AS rank, o_orderkey FROM orders ORDER BY rank LIMIT 50",
     "q_preprint_cap": "SELECT event_id FROM (" + CAP.format(order="value DESC, event_id", rows="(SELECT event_id, value, event_type IN ('view', 'click') AS pre FROM events)") + ") WHERE NOT pre OR p > was",
     "q_limit_per_query": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 10",
     "q_union_sources": f"""SELECT source, count(*) AS n, min(ordinal) AS first, max(ordinal) AS last FROM (
-        SELECT 'graph' AS source, split_part(text, chr(10), 1) AS title, doc_id AS ordinal FROM documents WHERE doc_id % 2 = 1
+        SELECT 'graph' AS source, split_part(text, chr(10), 1) AS title, doc_id AS ordinal FROM documents
         UNION ALL SELECT 'registry', {TITLE}, 1099511627776 + page_id FROM pages UNION ALL SELECT 'arxiv', text, 2199023255552 + item_id FROM benchmark) WHERE {strip('title')} <> '' GROUP BY source""",
-    "q_enrich_join": """SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND lang <> '' THEN lang WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 3 > 0 THEN lang END AS abstract,
-        CASE WHEN doc_id % 4 = 0 THEN 'http://own.example/x' WHEN doc_id % 5 = 0 AND (doc_id % 3 = 0 OR doc_id % 4 = 1) THEN 'http://page.example/y'
-             WHEN doc_id % 2 = 0 THEN 'http://resolved.example/z' WHEN doc_id % 4 = 1 THEN 'HTTPS://DX.DOI.ORG/10.1' WHEN doc_id % 4 = 2 THEN '' END AS url FROM documents""",
+    "q_enrich_join": """SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND lang <> '' THEN lang WHEN lang <> 'en' THEN source WHEN doc_id % 3 > 0 THEN lang END AS abstract,
+        CASE WHEN doc_id % 4 = 0 THEN 'http://own.example/x' WHEN lang <> 'en' AND (doc_id % 3 = 0 OR doc_id % 4 = 1) THEN 'http://page.example/y'
+             WHEN source < 'src15' THEN 'http://resolved.example/z' WHEN doc_id % 4 = 1 THEN 'HTTPS://DX.DOI.ORG/10.1' WHEN doc_id % 4 = 2 THEN '' END AS url FROM documents""",
     "q_rss_items": f"""SELECT ordinal, '<item><title>' || {xml('title')} || '</title>' || coalesce('<link>' || {xml('url')} || '</link>', '') || '<guid>' || identifier || '</guid><pubDate>'
         || {RFC.format(f"coalesce(published, TIMESTAMP '{ASOF}')")} || '</pubDate>' || coalesce('<category>' || {xml('venue')} || '</category>', '') || '<description>'
         || concat_ws(chr(10), {xml('abstract')}, 'Published: ' || coalesce(strftime(published, '%Y-%m-%dT%H:%M:%S+00:00'), 'Unknown'), 'Venue: ' || coalesce(venue, 'Unknown')) || '</description></item>' AS item FROM {RANKED}""",
@@ -116,10 +116,11 @@ SQL = {
         || coalesce('<p>' || {attr('abstract')} || '</p>', '') || '<p>Authors: ' || authors || '</p></section>' AS html, 'report-20240201.html' AS file
         FROM (SELECT *, row_number() OVER (ORDER BY score DESC, ordinal) AS rank FROM {RANKED}) WHERE rank <= 50""",
     "q_push_payload": f"""SELECT ordinal, '{{"itemType":"note","note":"Recommended due to score ' || printf('%.3f', score) || '","tags":[{{"tag":"litscout"}},{{"tag":"' || label || '"}}],"collections":["C1"]}}' AS body FROM {RANKED}""",
-    "q_watch_flagship": f"""WITH s AS (SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY a.vec_id),
-        r AS (SELECT doc_id, similarity, source = 'src1' AS pre, ts,
+    "q_watch_flagship": f"""WITH v AS (SELECT vec_id, embedding, source FROM embeddings JOIN documents ON vec_id = doc_id),
+        s AS (SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM v a, v b WHERE a.{CANDIDATE} AND b.{LIBRARY} GROUP BY a.vec_id),
+        r AS (SELECT doc_id, similarity, source = 'src3' AS pre, ts,
                      round(similarity * 0.62::DOUBLE + ({RECENCY.format('ts', ASOF)}) * 0.1::DOUBLE + (CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE ln(1 + value) END) * 0.1::DOUBLE, 6) AS score
-              FROM documents JOIN events ON event_id = 20 * doc_id JOIN s ON vec_id = doc_id WHERE doc_id % 2 = 1),
+              FROM documents JOIN events ON event_id = 20 * doc_id JOIN s ON vec_id = doc_id WHERE {CANDIDATE}),
         f AS (SELECT * FROM r WHERE ts >= TIMESTAMP '{ASOF}' - INTERVAL 30 DAY), c AS ({CAP.format(order='score DESC, doc_id', rows='f')})
         SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, similarity, score, CASE WHEN score >= 0.75 THEN 'must_read' WHEN score >= 0.5 THEN 'consider' ELSE 'ignore' END AS label
         FROM c WHERE NOT pre OR p > was ORDER BY rank LIMIT 20""",

@@ -1,7 +1,8 @@
 """The registered queries: every operator on the driver's tables, over whole tables.
 
-Roles: documents of odd id are candidates and those of even id the library; pages and benchmark are
-further sources; events is a change log and the source of dates and metrics; embeddings holds vectors.
+Roles: documents of the sources below ``src2`` in code-point order are the library, the others candidates;
+pages and benchmark are further sources; events is a change log and the source of dates and metrics;
+embeddings holds vectors, those of labels below 5 a library's.
 Each entry of ``ALL`` is (query, SQL or None), the SQL for DuckDB on the same tables.
 """
 
@@ -16,6 +17,7 @@ from ..sinks import feed, notes, report
 from ..sources import payloads
 
 ASOF = "2024-01-31 00:00:00"
+LIBRARY, CANDIDATE = "source < 'src2'", "source >= 'src2'"
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,8 +65,8 @@ def q_library_anti(s, d):
     """JN1, JN2."""
     x = t(s, d, "documents")
     key = F.col("text").alias("doi")
-    mine = x.where("doc_id % 2 = 1").select("doc_id", key, F.concat(F.lit("HTTP://X/"), (F.col("doc_id") % 50).cast("string")).alias("identifier"))
-    lib = x.where("doc_id % 2 = 0").select(key, F.concat(F.lit(" http://x/"), (F.col("doc_id") % 20).cast("string")).alias("url"))
+    mine = x.where(CANDIDATE).select("doc_id", key, F.concat(F.lit("HTTP://X/"), (F.col("doc_id") % 50).cast("string")).alias("identifier"))
+    lib = x.where(LIBRARY).select(key, F.concat(F.lit(" http://x/"), (F.col("doc_id") % 20).cast("string")).alias("url"))
     return dedupe.not_in_library(mine, lib).select("doc_id")
 
 
@@ -76,9 +78,10 @@ def q_fuzzy_dedupe(s, d):
 
 
 def q_fuzzy_library(s, d):
-    """JN3: page titles of odd id like no title of even id."""
-    x = t(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return dedupe.fuzzy_not_in_library(x.where("page_id % 2 = 1"), x.where("page_id % 2 = 0")).select("page_id")
+    """JN3: titles of plain-http pages that are like no title of an https page."""
+    x = t(s, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    safe = F.col("url").startswith("https:")
+    return dedupe.fuzzy_not_in_library(x.where(~safe), x.where(safe)).select("page_id")
 
 
 # scalars
@@ -198,8 +201,8 @@ def q_label(s, d):
 
 
 def halves(s, d):
-    x = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return x.where("id % 2 = 1"), x.where("id % 2 = 0")
+    x = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return x.where("label >= 5"), x.where("label < 5")
 
 
 def q_top1_similarity(s, d):
@@ -283,11 +286,12 @@ def q_cursor_max(s, d):
 
 
 def q_incremental_state(s, d):
-    """INC3, SNK3: half of the log as state, the other half as changes."""
-    x = changes(s, d).withColumn("content_hash", F.sha2(F.col("event_type"), 256)).withColumn("embedding", F.array(F.col("value").cast("float")))
-    half = F.col("version") % 2 == 0
-    before, after = state.latest(x.where(half)), x.where(~half)
-    gone = after.where("version % 97 = 1").select("key").distinct()
+    """INC3, SNK3: the log up to a day as state, the rest as changes; keys whose last change is an error are deleted."""
+    x = t(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), "event_type", "ts")
+    x = x.withColumn("content_hash", F.sha2(F.col("event_type"), 256)).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    old = F.col("ts") < F.lit("2024-01-28").cast("timestamp_ntz")
+    before, after = state.latest(x.where(old)), x.where(~old)
+    gone = state.latest(after).where("event_type = 'error'").select("key")
     out = state.apply_changes(before, after, gone)
     return out.select("key", "version", "event_type", F.col("embedding").isNull().alias("stale"))
 
@@ -322,7 +326,7 @@ def q_limit_per_query(s, d):
 def candidates(s, d):
     """SRC10, SET1: three sources with the candidates' columns."""
     empty = {"authors": F.array().cast("array<string>"), "doi": F.lit(None).cast("string"), "published": F.lit(None).cast("timestamp"), "metrics": F.create_map().cast("map<string,double>"), "extra": F.create_map().cast("map<string,string>")}
-    x = t(s, d, "documents").where("doc_id % 2 = 1")
+    x = t(s, d, "documents")
     a = x.select(F.lit("graph").alias("source"), F.col("doc_id").cast("string").alias("identifier"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.lit(None).cast("string").alias("url"), F.col("source").alias("venue"), F.col("doc_id").alias("pos"))
     p = t(s, d, "pages")
     b = p.select(F.lit("registry").alias("source"), F.col("url").alias("identifier"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit(None).cast("string").alias("abstract"), "url", F.lit(None).cast("string").alias("venue"), F.col("page_id").alias("pos"))
@@ -348,8 +352,8 @@ def to_enrich(s, d):
 
 def q_enrich_join(s, d):
     """JN9, FLT8, FLT11, PRJ12, S28, SRC24, SRC25."""
-    works = t(s, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("doi"), F.col("source").alias("abstract"), F.lit("http://page.example/y").alias("landing_page"))
-    found = t(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("doi"), F.lit("http://resolved.example/z").alias("resolved_url"))
+    works = t(s, d, "documents").where("lang <> 'en'").select(F.col("doc_id").cast("string").alias("doi"), F.col("source").alias("abstract"), F.lit("http://page.example/y").alias("landing_page"))
+    found = t(s, d, "documents").where("source < 'src15'").select(F.col("doc_id").cast("string").alias("doi"), F.lit("http://resolved.example/z").alias("resolved_url"))
     return enrich.enrich(to_enrich(s, d), works, found).select("doc_id", "abstract", "url")
 
 
@@ -386,10 +390,11 @@ def q_push_payload(s, d):
 
 def q_watch_flagship(s, d):
     """Similarity, recency, citations, weights, label, cap, stable top 20, over documents with vectors and dates."""
-    x = t(s, d, "documents").where("doc_id % 2 = 1").join(t(s, d, "events"), F.col("event_id") == 20 * F.col("doc_id"))
-    mine = x.select(F.col("doc_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("published"), "value", F.when(F.col("source") == "src1", "arxiv").otherwise(F.col("source")).alias("source"))
-    v = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    close = vectors.nearest(v.where("id % 2 = 1"), v.where("id % 2 = 0")).select(F.col("id").alias("ordinal"), F.round("similarity", 4).alias("similarity"))
+    docs = t(s, d, "documents")
+    x = docs.where(CANDIDATE).join(t(s, d, "events"), F.col("event_id") == 20 * F.col("doc_id"))
+    mine = x.select(F.col("doc_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("published"), "value", F.when(F.col("source") == "src3", "arxiv").otherwise(F.col("source")).alias("source"))
+    v = t(s, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "embedding", "source")
+    close = vectors.nearest(v.where(CANDIDATE), v.where(LIBRARY)).select(F.col("id").alias("ordinal"), F.round("similarity", 4).alias("similarity"))
     rows = mine.join(close, "ordinal")
     w = {"similarity": 0.62, "recency": 0.10, "citations": 0.10}
     terms = {"similarity": F.col("similarity"), "recency": scores.recency(F.col("published"), asof(), 3, 7, 30), "citations": scores.log_metric(F.col("value"))}
