@@ -13,6 +13,17 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 
+_MEMO: dict = {"owner": None, "memo": {}}
+
+
+def worker_memo(owner: str) -> dict:
+    """What a Python worker remembers between tasks. Workers outlive operators, so only one owner's memo is kept at a time."""
+    if _MEMO["owner"] != owner:
+        _MEMO["memo"].clear()
+        _MEMO.update(owner=owner, memo={})
+    return _MEMO["memo"]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
 

@@ -31,23 +31,31 @@ OUTSIDE = frozenset("nav footer aside form script style noscript template iframe
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|subscription|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|related|recommended|share|sharing|social|comments?|respond|replies|disqus|"
-    r"footer|header|masthead|login|signup|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer|gdpr|paywall|tags)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?\d*|ad(?:box|slot|unit|block|wrap\w*)|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|"
+    r"subscribe|subscription|\w*menu|\w*nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
+    r"comments?(?:list|area|form|section|thread)?|respond|replies|disqus|footer|login|signup|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer|"
+    r"gdpr|paywall|tags)(?:$|[\s_-])",
     re.I,
 )
+#: Marks a site's header, but outside an article only: inside it may hold the article's title.
+SITE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|branding)(?:$|[\s_-])", re.I)
+#: Marks what holds an article on pages without ``article`` and ``main``.
+HOLDER = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SIGMA = 1.0
+#: A container inside another counts as its own only if it says more.
+RANK = {"page": 0, "holder": 1, "main": 2, "article": 3}
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text pieces, tags, outside, container]."""
+    """Lines of a page: [text, tags, outside, container, links]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.text: list[str] = []
         self.tags = 0
+        self.links = 0
         self.open: list[tuple[str, bool, int]] = []  # name, outside, container
         self.containers: list[str] = ["page"]
         self.outside = 0
@@ -55,26 +63,31 @@ class Lines(HTMLParser):
 
     def end_line(self) -> None:
         if self.text or self.tags:
-            self.lines.append(["".join(self.text), self.tags, self.outside > 0, self.within])
-            self.text, self.tags = [], 0
+            self.lines.append(["".join(self.text), self.tags, self.outside > 0, self.within, self.links])
+            self.text, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
+        self.links += tag == "a"
         if tag in EMPTY:
             return
         names = " ".join(v for k, v in attrs if v and k in ("class", "id"))
         role = next((v for k, v in attrs if k == "role" and v), "").lower()
         out = tag in OUTSIDE or role in ROLES or any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs)
         out = out or tag == "header" and not self.within
-        out = out or bool(names) and tag not in ("html", "body", "article", "main") and MARKED.search(names) is not None
+        if names and tag not in ("html", "body", "article", "main"):
+            out = out or MARKED.search(names) is not None or not self.within and SITE.search(names) is not None
         out = out or tag == "article" and bool(self.within) and "comment" in names.lower()
-        if (tag in ("article", "main") or role == "main") and not self.containers[self.within] == "article":
-            self.containers.append("article" if tag == "article" else "main")
+        inside, kind = self.within, ""
+        if tag in ("article", "main") or role == "main":
+            kind = "article" if tag == "article" else "main"
+        elif tag in ("div", "section", "td") and not out and HOLDER.search(names):
+            kind = "holder"
+        if kind and RANK[kind] > RANK[self.containers[inside]]:
+            self.containers.append(kind)
             inside = len(self.containers) - 1
-        else:
-            inside = self.within
         self.open.append((tag, out, self.within))
         self.outside += out
         self.within = inside
@@ -126,30 +139,30 @@ def main_text(html: str) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    lines = [(" ".join(text.split()), tags, out, within) for text, tags, out, within in parser.done()]
+    lines = [(" ".join(text.split()), *rest) for text, *rest in parser.done()]
     if not any(t for t, *_ in lines):
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines]))
+    ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, *_ in lines]))
     content = ratios >= ratios.std()
     kinds = parser.containers
     weight: dict[int, int] = {}
     whole: dict[int, int] = {}
-    for (t, _, out, within), good in zip(lines, content):
+    for (t, _, out, within, _), good in zip(lines, content):
         if t and not out and within:
             weight[within] = weight.get(within, 0) + len(t) * bool(good)
             whole[within] = whole.get(within, 0) + len(t)
-    articles = [c for c in whole if kinds[c] == "article"] or list(whole)
-    if articles:
-        best = max(articles, key=lambda c: (weight[c], whole[c], -c))
-        return " ".join(t for t, _, out, within in lines if t and not out and within == best)
-    good = [i for i, (t, _, out, _) in enumerate(lines) if content[i] and t and not out]
-    if not good:
-        return " ".join(t for t, _, out, _ in lines if t and not out)
-    keep = set(good)
-    for a, b in zip(good, good[1:]):
-        if b - a <= 3:  # within one region
-            keep.update(range(a, b))
-    return " ".join(t for i, (t, _, out, _) in enumerate(lines) if i in keep and t and not out)
+    if whole:
+        top = max(RANK[kinds[c]] for c in whole)
+        best = max((c for c in whole if RANK[kinds[c]] == top), key=lambda c: (weight[c], whole[c], -c))
+        return " ".join(t for t, _, out, within, _ in lines if t and not out and within == best)
+    inside = [(t, bool(content[i]), links) for i, (t, _, out, _, links) in enumerate(lines) if t and not out]
+    good = [i for i, (_, c, _) in enumerate(inside) if c]
+    first, last = (good[0], good[-1]) if good else (0, len(inside) - 1)
+    while first > 0 and not inside[first - 1][2]:
+        first -= 1
+    while last + 1 < len(inside) and not inside[last + 1][2]:
+        last += 1
+    return " ".join(t for t, _, _ in inside[first : last + 1])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,13 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import by_group, dealt, in_batches, roots_of
-from .common import SPACE_RUN, components, digest, stored, table, text_of
+from .common import SPACE_RUN, components, digest, stored, table, text_of, worker_memo
 
 N_WORDS, THRESHOLD = 5, (4, 5)
 RECALL, MOST_HASHES = 0.9995, 128
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16_000_000
-MEMO = 1_000_000
-_MEMO: dict[str, int] = {}
+MEMO = 200_000
 NO_ID = 2**63 - 1
 
 
@@ -62,7 +61,7 @@ def shingles(text: str, n: int = N_WORDS) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    memo = _MEMO
+    memo = worker_memo("words")
     new = [w for w in set(words) if w not in memo]
     if new:
         if len(memo) + len(new) > MEMO:
@@ -233,3 +232,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP5 = r"""
+WITH RECURSIVE n AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+node AS (SELECT array_to_string(w, ' ') AS k, min(doc_id) AS id, count(*) AS copies, any_value(w) AS w FROM n GROUP BY array_to_string(w, ' ')),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM node WHERE len(w) > 0)),
+c AS (SELECT id, count(*) AS c FROM s GROUP BY id),
+m AS (SELECT a.id AS x, b.id AS y, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+p AS (SELECT x, y FROM m JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y WHERE 9 * met >= 4 * (cx.c + cy.c)),
+r AS (SELECT id AS x, id AS y FROM node UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS links FROM p GROUP BY x)
+SELECT n.doc_id, k.class_id, coalesce(l.links, 0) AS n_links, node.copies, n.doc_id = k.class_id AS kept
+FROM n JOIN node ON node.k = array_to_string(n.w, ' ') JOIN k ON k.x = node.id LEFT JOIN l ON l.x = node.id
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_ngram_join": ngram_join.ORACLE_OP5,
     "op6_exact_dedup": exact_dedup.ORACLE_OP6,
+    "op7_vector_dedup": vector_dedup.ORACLE_OP7,
     "op9_mixing": mixing.ORACLE_OP9,
 }

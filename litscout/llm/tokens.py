@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_of
+from .common import shared_dir, table, text_of, worker_memo
 
 MOST_WORDS = 900_000
 #: Texts of letters without normal forms or odd lower case, digits, marks but the apostrophe, and white space;
@@ -60,20 +60,24 @@ class Encoder:
                 ends = np.zeros(model.get_vocab_size(), bool)
                 ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
                 self.ends = ends
-        self.known: dict[str, bytes] = {}
+        self.path = path
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        return worker_memo(f"ids {self.path}")
 
     def _learn(self, new: list[str]) -> None:
         """Adds the ids of words that the library leaves whole, all in one call."""
-        ids = np.array(self.whole(" ".join(new)), "<u4")
+        ids, known = np.array(self.whole(" ".join(new)), "<u4"), self.known
         stops = np.flatnonzero(self.ends[ids]) + 1  # each ends with an id that ends a word
         if len(stops) == len(new):
             raw, at = ids.tobytes(), 0
             for word, stop in zip(new, (4 * stops).tolist()):
-                self.known[word] = raw[at:stop]
+                known[word] = raw[at:stop]
                 at = stop
         else:
             for word in new:
-                self.known[word] = np.array(self.whole(word), "<u4").tobytes()
+                known[word] = np.array(self.whole(word), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or UNEVEN.search(text):

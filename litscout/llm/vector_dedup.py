@@ -227,3 +227,12 @@ def vector_dedup(
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_OP7 = """
+WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a, embeddings b
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.x = e.vec_id) AS n_links, k.component_id, e.vec_id = k.component_id AS kept
+FROM embeddings e JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) k ON k.x = e.vec_id
+"""

@@ -40,6 +40,9 @@ EDGE_IDS = [None, 1, 2, 3, None, 5, 5, 7, 8, 9, 9, 11]
         ("<main><p>real text here</p><section class='reader-comments'><p>me too</p></section><aside>side</aside><p>end</p></main>", "real text here end"),
         ("<article><p>one<div id=cookie-notice>ok?</div><form><input><button>go</button></form><p>two", "one two"),
         ("<body><div class='menu'>a b c</div><div><p>" + "long text of the page. " * 8 + "</p></div></body>", " ".join(["long text of the page."] * 8)),
+        ("<body><h1>Head</h1><p>" + "many words stand here. " * 9 + "</p><p>End.</p><p><a href=x>next</a> <a href=y>last</a></p></body>", "Head " + " ".join(["many words stand here."] * 9) + " End."),
+        ("<div class='site-header'><h1>Site</h1></div><div id='content'><h1>T</h1><p>x</p><ol class='commentlist'><li>c</li></ol></div><div>unmarked</div>", "T x"),
+        ("<main><div class='post-header'><h1>T</h1></div><p>body</p><div class='cookiebar'>ok</div></main>", "T body"),
         ("<article><p>1 &lt; 2 &#8364; &am</p></article", "1 < 2 € &am"),
         ("<article><p>load and address download padding</p><div class='loader'>kept</div></article>", "load and address download padding kept"),
     ],
