@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return level.select("source_key", "source_null", "source_size", target.alias("target"))
 
 
-def mix_rows(rows: DataFrame, seed: str = SEED, per_slice: int = 20_000) -> DataFrame:
+def mix_rows(rows: DataFrame, seed: str = SEED, per_slice: int = 4_000) -> DataFrame:
     """``rows`` (doc_id, h, size, weight, source_key, source_null) with source_size, target and taken."""
     rows = stored(rows)
     sums = rows.groupBy("source_key", "source_null").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
