@@ -23,13 +23,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import stored, table, text_of, worker_memo
 
 #: Rows that scorers and term lists are fitted on, at most.
 SAMPLE = 12_000
@@ -37,26 +39,29 @@ SAMPLE = 12_000
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "pathetic", "worthless", "disgusting", "scum", "loser", "losers", "clown", "imbecile")
 BAD, FINE, ABSTAIN = 1, 0, -1
 WORD = re.compile(r"\w+")
-MARKS = re.compile(r"[^\w\s]")
-ENDINGS = re.compile(r"\w[^\w\s]{2,}(?=\s|$)")
+SPACE, MARK, LETTER = 0, 1, 2
+#: Of each byte of UTF-8; bytes beyond ASCII count as letters.
+KINDS = np.array([SPACE if chr(b).isspace() and b < 128 else LETTER if b > 127 or chr(b).isalnum() or b == 95 else MARK for b in range(256)], np.uint8)
 
 
 def measures(text: str) -> tuple[float, ...]:
-    """Symbols per character, separators per word, distinct words per word, words with mark endings, mean word length, most frequent word's share, neighbours repeated, words."""
+    """ASCII marks per character, separators per word, distinct words per word, runs of two or three marks behind letters per word, bytes per word, most frequent word's share, neighbours repeated, words."""
     words = text.split()
     n = len(words)
     if not n:
         return (0.0,) * 8
     top = Counter(words)
     pipes = top.get("|", 0) + top.get("•", 0) + top.get("»", 0)
-    again = sum(map(str.__eq__, words, words[1:]))
-    letters = len(text) - text.count(" ") - text.count("\n")
+    again = sum(map(eq, words, islice(words, 1, None)))
+    kind = KINDS[np.frombuffer(text.encode(), np.uint8)]
+    mark = kind == MARK
+    endings = np.count_nonzero(mark[1:-2] & mark[2:-1] & (kind[:-3] == LETTER) & (kind[3:] != LETTER)) if len(kind) > 3 else 0
     return (
-        len(MARKS.findall(text)) / max(1, len(text)),
+        np.count_nonzero(mark) / max(1, len(text)),
         pipes / n,
         len(top) / n,
-        len(ENDINGS.findall(text)) / n,
-        letters / n,
+        endings / n,
+        np.count_nonzero(kind != SPACE) / n,
         max(top.values()) / n,
         again / n,
         float(n),
@@ -101,14 +106,20 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+_STARTS: dict[str, tuple[int, ...]] = {}
+
+
 def term_features(word: str) -> tuple[int, ...]:
     """A word's hashed features: itself and, for longer words, its first four and five characters."""
-    out = [hashed("w" + word)]
-    if len(word) > 5:
-        out.append(hashed("5" + word[:5]))
-    if len(word) > 4:
-        out.append(hashed("4" + word[:4]))
-    return tuple(out)
+    if len(word) < 5:
+        return (hashed("w" + word),)
+    start = word[:5] if len(word) > 5 else word[:4]
+    known = _STARTS.get(start)
+    if known is None:
+        if len(_STARTS) > 50_000:
+            _STARTS.clear()
+        known = _STARTS[start] = (hashed("5" + start), hashed("4" + start[:4])) if len(start) == 5 else (hashed("4" + start),)
+    return (hashed("w" + word), *known)
 
 
 def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -162,7 +173,7 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, least: int = 3, z: fl
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(owner, w[ids], len(rows)), -30, 30)))
         e = p - target
-        g = np.bincount(ids, e[owner], len(w)) + 0.02 * w
+        g = np.bincount(ids, e[owner], len(w)) + 0.1 * w
         g2 += g * g
         b2 += e.sum() ** 2
         w -= 0.5 * g / np.sqrt(g2)
@@ -182,10 +193,10 @@ def toxic_votes(feats: set[int], terms: set[int], starts: set[int], insults: set
 
 def _vote_counter(terms: set[int], starts: set[int], insults: set[int]):
     """Counts of vote patterns in this task's documents."""
-    words = _Words(terms, starts, insults)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        words = _Words(terms, starts, insults)
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
                 text = text.as_py()
@@ -202,7 +213,8 @@ class _Words:
     """Which labellers a word speaks to, remembered per word."""
 
     def __init__(self, terms: set[int], starts: set[int], insults: set[int]):
-        self.sets, self.memo = (terms, starts, insults), {}
+        self.sets, self.memo = (terms, starts, insults), worker_memo("votes")
+        self.memo.clear()
 
     def votes(self, text: str, label: int | None) -> tuple[int, ...]:
         flags = 0
@@ -210,9 +222,11 @@ class _Words:
         for w in words_of(text):
             f = memo.get(w)
             if f is None:
-                feats = set(term_features(w))
-                f = sum(1 << i for i, s in enumerate(self.sets) if feats & s)
-                if len(memo) > 500_000:
+                one, two, three = self.sets
+                f = 0
+                for x in term_features(w):
+                    f |= (x in one) | (x in two) << 1 | (x in three) << 2
+                if len(memo) > 150_000:
                     memo.clear()
                 memo[w] = f
             flags |= f
@@ -234,8 +248,8 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             quality.append(sorted({hashed(x) for x in quality_features(m)}))
             terms.append(sorted({f for w in words_of(text) for f in term_features(w)}))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(votes, pa.list_(pa.int32())), pa.array(quality, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))],
-            names=["toxic", "votes", "quality", "terms"],
+            [batch.column("h"), batch.column("toxic"), pa.array(votes, pa.list_(pa.int32())), pa.array(quality, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))],
+            names=["h", "toxic", "votes", "quality", "terms"],
         )
 
 
@@ -248,22 +262,23 @@ class Model:
     def scorer(self):
         q_bias, q_weights = self.quality
         t_bias, t_weights = self.toxic
-        memo: dict[str, float] = {}
+        memo: dict[str, tuple[int, ...]] = worker_memo("scores")
+        memo.clear()
 
         def score(text: str) -> tuple[float, float]:
             m = measures(text)
-            q = q_bias + sum(q_weights.get(hashed(x), 0.0) for x in set(quality_features(m)))
+            q = q_bias + sum(q_weights.get(hashed(x), 0.0) for x in dict.fromkeys(quality_features(m)))
             feats: set[int] = set()
             for w in words_of(text):
                 f = memo.get(w)
                 if f is None:
-                    f = tuple(x for x in term_features(w) if x in t_weights)
-                    if len(memo) > 500_000:
+                    f = tuple([x for x in term_features(w) if x in t_weights])
+                    if len(memo) > 150_000:
                         memo.clear()
                     memo[w] = f
                 if f:
                     feats.update(f)
-            t = t_bias + sum(t_weights[x] for x in feats)
+            t = t_bias + sum(t_weights[x] for x in sorted(feats))
             one = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
             return (1.0 if not m[7] else one(q)), one(t)
 
@@ -285,10 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         more = base.select("id").where("id IS NOT NULL").distinct().join(ids, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(2_000 - len(some)).collect()
         some = [(r.id, r.toxic) for r in some] + [(r.id, None) for r in more]
     chosen = spark.createDataFrame([tuple(r) for r in some], "id bigint, toxic int")
-    # ids may repeat in the documents, so the bound is set on rows too
-    rows = base.join(F.broadcast(chosen), "id").select("toxic", "text").limit(2 * sample)
-    rows = rows.mapInArrow(_sampler, "toxic int, votes array<int>, quality array<bigint>, terms array<bigint>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    # copies count once, with their most frequent label; else a hot text's words would stand for its class
+    rows = base.join(F.broadcast(chosen), "id").groupBy(F.md5("text").alias("h"))
+    rows = rows.agg(F.round(F.avg("toxic")).cast("int").alias("toxic"), F.first("text").alias("text"))
+    rows = stored(rows.mapInArrow(_sampler, "h string, toxic int, votes array<int>, quality array<bigint>, terms array<bigint>"))
     mined = _toxic_features(rows)
     insults = {hashed("w" + w) for w in INSULTS}
     # each mined feature speaks to one of two labellers, by hash, so that their votes are not the same evidence
@@ -300,14 +315,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         counts[r.kind][tuple(map(int, r.pattern.split(",")))] = r.n
     q_prior, q_tab = fit_votes(counts["q"])
     t_prior, t_tab = fit_votes(counts["t"])
-    small = rows.mapInArrow(_patterns(one, two, insults), "row bigint, votes array<int>, toxic array<int>, quality array<bigint>").toPandas()  # some 25 numbers a row
+    small = rows.mapInArrow(_patterns(one, two, insults), "h string, votes array<int>, toxic array<int>, quality array<bigint>")
+    small = small.toPandas().sort_values("h")  # some 25 numbers a row; in one order, so that sums agree between runs
     if not len(small):
         return Model((-4.0, {}), (-4.0, {}), {})
     q_target = posterior(np.array(small["votes"].tolist(), np.int64), q_prior, q_tab)
     t_target = posterior(np.array(small["toxic"].tolist(), np.int64), t_prior, t_tab)
     quality = fit_scorer([np.asarray(x, np.int64) for x in small["quality"]], q_target)
-    told = _telling_features(rows, small["row"].tolist(), t_target, z=4.0)
-    toxic = fit_scorer([np.asarray(told.get(r, []), np.int64) for r in small["row"]], t_target, z=4.0)
+    told = _telling_features(rows, small["h"].tolist(), t_target, z=4.0)
+    toxic = fit_scorer([np.asarray(sorted(told.get(h, [])), np.int64) for h in small["h"]], t_target, z=4.0)
     return Model(quality, toxic, {"quality": (q_prior, q_tab), "toxic": (t_prior, t_tab)})
 
 
@@ -318,17 +334,17 @@ def _toxic_features(rows: DataFrame) -> set[int]:
     return {r.f for r in counts.where("bad >= 3 AND bad / (n + 1.0) > 0.7").select("f").collect()}  # of a bounded sample
 
 
-def _telling_features(rows: DataFrame, names: list[int], target: np.ndarray, z: float) -> dict[int, list[int]]:
+def _telling_features(rows: DataFrame, names: list[str], target: np.ndarray, z: float) -> dict[str, list[int]]:
     """Of each sample row the features whose rate differs by ``z`` standard errors between the classes; all others would get no weight."""
     spark = rows.sparkSession
     share = float((target.sum() + 0.5) / (len(target) + 1))
-    of = spark.createDataFrame(list(zip(names, target.tolist())), "row bigint, target double")
-    each = rows.select("row", F.explode("terms").alias("f"))
-    counts = each.join(F.broadcast(of), "row").groupBy("f").agg(F.sum("target").alias("bad"), F.count(F.lit(1)).alias("n"))
+    of = spark.createDataFrame(list(zip(names, target.tolist())), "h string, target double")
+    each = rows.select("h", F.explode("terms").alias("f"))
+    counts = each.join(F.broadcast(of), "h").groupBy("f").agg(F.round(F.sum("target"), 6).alias("bad"), F.count(F.lit(1)).alias("n"))
     gap = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
     telling = stored(counts.where((F.col("n") >= 3) & (gap > z)).select("f"))
-    found = each.join(telling, "f").groupBy("row").agg(F.collect_list("f").alias("f")).collect()  # of a bounded sample
-    return {r.row: list(r.f) for r in found}
+    found = each.join(telling, "f").groupBy("h").agg(F.collect_list("f").alias("f")).collect()  # of a bounded sample
+    return {r.h: list(r.f) for r in found}
 
 
 def _patterns(one: set[int], two: set[int], insults: set[int]):
@@ -339,8 +355,8 @@ def _patterns(one: set[int], two: set[int], insults: set[int]):
                 for t, label in zip(batch.column("terms").to_pylist(), batch.column("toxic").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("votes"), pa.array([list(t) for t in toxic], pa.list_(pa.int32())), batch.column("quality")],
-                names=["row", "votes", "toxic", "quality"],
+                [batch.column("h"), batch.column("votes"), pa.array([list(t) for t in toxic], pa.list_(pa.int32())), batch.column("quality")],
+                names=["h", "votes", "toxic", "quality"],
             )
 
     return run
