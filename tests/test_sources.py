@@ -7,8 +7,9 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 
 from litscout.config import Library, Settings, build, expand, load_settings
+from litscout.functions.embed import HashingEmbedder, embed
 from litscout.schema import CANDIDATES
-from litscout.sources import files, payloads
+from litscout.sources import fetch, files, lookups, payloads
 from litscout.sources.datasource import LibrarySource, WorksSource
 from litscout.sources.http import Client, Response, next_link, offset_pages
 
@@ -138,6 +139,10 @@ def server():
                 body = [{"key": "b", "version": 2}] if "page" in q else [{"key": "a", "version": 1}]
                 if "page" not in q:
                     headers["Link"] = f'<http://127.0.0.1:{self.server.server_port}/items?page=2>; rel="next"'
+            elif self.path.startswith("/doi"):
+                body = {"abstract_inverted_index": {"found": [0]}, "primary_location": {"landing_page_url": "http://page"}}
+            elif "query" in q or "from-created-date" in str(q.get("filter")):
+                body = {"message": {"items": [{"title": ["R"], "DOI": "10.9", "container-title": ["own"]}]}}
             elif q.get("search") == ["bad"]:
                 self.send_response(404)
                 self.end_headers()
@@ -182,3 +187,37 @@ def test_settings(tmp_path, monkeypatch):
     assert expand("$NOT_SET_AT_ALL") == "$NOT_SET_AT_ALL"
     with pytest.raises(ValueError):
         build(Library, {"mode": "zzz"})
+
+
+def test_fetch_all(spark, server, tmp_path):
+    s = Settings()
+    s.sources.queries, s.sources.tracked_venues, s.sources.unified.enabled = ["x", "bad"], ["Tracked"], False
+    snap, now = files.Snapshot(spark, str(tmp_path / "snap")), datetime(2024, 1, 31)
+    got = fetch.fetch_all(spark, fetch.Endpoints(graph=server, registry=server), s, snap, now).orderBy("ordinal").collect()
+    assert [(r.source, r.identifier, r.venue) for r in got] == [("graph", "x0", None), ("graph", "x1", None), ("graph", "x2", None), ("registry", "10.9", "own")]
+    s.sources.exclude_keywords = ["own"]  # a fresh snapshot is filtered with the current terms
+    again = fetch.fetch_all(spark, fetch.Endpoints(), s, snap, now + timedelta(hours=1))
+    assert again.count() == 3
+    assert fetch.tracked_venues(["b", " ", "a"], ["a", "c"]) == ["b", "a", "c"]
+    found, extra = fetch.scan(spark, fetch.Endpoints(registry=server), s, now, [])
+    assert [f.name for f in found] == ["registry"] and extra.first().venue == "Tracked"
+
+
+def test_feed_file(spark, tmp_path):
+    (tmp_path / "f.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>i1</id><title> T </title><author><name>A</name></author><link href="http://l"/><published>2024-01-01T00:00:00Z</published></entry></feed>')
+    r = fetch.read_feed(spark, str(tmp_path / "f.xml")).first()
+    assert (r.identifier, r.title, r.authors, r.url, r.published) == ("i1", "T", ["A"], "http://l", datetime(2024, 1, 1))
+
+
+def test_lookups(spark, server):
+    df = spark.createDataFrame([("10.1",), ("10.1",), ("",), (None,)], "doi string")
+    (r,) = lookups.works_by_doi(df, f"{server}/doi", tasks=1).collect()
+    assert (r.doi, r.abstract, r.landing_page) == ("10.1", "found", "http://page")
+    url = spark.createDataFrame([(f"{server}/doi/x",)], "doi string")
+    assert lookups.resolve(url, tasks=1).first().resolved_url == f"{server}/doi/x"
+
+
+def test_embed(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, None)], "i int, text string")
+    got = {r.i: r.embedding for r in embed(df, HashingEmbedder(8)).collect()}
+    assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and got[3] == [0.0] * 8
