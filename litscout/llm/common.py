@@ -42,15 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches to Python workers hold 4 MB at most: by default they hold 10,000 texts or 64 MB, which idle workers keep."""
+    if int(spark.conf.get(BATCH_BYTES, "64m").lower().rstrip("b").replace("m", "000000")) > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    bound_batches(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
