@@ -71,6 +71,8 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     * pairs whose score comes from spelling differ in at most 2/9 of their length in edits, of which each
       destroys three trigrams at most: they share one of the rarest trigrams, as many as that leaves. Titles
       too short for that bound are compared with those of similar length.
+
+    The bounds hold for thresholds of 0.9 and more.
     """
     a, b = stored(_features(left)), stored(_features(right))
     wa, wb = _rarest(a, b, "words")
@@ -85,7 +87,7 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
 
     found = [posts(wa, within, "t").join(posts(wb, every, "u"), "key"), posts(wa, every, "t").join(posts(wb, within, "u"), "key")]
     ga, gb = _rarest(a, b, "grams")
-    spare = F.expr("greatest(size(keys) - 3 * cast(floor(2 * size / 9.0) AS int), 0)")
+    spare = F.expr("greatest(size(keys) - 3 * cast(floor(2 * size / 9.0) AS int) - 2, 0)")
     prefix = F.expr("slice(transform(keys, x -> x.key), 1, size(keys) - spare + 1)")
     ga, gb = ga.withColumn("spare", spare), gb.withColumn("spare", spare)
     found.append(posts(ga.where("spare > 0"), prefix, "t").join(posts(gb, F.expr("transform(keys, x -> x.key)"), "u"), "key"))
@@ -93,7 +95,14 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     short = ga.where("spare = 0").select("t", F.explode(F.expr("sequence(cast(floor(size * 9 / 11.0) AS int), cast(ceil(size * 11 / 9.0) AS int))")).alias("length"))
     pairs = pairs.union(short.join(gb.select(F.col("t").alias("u"), F.col("size").alias("length")), "length").select("t", "u"))
     pairs = pairs.where("t <> u").distinct()
-    return pairs.where(title_score("t", "u") >= threshold)
+    # the same two bounds on the pair itself, in the JVM, before the exact score
+    sides = [d.select(F.col("t").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("words", "grams", "size")]) for d, name in ((a, "t"), (b, "u"))]
+    pairs = pairs.join(sides[0], "t").join(sides[1], "u")
+    shared = F.length(F.array_join(F.array_intersect("words_t", "words_u"), " "))
+    by_words = shared >= 0.75 * F.least("size_t", "size_u") - 1
+    edits = F.floor((F.col("size_t") + F.col("size_u")) / 10)
+    by_grams = F.size(F.array_intersect("grams_t", "grams_u")) >= F.greatest(F.size("grams_t"), F.size("grams_u")) - 3 * edits - 2
+    return pairs.where(by_words | by_grams).select("t", "u").where(title_score("t", "u") >= threshold)
 
 
 def fuzzy_not_in_library(candidates: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
