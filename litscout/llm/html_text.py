@@ -5,8 +5,11 @@ Block elements end lines. For every line the ratio of its characters to its tags
 ratios are smoothed with a Gaussian along the page, and lines above the threshold, one standard deviation,
 cluster into content regions. The regions choose the container: the ``article`` (else ``main``) that
 holds most of their text; of it, every line counts, short ones too, but for parts that their element,
-class, id or role marks as menu, header, footer, sidebar, notice, advert, form or comments. On pages
-without such a container the regions are the text, with the lines between lines of one region.
+role or whole class or id name marks as menu, header, footer, sidebar, notice, advert, form or comments.
+Ids of headings, paragraphs and inline elements mark nothing, those of sections only where they name an
+advert, share bar or comments. Where such a word is but a part of a block's name (``related-work``), the block is
+doubtful: it is left out if links hold over half of its characters, or if it has links and no line in a
+cluster; outside of a container also if less than half of its characters are in clusters. On pages without such a container the regions are the text, with the lines between lines of one region.
 
 Character references are decoded; white space becomes one space; lines are joined by one space. Null
 html is empty and gives an empty text, as does a page without content. Null ids and repeated rows are
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,13 +34,40 @@ from .common import table, text_of
 OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg math canvas button select textarea input label dialog menu head title audio video map".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?\d*|ad(?:box|slot|unit|block|wrap\w*)|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|"
-    r"subscribe|subscription|\w*menu|\w*nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
-    r"comments?(?:list|area|form|section|thread)?|respond|replies|disqus|footer|login|signup|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer|"
-    r"gdpr|paywall|tags)(?:$|[\s_-])",
-    re.I,
+#: Words that mark an advert, a notice of the site, a share bar or comments wherever they are a whole class or id.
+STRONG = (
+    r"ads?\d*|ad(?:box|slot|unit|block|wrap\w*)|advert(?:s|isements?)?|adsense|cookie(?!s)\w*|gdpr|newsletter|share|"
+    r"comments?(?:list|area|form|section|thread)?|respond|disqus|paywall|popup|modal"
 )
+#: Words that mark such parts and menus as a class, but stand in slugs of an article's sections too.
+WEAK = (
+    r"advert\w*|sponsor\w*|promo\w*|banner|cookies|consent|notice\w*|alert|subscribe|\w*menu|\w*nav|navbar|navigation|breadcrumbs?|sidebar|aside|widget|"
+    r"replies|footer|login|signup|toolbar|pagination|pager|copyright|disclaimer"
+)
+#: Words that are doubtful even alone.
+VAGUE = r"side|related|recommended|sharing|social|subscription|search|skip|legal|tags"
+#: Words beside them that leave a name a part's whole name: ``reader-comments``, but not ``side-effects``.
+PLAIN = (
+    r"box|bar|block|slot|unit|wrap|wrapper|container|section|area|list|items?|links?|buttons?|btns?|form|panel|text|title|heading|head|header|inner|outer|body|"
+    r"content|top|bottom|left|right|reader|user|site|page|main|posts?|articles?|entry|entries|story|stories|icons?|tools?|message|thread|overlay|label|count|this|row|\d+"
+)
+
+
+def _whole(words: str, before: str) -> re.Pattern:
+    rest = f"{STRONG}|{WEAK}|{VAGUE}|{PLAIN}"
+    return re.compile(rf"(?!(?:content|main|page)[_-]+side)(?:(?:{before})[_-]+)*(?:{words})(?:[_-]+(?:{rest}))*", re.I)
+
+
+WHOLE_STRONG = _whole(STRONG, f"{VAGUE}|{PLAIN}")
+WHOLE = _whole(f"{STRONG}|{WEAK}", f"{VAGUE}|{PLAIN}")
+WHOLE_VAGUE = _whole(VAGUE, PLAIN)
+#: A word anywhere in a name: a doubtful part, about which its links and the clusters decide.
+MARKED = re.compile(rf"(?:^|[\s_-])(?:{STRONG}|{WEAK}|{VAGUE})(?:$|[\s_-])", re.I)
+COMMENT = re.compile(rf"(?:(?:{PLAIN}|div)[_-]+)*(?:comments?|repl(?:y|ies))(?:[_-]+(?:{PLAIN}))*", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose id is an anchor or a slug of the article's words.
+NAMED = HEADINGS | INLINE | {"p", "section"}
+SURE, DOUBTFUL = 2, 1
 #: Marks a site's header, but outside an article only: inside it may hold the article's title.
 SITE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|branding)(?:$|[\s_-])", re.I)
 #: Marks what holds an article on pages without ``article`` and ``main``.
@@ -47,8 +78,19 @@ SIGMA = 1.0
 RANK = {"page": 0, "holder": 1, "main": 2, "article": 3}
 
 
+@lru_cache(4096)
+def marked(tag: str, classes: str, ident: str) -> int:
+    """Whether an element's names mark it: ``SURE`` for a part's whole name, ``DOUBTFUL`` for a word in a name, else 0."""
+    tokens, ident = classes.split(), ident.strip()
+    if tag in HEADINGS or tag in INLINE:
+        return SURE * any(map(WHOLE_STRONG.fullmatch, tokens))
+    if any(map(WHOLE.fullmatch, tokens)) or tag != "p" and WHOLE_STRONG.fullmatch(ident):
+        return SURE
+    return DOUBTFUL * (any(map(WHOLE_VAGUE.fullmatch, tokens)) or tag not in NAMED and MARKED.search(f"{classes} {ident}") is not None)
+
+
 class Lines(HTMLParser):
-    """Lines of a page: [text, tags, outside, container, links]."""
+    """Lines of a page: [text, tags, container, links, characters in links, doubtful part]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -56,15 +98,27 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.links = 0
-        self.open: list[tuple[str, bool, int]] = []  # name, outside, container
+        self.linked = 0
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, outside, link, container and doubtful part around it
         self.containers: list[str] = ["page"]
         self.outside = 0
+        self.anchors = 0
         self.within = 0
+        self.doubt = 0
+        self.doubts = 0
 
     def end_line(self) -> None:
         if self.text or self.tags:
-            self.lines.append(["".join(self.text), self.tags, self.outside > 0, self.within, self.links])
-            self.text, self.tags, self.links = [], 0, 0
+            self.lines.append(["".join(self.text), self.tags, self.within, self.links, self.linked, self.doubt])
+            self.text, self.tags, self.links, self.linked = [], 0, 0, 0
+
+    def shut(self, k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for _, out, link, _, _ in self.open[k:]:
+            self.outside -= out
+            self.anchors -= link
+        self.within, self.doubt = self.open[k][3:]
+        del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -73,23 +127,32 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         if tag in EMPTY:
             return
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id"))
+        classes, ident = (next((v for k, v in attrs if k == name and v), "") for name in ("class", "id"))
+        names = f"{classes} {ident}".strip()
         role = next((v for k, v in attrs if k == "role" and v), "").lower()
         out = tag in OUTSIDE or role in ROLES or any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs)
         out = out or tag == "header" and not self.within
+        mark = 0
         if names and tag not in ("html", "body", "article", "main"):
-            out = out or MARKED.search(names) is not None or not self.within and SITE.search(names) is not None
-        out = out or tag == "article" and bool(self.within) and "comment" in names.lower()
+            mark = marked(tag, classes, ident)
+            out = out or mark == SURE or not self.within and SITE.search(names) is not None
+        out = out or tag == "article" and bool(self.within) and any(map(COMMENT.fullmatch, names.split()))
         inside, kind = self.within, ""
         if tag in ("article", "main") or role == "main":
             kind = "article" if tag == "article" else "main"
         elif tag in ("div", "section", "td") and not out and HOLDER.search(names):
             kind = "holder"
+        link = tag == "a" and any(k == "href" for k, _ in attrs)
+        self.open.append((tag, out, link, self.within, self.doubt))
         if kind and RANK[kind] > RANK[self.containers[inside]]:
             self.containers.append(kind)
             inside = len(self.containers) - 1
-        self.open.append((tag, out, self.within))
+            self.doubt = 0  # what is around a container says nothing about it
+        elif mark == DOUBTFUL and not out:
+            self.doubts += 1
+            self.doubt = self.doubts
         self.outside += out
+        self.anchors += link
         self.within = inside
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -104,10 +167,7 @@ class Lines(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                for _, out, _ in self.open[k:]:
-                    self.outside -= out
-                self.within = self.open[k][2]
-                del self.open[k:]
+                self.shut(k)
                 break
             if name in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
                 break  # a stray end tag closes nothing beyond the article
@@ -115,6 +175,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.outside:
             self.text.append(data)
+            if self.anchors:
+                self.linked += len(data.strip())
         elif data.strip():
             self.text.append(" ")
 
@@ -133,6 +195,22 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, r, mode="edge"), k / k.sum(), "valid")
 
 
+def doubtful_menus(lines: list[tuple], content: np.ndarray) -> set[int]:
+    """The doubtful parts that are no text: links hold over half of their characters, or they have links and no line in a cluster.
+
+    Outside of containers most of a doubtful part's characters must be in clusters as well.
+    """
+    parts: dict[int, list[int]] = {}
+    for (t, _, within, links, linked, doubt), good in zip(lines, content):
+        if doubt and t:
+            p = parts.setdefault(doubt, [0, 0, 0, 0, within])
+            p[0] += len(t)
+            p[1] += linked
+            p[2] += links
+            p[3] += len(t) * bool(good)
+    return {d for d, (size, linked, links, good, within) in parts.items() if 2 * linked > size or links and not good or not within and 2 * good < size}
+
+
 def main_text(html: str) -> str:
     """The main text of a page."""
     if not html:
@@ -144,18 +222,20 @@ def main_text(html: str) -> str:
         return ""
     ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, *_ in lines]))
     content = ratios >= ratios.std()
+    menus = doubtful_menus(lines, content)
+    lines = [("" if doubt in menus else t, within, links) for t, _, within, links, _, doubt in lines]
     kinds = parser.containers
     weight: dict[int, int] = {}
     whole: dict[int, int] = {}
-    for (t, _, out, within, _), good in zip(lines, content):
-        if t and not out and within:
+    for (t, within, _), good in zip(lines, content):
+        if t and within:
             weight[within] = weight.get(within, 0) + len(t) * bool(good)
             whole[within] = whole.get(within, 0) + len(t)
     if whole:
         top = max(RANK[kinds[c]] for c in whole)
         best = max((c for c in whole if RANK[kinds[c]] == top), key=lambda c: (weight[c], whole[c], -c))
-        return " ".join(t for t, _, out, within, _ in lines if t and not out and within == best)
-    inside = [(t, bool(content[i]), links) for i, (t, _, out, _, links) in enumerate(lines) if t and not out]
+        return " ".join(t for t, within, _ in lines if t and within == best)
+    inside = [(t, bool(content[i]), links) for i, (t, _, links) in enumerate(lines) if t]
     good = [i for i, (_, c, _) in enumerate(inside) if c]
     first, last = (good[0], good[-1]) if good else (0, len(inside) - 1)
     while first > 0 and not inside[first - 1][2]:

@@ -51,6 +51,24 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>a</p><section id='side-effects'><h2 id='Legal_status'>Law</h2><p id='notice-1'>b</p></section><p>c</p></article>", "a Law b c"),
+        ("<article><p>a</p><div id='related-work'><p>short</p></div><div class='social-structure'>s</div><p>see <a id='job-search-tips' href='#x'>tips</a></p></article>", "a short s see tips"),
+        ("<article><h2 id='related'>R</h2><h2 class='banner'>B</h2><section id='legal'><p>l</p></section><p>c</p></article>", "R B l c"),
+        ("<article><p>a</p><div class='post-related-reading'><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div><p>c</p></article>", "a c"),
+        ("<article><p>a</p><div class='share-buttons'>S</div><section id='comments'><p>m</p></section><div class='box ad-slot'>B</div><p class='notice'>n</p><p>c</p></article>", "a c"),
+        ("<main><article class='commentary'><p>b</p></article></main>", "b"),
+        ("<article><section class='legal'><p>l</p></section><div class='search'>s</div><div class='related'><a href=x>One</a></div></article>", "l s"),
+        ("<div class='content-sidebar-wrap'><article><p>a</p></article></div>", "a"),
+        ("<div class='layout-with-sidebar'><article><p>a <span class='share'>S</p><p>b</p></article></div>", "a b"),
+    ],
+)
+def test_marks_are_whole_names(page, want):
+    assert main_text(page) == want
+
+
 def test_extract_table(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     page = "<article><p>Hi&nbsp;there</p></article>"
