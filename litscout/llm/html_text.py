@@ -1,6 +1,7 @@
 """HTML extraction (operator 1): the article's text from a stream of parser events.
 
 The standard library's parser gives start tags, end tags and text one by one; nothing builds a tree.
+End tags that HTML lets authors omit (of paragraphs, list items, table parts, options, the head) are implied.
 Block elements end lines. For every line the ratio of its characters to its tags is taken, the
 ratios are smoothed with a Gaussian along the page, and lines above the threshold, one standard deviation,
 cluster into content regions. The regions choose the container: the ``article`` (else ``main``) that
@@ -19,6 +20,7 @@ pages like others; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -73,6 +75,32 @@ SITE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|branding)(?:$|[\s_-])"
 #: Marks what holds an article on pages without ``article`` and ``main``.
 HOLDER = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Start tags that end an open paragraph.
+ENDS_P = HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section "
+    "summary table ul".split()
+)
+_CELLS = frozenset("table td th caption".split())
+_BLOCKS = _CELLS | frozenset("ul ol menu dir dl article section main aside nav blockquote form fieldset figure header footer details body".split())
+_ROWS = frozenset("caption colgroup tr td th".split())
+_GROUPS = _ROWS | {"tbody", "thead", "tfoot"}
+#: Of a start tag: the open elements that it ends, as HTML lets authors omit their end tags, and those beyond which it ends none.
+IMPLIED = {
+    "li": (frozenset({"li"}), _BLOCKS),
+    **dict.fromkeys(("dd", "dt"), (frozenset({"dd", "dt"}), _BLOCKS)),
+    **dict.fromkeys(("td", "th"), (_ROWS - {"tr"}, frozenset({"table", "tr"}))),
+    "tr": (_ROWS, frozenset({"table"})),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (_GROUPS, frozenset({"table"}))),
+    "colgroup": (frozenset({"caption", "colgroup"}), frozenset({"table"})),
+    "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+    **dict.fromkeys(("rt", "rp"), (frozenset({"rt", "rp"}), frozenset({"ruby"}))),
+}
+P, BEYOND_P = frozenset({"p"}), _CELLS | {"article", "main", "body", "button", "object"}
+#: What a head may hold; another start tag or text ends it.
+IN_HEAD = frozenset("html head base link meta title noscript style script template".split())
+#: Elements out of which an end tag of another kind does not lead.
+TABULAR = _GROUPS | {"table"}
 SIGMA = 1.0
 #: A container inside another counts as its own only if it says more.
 RANK = {"page": 0, "holder": 1, "main": 2, "article": 3}
@@ -100,6 +128,7 @@ class Lines(HTMLParser):
         self.links = 0
         self.linked = 0
         self.open: list[tuple[str, bool, bool, int, int]] = []  # name, outside, link, container and doubtful part around it
+        self.held: Counter[str] = Counter()  # open elements by name
         self.containers: list[str] = ["page"]
         self.outside = 0
         self.anchors = 0
@@ -114,15 +143,38 @@ class Lines(HTMLParser):
 
     def shut(self, k: int) -> None:
         """Closes the open elements from the k-th on."""
-        for _, out, link, _, _ in self.open[k:]:
+        for name, out, link, _, _ in self.open[k:]:
+            self.held[name] -= 1
             self.outside -= out
             self.anchors -= link
         self.within, self.doubt = self.open[k][3:]
         del self.open[k:]
 
+    def imply(self, names: frozenset[str], beyond: frozenset[str]) -> None:
+        """Closes the open ``names`` that are not around one of ``beyond``."""
+        if not any(self.held[n] for n in names):
+            return
+        found = None
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k][0]
+            if name in names:
+                found = k
+            elif name in beyond:
+                break
+        if found is not None:
+            self.shut(found)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.end_line()
+        if tag in IMPLIED:
+            self.imply(*IMPLIED[tag])
+        if tag in ENDS_P:
+            self.imply(P, BEYOND_P)
+        if self.open:
+            last = self.open[-1][0]
+            if last == "head" and tag not in IN_HEAD or last in HEADINGS and tag in HEADINGS:
+                self.shut(len(self.open) - 1)
         self.tags += 1
         self.links += tag == "a"
         if tag in EMPTY:
@@ -144,6 +196,7 @@ class Lines(HTMLParser):
             kind = "holder"
         link = tag == "a" and any(k == "href" for k, _ in attrs)
         self.open.append((tag, out, link, self.within, self.doubt))
+        self.held[tag] += 1
         if kind and RANK[kind] > RANK[self.containers[inside]]:
             self.containers.append(kind)
             inside = len(self.containers) - 1
@@ -164,15 +217,29 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
+        if not self.held[tag]:
+            return
+        blocks = False
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                self.shut(k)
+                if blocks and tag in INLINE:  # ends the element alone; the blocks in it go on
+                    _, out, link, _, _ = self.open.pop(k)
+                    self.held[tag] -= 1
+                    self.outside -= out
+                    self.anchors -= link
+                else:
+                    self.shut(k)
                 break
+            blocks = blocks or name not in INLINE
             if name in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
                 break  # a stray end tag closes nothing beyond the article
+            if name in _CELLS and tag not in TABULAR and tag not in ("html", "body", "main", "article") or tag == "li" and name in ("ul", "ol", "menu"):
+                break
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.shut(len(self.open) - 1)
         if not self.outside:
             self.text.append(data)
             if self.anchors:

@@ -69,6 +69,24 @@ def test_marks_are_whole_names(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p class='ad'>Buy<p>Real text.</p><p>More.</p></article>", "Real text. More."),
+        ("<article><p class='notice'>Note <b>x<h2>T</h2><div>Real</div></article>", "T Real"),
+        ("<article><ul><li class='share'>S<li>one<ul><li class='ad'>B</ul><li>two</ul><p>end</article>", "one two end"),
+        ("<article><dl><dt class='ad'>a<dd class='ad'>b<dt>c<dd>d</dl><table><tr><td class='ad'>e<td>f<tr class='ad'><td>g<tr><th>h</table>i</article>", "c d f h i"),
+        ("<article><table><thead class='ad'><tr><td>a<tbody><tr><td>b</table>c<select><option>d</select>e</article>", "b c e"),
+        ("<html><head><title>t</title><meta name=x><body><article><p>a</article>", "a"),
+        ("<title>t</title><head><link href=x>loose text", "loose text"),
+        ("<article><b>Lead<p class='ad'>Buy</b> more</p>end</article>", "Lead end"),
+        ("<article><div class='ad'><table><tr><td>x</div>y</table></div>z</article>", "z"),
+    ],
+)
+def test_omitted_end_tags(page, want):
+    assert main_text(page) == want
+
+
 def test_extract_table(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     page = "<article><p>Hi&nbsp;there</p></article>"
