@@ -4,9 +4,13 @@ The standard library's parser gives start tags, end tags and text one by one; no
 End tags that HTML lets authors omit (of paragraphs, list items, table parts, options, the head) are implied.
 Block elements end lines. For every line the ratio of its characters to its tags is taken, the
 ratios are smoothed with a Gaussian along the page, and lines above the threshold, one standard deviation,
-cluster into content regions. The regions choose the container: the ``article`` (else ``main``) that
-holds most of their text; of it, every line counts, short ones too, but for parts that their element,
-role or whole class or id name marks as menu, header, footer, sidebar, notice, advert, form or comments.
+cluster into content regions. Every ``article`` (else ``main``, else block of a class or id such as
+``content``) counts, in page order, unless links hold over half of each of its lines; the one that holds
+most of the regions counts anyway. Of the ``main`` or block around, the own lines count that are no links;
+of others, and of paragraphs beside all containers, those in regions, with the headings above such
+paragraphs; an ``h1`` above the containers counts if they hold none. Of a container, every line counts,
+short ones too, but for parts that their element, role or whole class or id name marks as menu, header,
+footer, sidebar, notice, advert, form or comments.
 Ids of headings, paragraphs and inline elements mark nothing, those of sections only where they name an
 advert, share bar or comments. Where such a word is but a part of a block's name (``related-work``), the block is
 doubtful: it is left out if links hold over half of its characters, or if it has links and no line in a
@@ -69,6 +73,8 @@ COMMENT = re.compile(rf"(?:(?:{PLAIN}|div)[_-]+)*(?:comments?|repl(?:y|ies))(?:[
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose id is an anchor or a slug of the article's words.
 NAMED = HEADINGS | INLINE | {"p", "section"}
+#: Elements of running text.
+PROSE = frozenset("p blockquote pre".split())
 SURE, DOUBTFUL = 2, 1
 #: Marks a site's header, but outside an article only: inside it may hold the article's title.
 SITE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|branding)(?:$|[\s_-])", re.I)
@@ -118,7 +124,7 @@ def marked(tag: str, classes: str, ident: str) -> int:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text, tags, container, links, characters in links, doubtful part]."""
+    """Lines of a page: [text, tags, container, links, characters in links, doubtful part, heading or paragraph around it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -130,6 +136,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, int, int]] = []  # name, outside, link, container and doubtful part around it
         self.held: Counter[str] = Counter()  # open elements by name
         self.containers: list[str] = ["page"]
+        self.around: list[int] = [0]  # of each container the one around it
         self.outside = 0
         self.anchors = 0
         self.within = 0
@@ -138,7 +145,8 @@ class Lines(HTMLParser):
 
     def end_line(self) -> None:
         if self.text or self.tags:
-            self.lines.append(["".join(self.text), self.tags, self.within, self.links, self.linked, self.doubt])
+            prose = next((o[0] for o in reversed(self.open) if o[0] not in INLINE), "") if self.text else ""
+            self.lines.append(["".join(self.text), self.tags, self.within, self.links, self.linked, self.doubt, prose])
             self.text, self.tags, self.links, self.linked = [], 0, 0, 0
 
     def shut(self, k: int) -> None:
@@ -199,6 +207,7 @@ class Lines(HTMLParser):
         self.held[tag] += 1
         if kind and RANK[kind] > RANK[self.containers[inside]]:
             self.containers.append(kind)
+            self.around.append(inside)
             inside = len(self.containers) - 1
             self.doubt = 0  # what is around a container says nothing about it
         elif mark == DOUBTFUL and not out:
@@ -262,22 +271,59 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, r, mode="edge"), k / k.sum(), "valid")
 
 
-def doubtful_menus(lines: list[tuple], content: np.ndarray) -> set[int]:
+def doubtful_menus(lines: list[tuple], content: list[bool]) -> set[int]:
     """The doubtful parts that are no text: links hold over half of their characters, or they have links and no line in a cluster.
 
     Outside of containers most of a doubtful part's characters must be in clusters as well.
     """
     parts: dict[int, list[int]] = {}
-    for (t, _, within, links, linked, doubt), good in zip(lines, content):
+    for (t, _, within, links, linked, doubt, _), good in zip(lines, content):
         if doubt and t:
             p = parts.setdefault(doubt, [0, 0, 0, 0, within])
             p[0] += len(t)
             p[1] += linked
             p[2] += links
-            p[3] += len(t) * bool(good)
+            p[3] += len(t) * good
     return {d for d, (size, linked, links, good, within) in parts.items() if 2 * linked > size or links and not good or not within and 2 * good < size}
 
 
+def in_containers(lines: list[tuple], content: list[bool], parser: Lines) -> list[bool]:
+    """Which lines of a page with containers count: see the module's docstring."""
+    kinds, around = parser.containers, parser.around
+    light = [bool(t) and 2 * linked <= len(t) for t, _, _, linked, _ in lines]
+    weight, whole, good = Counter(), Counter(), Counter()
+    texts = set()
+    for (t, within, *_), c, few in zip(lines, content, light):
+        if t and within:
+            weight[within] += len(t) * c
+            whole[within] += len(t)
+            good[within] += len(t) * (c and few)
+            if few:
+                texts.add(within)
+    top = max(RANK[kinds[c]] for c in whole)
+    first = [c for c in whole if RANK[kinds[c]] == top]
+    kept = {c for c in first if c in texts} | {max(first, key=lambda c: (weight[c], whole[c], -c))}
+    outer = set()
+    for c in kept:
+        while c := around[c]:
+            outer.add(c)
+    more = {c for c in whole if RANK[kinds[c]] < top and c not in outer and 2 * good[c] > whole[c]}
+    found = [bool(t) and (within in kept or within in outer and few or within in more and c) for (t, within, *_), c, few in zip(lines, content, light)]
+    # beside the containers: paragraphs in clusters with the headings above them, and the title if the containers have none
+    start, titled = found.index(True), any(f and row[4] == "h1" for f, row in zip(found, lines))
+    heads = False
+    for i in range(len(lines) - 1, -1, -1):
+        t, within, _, _, prose = lines[i]
+        if within or not light[i]:
+            heads = heads and not t
+        elif prose in HEADINGS:
+            found[i] = heads or prose == "h1" and i < start and not titled
+            titled = titled or found[i] and prose == "h1"
+        else:
+            found[i] = heads = prose in PROSE and content[i]
+    return found
+
+
 def main_text(html: str) -> str:
     """The main text of a page."""
     if not html:
@@ -288,21 +334,12 @@ def main_text(html: str) -> str:
     if not any(t for t, *_ in lines):
         return ""
     ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, *_ in lines]))
-    content = ratios >= ratios.std()
+    content = (ratios >= ratios.std()).tolist()
     menus = doubtful_menus(lines, content)
-    lines = [("" if doubt in menus else t, within, links) for t, _, within, links, _, doubt in lines]
-    kinds = parser.containers
-    weight: dict[int, int] = {}
-    whole: dict[int, int] = {}
-    for (t, within, _), good in zip(lines, content):
-        if t and within:
-            weight[within] = weight.get(within, 0) + len(t) * bool(good)
-            whole[within] = whole.get(within, 0) + len(t)
-    if whole:
-        top = max(RANK[kinds[c]] for c in whole)
-        best = max((c for c in whole if RANK[kinds[c]] == top), key=lambda c: (weight[c], whole[c], -c))
-        return " ".join(t for t, within, _ in lines if t and within == best)
-    inside = [(t, bool(content[i]), links) for i, (t, _, links) in enumerate(lines) if t]
+    lines = [("" if doubt in menus else t, within, links, linked, prose) for t, _, within, links, linked, doubt, prose in lines]
+    if any(t and within for t, within, *_ in lines):
+        return " ".join(row[0] for row, found in zip(lines, in_containers(lines, content, parser)) if found)
+    inside = [(t, content[i], links) for i, (t, _, links, _, _) in enumerate(lines) if t]
     good = [i for i, (_, c, _) in enumerate(inside) if c]
     first, last = (good[0], good[-1]) if good else (0, len(inside) - 1)
     while first > 0 and not inside[first - 1][2]:

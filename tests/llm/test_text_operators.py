@@ -87,6 +87,27 @@ def test_omitted_end_tags(page, want):
     assert main_text(page) == want
 
 
+LONG = " ".join(["A long sentence of the page stands here."] * 6)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p>{LONG}</p></article><div class='ad'>Buy</div><article><p>Rest.</p></article>", f"{LONG} Rest."),
+        (f"<div class='entry'><p>One.</p></div><div class='ad'>Buy</div><section class='content'><p>{LONG}</p></section>", f"One. {LONG}"),
+        (f"<table><tr><td class='content'>One.<td class='ad'>Buy<td id='story'>{LONG}</table>", f"One. {LONG}"),
+        (f"<main><h1>Title</h1><p>Lead</p><article><p>{LONG}</p></article><p>After</p><div><a href=x>Next one</a></div></main>", f"Title Lead {LONG} After"),
+        (f"<body><h1>Title</h1><article><p>{LONG}</p></article><div>unmarked</div>", f"Title {LONG}"),
+        (f"<body><h1>Site</h1><article><h1>Title</h1><p>{LONG}</p></article>", f"Title {LONG}"),
+        (f"<body><article><p>{LONG}</p></article><h2>More</h2><p>{LONG}</p><div>x</div>", f"{LONG} More {LONG}"),
+        (f"<article><p>{LONG}</p></article><article><h3><a href=x>Another page</a></h3></article>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='story'><p>{LONG}</p></div><div class='entry'><a href=x>y</a></div>", f"{LONG} {LONG}"),
+    ],
+)
+def test_split_articles(page, want):
+    assert main_text(page) == want
+
+
 def test_extract_table(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     page = "<article><p>Hi&nbsp;there</p></article>"
