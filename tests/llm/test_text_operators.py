@@ -108,6 +108,16 @@ def test_split_articles(page, want):
     assert main_text(page) == want
 
 
+def test_clusters_decide_about_doubtful_parts(monkeypatch):
+    part = "<div id='related-work'><p>{} <a href=x>b</a></p></div>"
+    rest = f"<p>{LONG * 9}</p>" + "<p>x</p>" * 9
+    page = f"<article>{rest}{part.format('Short text')}</article>"
+    assert main_text(page) == f"{LONG * 9}{' x' * 9}"
+    assert main_text(page.replace("Short text", LONG * 9)) == f"{LONG * 9}{' x' * 9} {LONG * 9} b"
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert main_text(page) == f"{LONG * 9}{' x' * 9} Short text b"
+
+
 def test_extract_table(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     page = "<article><p>Hi&nbsp;there</p></article>"
