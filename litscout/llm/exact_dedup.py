@@ -8,7 +8,10 @@ and chained. Copies are combined before the shuffle, so a hot text costs one row
 The directory is extendible hashing's: it starts with one bucket and doubles while a bucket is
 overfull; a bucket is a prefix of the key's bits, that is a key range. The counts it needs are taken
 at ``max_depth`` bits, so the driver sees at most 2**max_depth rows whatever the corpus. Entries are
-written to the shared folder by bucket; tasks that own key ranges then probe them.
+sent to the task that owns their bucket, chained there and written to the shared folder by bucket. Rows
+find their bucket through the broadcast directory and probe on (bucket, key), where the chain's digests are
+compared. The probe is Spark's join on bucket, key and digest: it spreads a bucket's rows over tasks, so
+that a hot text does not meet in the one that owns its bucket.
 
 Null text counts as empty; null ``doc_id`` sorts after all others; repeated rows with the id that
 stays are all marked as kept (``exact_dedup`` keeps one of them); an empty table gives no rows.
@@ -56,8 +59,11 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tup
     return [(i, p, d) for i, (p, d) in enumerate(order)]
 
 
-def build_index(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
-    """Entries (key, chain, text_sha256, keep_id, group_size, bucket) from rows (id, key, norm)."""
+PREFIX = "prefix bigint, bucket int"
+
+
+def build(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
+    """The index, written by bucket: (key, chain, text_sha256, keep_id, group_size, bucket) from rows (id, key, norm); and its directory (prefix, bucket)."""
     spark = keyed.sparkSession
     entries = stored(
         keyed.groupBy("key", "norm")
@@ -71,20 +77,32 @@ def build_index(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12)
     for bucket, p, d in directory(counts, capacity, max_depth):
         first = p << (max_depth - d)
         slots += [(c, bucket) for c in range(first, first + (1 << (max_depth - d)))]
-    slots = spark.createDataFrame(slots, "prefix bigint, bucket int")
+    slots = spark.createDataFrame(slots, PREFIX)
     chain = Window.partitionBy("bucket", "key").orderBy("keep_id", "text_sha256")
-    return stored(
-        entries.withColumn("prefix", prefix)
-        .join(F.broadcast(slots), "prefix")
+    index = (
+        route(entries, slots, max_depth)
+        .repartition("bucket")
         .withColumn("chain", F.row_number().over(chain))
         .select("key", "chain", "text_sha256", "keep_id", "group_size", "bucket")
     )
+    # A table without rows has no bucket to write.
+    return stored(index, *(["bucket"] if counts else [])), slots
+
+
+def build_index(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
+    """The index of ``build`` alone."""
+    return build(keyed, capacity, max_depth)[0]
+
+
+def route(rows: DataFrame, slots: DataFrame, max_depth: int = 12) -> DataFrame:
+    """``rows`` with the bucket that the directory gives their key."""
+    return rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth)).join(F.broadcast(slots), "prefix").drop("prefix")
 
 
 def probe(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Each row (id, key, text_sha256, ...) with keep_id, group_size and kept of its entry."""
+    """Each row (id, bucket, key, text_sha256, ...) with keep_id, group_size and kept of the entry of its bucket's chain that has its digest."""
     return (
-        rows.join(index.drop("chain", "bucket"), ["key", "text_sha256"])
+        rows.join(index.drop("chain"), ["bucket", "key", "text_sha256"])
         .withColumn("kept", F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("keep_id"))
         .withColumn("keep_id", F.nullif(F.col("keep_id"), F.lit(NO_ID)))
     )
@@ -94,8 +112,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     norm = normalised(text_of(text_col))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
-    index = build_index(rows)
-    marked = probe(rows.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), index)
+    index, slots = build(rows)
+    marked = probe(route(rows.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), slots), index)
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -109,10 +127,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), ident.alias("id"), norm.alias("norm"))
     rows = rows.withColumn("key", F.xxhash64("norm"))
-    index = build_index(rows.select("id", "key", "norm"))
-    keep = index.select("key", "text_sha256", F.col("keep_id").alias("id"))
-    rows = rows.select("row", "id", "key", F.sha2("norm", 256).alias("text_sha256"))
-    kept = rows.join(keep, ["key", "text_sha256", "id"]).dropDuplicates(["key", "text_sha256", "id"])
+    index, slots = build(rows.select("id", "key", "norm"))
+    keep = index.select("bucket", "key", "text_sha256", F.col("keep_id").alias("id"))
+    rows = route(rows.select("row", "id", "key", F.sha2("norm", 256).alias("text_sha256")), slots)
+    entry = ["bucket", "key", "text_sha256", "id"]
+    kept = rows.join(keep, entry).dropDuplicates(entry)
     return kept.select("row.*")
 
 

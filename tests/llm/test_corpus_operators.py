@@ -135,6 +135,17 @@ def test_copies_with_colliding_keys(spark):
     assert len({r.bucket for r in entries}) == 2
 
 
+def test_index_is_written_and_probed_by_bucket(spark):
+    keys = [(i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for i in range(40)]
+    rows = spark.createDataFrame([(i, k, f"t{i}") for i, k in enumerate(keys)], "id bigint, key bigint, norm string")
+    index, slots = exact_dedup.build(rows, capacity=5)
+    assert all(f"bucket={b}/" in f for b, f in ((r.bucket, r.f) for r in index.select("bucket", F.input_file_name().alias("f")).collect()))
+    assert index.select("bucket", F.input_file_name()).distinct().count() == index.select("bucket").distinct().count() > 1
+    routed = exact_dedup.route(rows.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), slots)
+    assert {(r.id, r.bucket) for r in routed.collect()} == {(r.keep_id, r.bucket) for r in index.collect()}
+    assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.probe(routed, index).collect()} == {(i, i, True) for i in range(40)}
+
+
 def test_copies_edges(spark):
     df = documents(spark, EDGES, EDGE_IDS)
     got = exact_dedup.mark_copies(df).collect()
