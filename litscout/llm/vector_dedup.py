@@ -2,8 +2,12 @@
 
 * Vectors that are null, zero or hold null or non-finite components link with nothing. All others are
   scaled to length 1 in double precision. Equal vectors (same components) share a node, so copies cost
-  one row; links count vectors.
-* The trees are fitted on a documented, bounded sample (``sample`` nodes, those of smallest hash): a node
+  one row; links count vectors. Vectors of different lengths never link; those of each length are compared
+  among themselves.
+* Each length of more than ``leaf`` nodes, counted over the whole table, has trees of its own (at most ``sample // 64``
+  lengths, the most frequent); those of any other length are one leaf.
+* The trees are fitted on a documented, bounded sample (``sample`` nodes, those of smallest hash, in equal shares of
+  the lengths that have trees): a node
   of a tree is split at the median of the sample's projections on a random direction, until the whole
   table's share of it is about ``leaf`` rows. Every vector is then routed down every tree; within
   ``margin`` of a split it goes to both sides.
@@ -79,34 +83,32 @@ class Tree:
             todo.append((high, rows[at >= self.cuts[node] - self.margin]))
 
 
-def grow_forest(sample: np.ndarray, total: int, cosine: float, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> list[Tree]:
+def grow_forest(sample: np.ndarray, total: int, cosine: float, trees: int = TREES, leaf: int = LEAF, seed: int = 7, first: int = 0) -> list[Tree]:
     margin = SPILL * math.sqrt(2 - 2 * cosine) / math.sqrt(max(1, sample.shape[1]))
-    forest, first = [], 0
+    forest = []
     for t in range(trees):
         forest.append(Tree(sample, total, leaf, margin, np.random.default_rng([seed, t]), first))
         first = forest[-1].leaves
     return forest
 
 
-def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, matrix of their unit vectors); rows of another length than the most frequent are not usable."""
+def rows_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each length: (indexes of the usable rows, matrix of their unit vectors)."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ok = np.array([v is not None and len(v) > 0 and all(x is not None for x in v) for v in (lists.to_pylist() if lists.null_count or lists.values.null_count else [])] or [True] * len(lists), bool)
     sizes = np.array([0 if v is None else v for v in lists.value_lengths().to_pylist()], np.int64)
     ok &= sizes > 0
-    if not ok.any():
-        return ok, np.empty((0, 0))
-    width = np.bincount(sizes[ok]).argmax()
-    ok &= sizes == width
-    picked = lists.filter(pa.array(ok))
-    x = np.asarray(picked.flatten(), np.float64).reshape(-1, width)
-    with np.errstate(over="ignore", invalid="ignore"):
-        top = np.abs(x).max(1)
-        fine = np.isfinite(x).all(1) & (top > 0)
-        x = x / np.where(fine, top, 1)[:, None]  # so that squares neither overflow nor vanish
-        x = x / np.where(fine, np.sqrt((x * x).sum(1)), 1)[:, None]
-    ok[np.flatnonzero(ok)[~fine]] = False
-    return ok, x[fine]
+    out = []
+    for width in np.unique(sizes[ok]).tolist():
+        mine = ok & (sizes == width)
+        x = np.asarray(lists.filter(pa.array(mine)).flatten(), np.float64).reshape(-1, width)
+        with np.errstate(over="ignore", invalid="ignore"):
+            top = np.abs(x).max(1)
+            fine = np.isfinite(x).all(1) & (top > 0)
+            x = x / np.where(fine, top, 1)[:, None]  # so that squares neither overflow nor vanish
+            x = x / np.where(fine, np.sqrt((x * x).sum(1)), 1)[:, None]
+        out.append((np.flatnonzero(mine)[fine], x[fine]))
+    return out
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +116,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        ok, x = rows_of(batch.column("embedding"))
-        unit: list[bytes | None] = [None] * len(ok)
-        for i, row in zip(np.flatnonzero(ok), x + 0.0):  # + 0.0: -0 and 0 are one number
-            unit[i] = row.tobytes()
+        unit: list[bytes | None] = [None] * batch.num_rows
+        for at, x in rows_of(batch.column("embedding")):
+            for i, row in zip(at, x + 0.0):  # + 0.0: -0 and 0 are one number
+                unit[i] = row.tobytes()
         vd = [None if u is None else xxhash.xxh3_128_digest(u) for u in unit]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(vd, pa.binary()), pa.array(unit, pa.binary())], names=["vec_id", "vd", "unit"])
 
@@ -126,19 +128,30 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _router(forest: list[Tree]):
+def _router(forests: dict[int, list[Tree]]):
+    """Leaves by the forest of the vector's length in bytes; vectors of a length without one are a leaf, numbered behind all others."""
+    last = max((tree.leaves for forest in forests.values() for tree in forest), default=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("unit"))
-            found: list[list[int]] = [[] for _ in range(len(x))]
-            for tree in forest:
-                for leaf, rows in tree.route(x):
-                    for i in rows:
-                        found[i].append(leaf)
+            units = batch.column("unit")
+            sizes = np.array([len(u) for u in units.to_pylist()], np.int64)
+            found: list[list[int]] = [[] for _ in range(len(sizes))]
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                if size not in forests:
+                    for i in at:
+                        found[i].append(last + size // 8)
+                    continue
+                x = _matrix(units.take(pa.array(at)))
+                for tree in forests[size]:
+                    for leaf, rows in tree.route(x):
+                        for i in at[rows]:
+                            found[i].append(leaf)
             leaves = pa.array([sorted(f) for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("unit"), leaves], names=["node", "copies", "unit", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), units, leaves], names=["node", "copies", "unit", "leaves"])
 
     return run
 
@@ -194,16 +207,17 @@ def vector_dedup(
         .agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    total = nodes.count()
-    some = nodes.select("unit").orderBy(F.xxhash64("vd")).limit(sample).collect()  # a bounded sample
-    width = max((len(r.unit) for r in some), default=8)
-    some = np.frombuffer(b"".join(r.unit for r in some if len(r.unit) == width), np.float64).reshape(-1, width // 8)
-    forest = grow_forest(some, total, cosine, trees, leaf)
-    routed = stored(
-        nodes.where(F.octet_length("unit") == width)
-        .select("node", "copies", "unit")
-        .mapInArrow(_router(forest), "node bigint, copies bigint, unit binary, leaves array<int>")
-    )
+    size = F.octet_length("unit")
+    large = nodes.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf)
+    large = large.orderBy(F.desc("n"), "size").limit(max(1, sample // 64)).collect()
+    forests: dict[int, list[Tree]] = {}
+    first = 0
+    for r in large:  # mostly one
+        some = nodes.where(size == r.size).select("unit").orderBy(F.xxhash64("vd")).limit(max(1, sample // len(large))).collect()  # a bounded sample
+        some = np.frombuffer(b"".join(u.unit for u in some), np.float64).reshape(-1, r.size // 8)
+        forests[r.size] = grow_forest(some, r.n, cosine, trees, leaf, first=first)
+        first = forests[r.size][-1].leaves
+    routed = stored(nodes.select("node", "copies", "unit").mapInArrow(_router(forests), "node bigint, copies bigint, unit binary, leaves array<int>"))
     placed = routed.withColumn("leaf", F.explode("leaves"))
     sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
     pairs = dealt(placed.join(sizes, "leaf"), "leaf", "node", F.ceil(F.col("m") / BLOCK_ROWS))

@@ -187,6 +187,25 @@ def test_vectors_equal_brute_force(spark, monkeypatch, parameters):
         assert got == want
 
 
+@pytest.mark.parametrize("parameters", [{}, {"leaf": 64, "sample": 400}])
+def test_vectors_of_several_lengths(spark, parameters):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for width, n in ((16, 200), (8, 150), (3, 9), (40, 1)):
+        x = rng.standard_normal((n, width))
+        x = np.concatenate([x, x[: n // 2] + 0.01 * rng.standard_normal((n // 2, width))])
+        s, at = brute_vectors(x), len(rows)
+        root = groups(len(x), np.argwhere(np.triu(s)).tolist())
+        want.update({at + i: (int(s[i].sum()), at + root[i], root[i] == i) for i in range(len(x))})
+        rows += [(at + i, v.tolist(), "n", 0) for i, v in enumerate(x)]
+    rng.shuffle(rows := np.array(rows, object))
+    df = vectors(spark, [tuple(r) for r in rows.tolist()])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_dedup(df, **parameters).collect()}
+    assert len(got) == len(want) and sum(got[i][0] for i in got) >= 0.98 * sum(want[i][0] for i in want)
+    if not parameters:
+        assert got == want
+
+
 def test_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, "", 0), (2, [0.0, 0.0], "", 0), (3, [nan, 1.0], "", 0), (4, [inf, 1.0], "", 0), (5, [1.0, None], "", 0), (6, [1.0, 0.0], "", 0), (7, [2.0, 0.0], "", 0), (7, [3.0, 0.0], "", 0), (None, [1.0, 0.01], "", 0), (9, [], "", 0), (10, [0.0, 1e-300], "", 0), (11, [-0.0, 1e300], "", 0)]
