@@ -12,7 +12,9 @@ text of one to four words is one shingle, a text without words has none and link
    pair that shares a band, is compared on its full shingle sets: in blocks, so that no task holds an
    unbounded cluster and no pair becomes a row. Tasks return link counts and a spanning forest.
 
-Null text counts as empty. Documents with equal text are copies: they share a node, class and counts.
+Null text counts as empty. Documents whose texts differ in letter case and white space alone are copies, as in
+the query's SQL: they share a node, class and counts. ``n_links`` counts linked nodes, so such a variant of the
+same text is in ``copies`` but not in ``n_links``, and several variants of a neighbour are one link.
 Repeated rows are copies; a null id can not be the one that stays unless its class has no other; an
 empty table gives no rows.
 """
@@ -213,7 +215,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id reachable by links), n_links (other different texts linked directly), copies (rows of this text), kept."""
+    """doc_id, class_id (smallest id reachable by links), n_links (other nodes linked directly), copies (rows of this node: its text in any letter case and white space), kept."""
     nodes, ids = similarity_links(docs, id_col, text_col)
     kept = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return ids.join(nodes, "nd").select("doc_id", "class_id", "n_links", "copies", kept.alias("kept"))

@@ -82,6 +82,15 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
+def test_case_and_space_variants_are_copies(spark):
+    a = [f"w{i}" for i in range(40)]
+    b = " ".join(a[:-1] + ["end"])
+    texts = [" ".join(a), " ".join(a).upper(), "\n".join(a), b, b.title(), "other"]
+    got = {r.doc_id: (r.class_id, r.n_links, r.copies) for r in ngram_join.ngram_join(documents(spark, texts)).collect()}
+    assert got == {0: (0, 1, 3), 1: (0, 1, 3), 2: (0, 1, 3), 3: (0, 1, 2), 4: (0, 1, 2), 5: (5, 0, 1)}
+    assert "differ in letter case and white space alone are copies" in ngram_join.__doc__
+
+
 def test_blocked_overlaps_equal_pairs():
     rng = np.random.default_rng(5)
     base = np.sort(rng.choice(10**6, 60, False)).astype(np.uint64)
