@@ -8,7 +8,8 @@ Two judgements are made of a document: low quality (menus, symbol noise, repetit
 2. Votes are counted over *all* documents by vote pattern; there are at most 3**labellers patterns.
    Expectation-maximisation on that table estimates each labeller's accuracy and the share of bad
    documents; the posterior of a pattern follows.
-3. Posterior labels of a bounded, documented sample (``SAMPLE`` rows, those of smallest hash) train a
+3. Posterior labels of a bounded, documented sample (``SAMPLE`` labelled documents, those of smallest hash;
+   if fewer than ``FILL`` are labelled, unlabelled ones fill it up to that) train a
    linear scorer over hashed features: logistic regression, weights kept for features that differ
    between the classes. The scorer alone judges, over whole texts, all documents.
 
@@ -35,6 +36,8 @@ from .common import stored, table, text_of, worker_memo
 
 #: Rows that scorers and term lists are fitted on, at most.
 SAMPLE = 12_000
+#: Rows that the sample is filled up to with unlabelled documents if fewer are labelled.
+FILL = 2_000
 #: Common insults.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "pathetic", "worthless", "disgusting", "scum", "loser", "losers", "clown", "imbecile")
 BAD, FINE, ABSTAIN = 1, 0, -1
@@ -285,21 +288,30 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def sample_of(base: DataFrame, ids: DataFrame, sample: int = SAMPLE, fill: int = FILL) -> list[tuple[int, int | None]]:
+    """(id, toxic), at most ``sample``: labelled ids (id, toxic) that occur in ``base`` (id, text); to ``fill`` ids also unlabelled ones, without toxic."""
+    held = ids.join(base.select("id"), "id", "left_semi")  # labels of other documents tell nothing here
+    some = [(r.id, r.toxic) for r in held.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    most = min(sample, fill)
+    if len(some) < most:
+        more = base.select("id").where("id IS NOT NULL").distinct().join(ids, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(most - len(some)).collect()
+        some += [(r.id, None) for r in more]
+    return some
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fill: int = FILL, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model for ``docs`` (id, text) and ``labels`` (doc_id, toxic).
 
-    The sample is that of the labelled rows of smallest hash, filled up with unlabelled ones if
-    there are too few; it is a bounded number of ids, so it is broadcast. All else counts every document.
+    The sample is that of the labelled ids that occur in ``docs`` of smallest hash, filled up with unlabelled
+    ones to ``fill`` ids (``sample`` at most) if there are fewer; it is a bounded number of ids, so it is
+    broadcast. All else counts every document.
     """
     spark = docs.sparkSession
     ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    some = ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # at most ``sample`` rows
-    if len(some) < min(sample, 2_000):
-        more = base.select("id").where("id IS NOT NULL").distinct().join(ids, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(2_000 - len(some)).collect()
-        some = [(r.id, r.toxic) for r in some] + [(r.id, None) for r in more]
-    chosen = spark.createDataFrame([tuple(r) for r in some], "id bigint, toxic int")
+    some = sample_of(base, ids, sample, fill)
+    chosen = spark.createDataFrame(some, "id bigint, toxic int")
     # copies count once, with their most frequent label; else a hot text's words would stand for its class
     rows = base.join(F.broadcast(chosen), "id").groupBy(F.md5("text").alias("h"))
     rows = rows.agg(F.round(F.avg("toxic")).cast("int").alias("toxic"), F.first("text").alias("text"))
@@ -376,18 +388,18 @@ def _scorer(model: Model):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fill: int = FILL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_low_quality, p_toxic, kept for every row."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    model = fit(docs, labels, sample, fill, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("__text"))
     scored = rows.mapInArrow(_scorer(model), "doc_id bigint, p_low_quality double, p_toxic double")
     return scored.withColumn("kept", (F.col("p_low_quality") < 0.5) & (F.col("p_toxic") < 0.5))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fill: int = FILL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. No join: rows are scored as they pass."""
     names = docs.columns
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    model = fit(docs, labels, sample, fill, id_col, text_col)
 
     @F.pandas_udf("boolean")
     def good(texts):

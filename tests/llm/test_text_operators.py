@@ -284,6 +284,17 @@ def test_classifier_edges(spark):
     assert kept.columns == documents(spark, EDGES).columns and kept.where("text IS NULL").count() == 0
 
 
+def test_sample_is_of_labelled_documents(spark):
+    base = spark.createDataFrame([(i, "t") for i in [*range(100), 3, None]], "id bigint, text string")
+    ids = spark.createDataFrame([(i, i % 2) for i in [*range(60), *range(1000, 4000)]], "id bigint, toxic int")
+    pick = lambda **p: dict(quality.sample_of(base, ids, **p))
+    assert pick(sample=50, fill=10).keys() < set(range(60)) and len(pick(sample=50, fill=10)) == 50
+    assert pick(fill=10) == {i: i % 2 for i in range(60)}
+    more = pick(fill=80)
+    assert len(more) == 80 and {i for i, t in more.items() if t is None} < set(range(60, 100))
+    assert pick() == {i: i % 2 if i < 60 else None for i in range(100)} and len(pick(sample=70)) == 70
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.3
