@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litscout.llm.common import stored, table
+from litscout.llm.common import table
+from litscout.storage import stored
 from litscout.llm.exact_dedup import exact_dedup
 from litscout.llm.mixing import mixed_documents
 from litscout.llm.ngram_join import near_dedup
