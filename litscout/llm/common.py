@@ -1,13 +1,13 @@
-"""What several operators share: shared storage, spread row numbers, text columns, connected components."""
+"""What several operators share: worker memos, spread row numbers, text columns."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..storage import bound_batches
+
 #: A run of the white space that the text contracts name, as a regular expression.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
@@ -24,42 +24,6 @@ def worker_memo(owner: str) -> dict:
     return _MEMO["memo"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (local runs and tests) a temporary folder is made.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        import atexit
-        import shutil
-        import tempfile
-
-        if not hasattr(shared_dir, "own"):
-            shared_dir.own = tempfile.mkdtemp(prefix="litscout-")
-            atexit.register(shutil.rmtree, shared_dir.own, True)
-        base = shared_dir.own
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Arrow batches to Python workers hold 4 MB at most: by default they hold 10,000 texts or 64 MB, which idle workers keep."""
-    if int(spark.conf.get(BATCH_BYTES, "64m").lower().rstrip("b").replace("m", "000000")) > most:
-        spark.conf.set(BATCH_BYTES, str(most))
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    bound_batches(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,38 +64,3 @@ def spread_row_number(df: DataFrame, group: list[str], slice_col: str, order: li
     numbered = df.withColumn(name, F.coalesce(F.sum(value).over(local), F.lit(0)))
     joined = numbered.join(counts, [*group, slice_col], "left")
     return joined.withColumn(name, F.col(name) + F.col("__base")).drop("__base")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b bigint): one row (node, root) per node, root the smallest node.
-
-    Alternating large-star and small-star steps, each a few shuffles of the edges that remain and
-    written to the shared folder; ends when a round changes nothing. No edge reaches the driver.
-    """
-    spark = edges.sparkSession
-
-    def tidy(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
-
-    now = stored(tidy(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    was = mark(now)
-    for _ in range(rounds):
-        if not was[0]:
-            break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = tidy(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = stored(tidy(small))
-        if (mark_now := mark(now)) == was:
-            break
-        was = mark_now
-    else:
-        raise RuntimeError("components did not converge")
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.union(now.select("v", F.col("v").alias("root")).distinct())

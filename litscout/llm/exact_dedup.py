@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE_RUN, stored, table, text_of
+from ..storage import stored
+from .common import SPACE_RUN, table, text_of
 
 NO_ID = 2**63 - 1
 

@@ -1,30 +1,37 @@
 """HTML extraction (operator 1): the article's text from a stream of parser events.
 
-The standard library's parser gives start tags, end tags and text one by one; nothing builds a tree.
-End tags that HTML lets authors omit (of paragraphs, list items, table parts, options, the head) are implied.
-Block elements end lines. For every line the ratio of its characters to its tags is taken, the
-ratios are smoothed with a Gaussian along the page, and lines above the threshold, one standard deviation,
-cluster into content regions. Every ``article`` (else ``main``, else block of a class or id such as
-``content``) counts, in page order, unless links hold over half of each of its lines; the one that holds
-most of the regions counts anyway. Of the ``main`` or block around, the own lines count that are no links;
-of others, and of paragraphs beside all containers, those in regions, with the headings above such
-paragraphs; an ``h1`` above the containers counts if they hold none. Of a container, every line counts,
-short ones too, but for parts that their element, role or whole class or id name marks as menu, header,
-footer, sidebar, notice, advert, form or comments.
+1. The standard library's parser gives start tags, end tags and text one by one; nothing builds a tree.
+   End tags that HTML lets authors omit (of paragraphs, list items, table parts, options, the head, links) are
+   implied. Block elements end lines.
+2. For every line the ratio of its characters to its tags is taken, and the ratios are smoothed with a Gaussian
+   along the page, which has no text before its first line and behind its last.
+3. A line's prior is 0 in parts that their element, role or whole class or id name marks as menu, header, footer,
+   sidebar, notice, advert, form or comments, else 1. Lines whose smoothed ratio times prior reaches the threshold,
+   one standard deviation of the smoothed ratios, cluster into content regions; marked lines that do not are no text.
+4. Regions are completed by the containers around them, as short lines of an article fall below any threshold. Every
+   ``article`` (else ``main``, else block of a class or id such as ``content``) counts, in page order, unless links
+   hold over half of each of its lines; the one that holds most of the regions counts anyway. Of the ``main`` or
+   block around, the own lines count that are no links; of others, and of what is beside all containers, paragraphs in
+   regions, and other lines that are dense by themselves in a region that reaches into a container, with the headings
+   above; an ``h1`` above the containers counts if they hold none. Of a
+   container, every line counts, but for marked ones. On pages without such a container the regions are the text,
+   with the lines between lines of one region.
+
 Ids of headings, paragraphs and inline elements mark nothing, those of sections only where they name an
 advert, share bar or comments. Where such a word is but a part of a block's name (``related-work``), the block is
-doubtful: it is left out if links hold over half of its characters, or if it has links and no line in a
-cluster; outside of a container also if less than half of its characters are in clusters. On pages without such a container the regions are the text, with the lines between lines of one region.
+doubtful and the regions decide: it is left out if links hold over half of its characters, or if it has links and
+no line in a region; outside of a container also if less than half of its characters are in regions.
 
 Character references are decoded; white space becomes one space; lines are joined by one space. Null
 html is empty and gives an empty text, as does a page without content. Null ids and repeated rows are
-pages like others; an empty table gives no rows.
+pages like others; an empty table gives no rows. Long pages are read whole: every event costs the same however
+many elements are open.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -36,8 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-#: Elements that are never part of an article, elements without an end tag, elements inside a line.
-OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg math canvas button select textarea input label dialog menu head title audio video map".split())
+#: Elements without text of the page, elements that are never part of an article, elements without an end tag, elements inside a line.
+TEXTLESS = frozenset("script style noscript template iframe object svg math canvas head title audio video map".split())
+OUTSIDE = frozenset("nav footer aside form button select textarea input label dialog menu".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words that mark an advert, a notice of the site, a share bar or comments wherever they are a whole class or id.
@@ -107,6 +115,9 @@ P, BEYOND_P = frozenset({"p"}), _CELLS | {"article", "main", "body", "button", "
 IN_HEAD = frozenset("html head base link meta title noscript style script template".split())
 #: Elements out of which an end tag of another kind does not lead.
 TABULAR = _GROUPS | {"table"}
+WALLS, OUTER, LISTS = frozenset("article main body".split()), frozenset("html body main article".split()), frozenset("ul ol menu".split())
+#: What an element leaves out: nothing, its lines unless a region holds them, its text.
+KEPT, LINE, TEXT = 0, 1, 2
 SIGMA = 1.0
 #: A container inside another counts as its own only if it says more.
 RANK = {"page": 0, "holder": 1, "main": 2, "article": 3}
@@ -124,7 +135,11 @@ def marked(tag: str, classes: str, ident: str) -> int:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text, tags, container, links, characters in links, doubtful part, heading or paragraph around it]."""
+    """Lines of a page: [text, tags, container, links, characters in links, doubtful part, heading or paragraph around it, marked].
+
+    Of the open elements, those inside a line are kept only if they are links or leave text out. ``places`` holds the
+    places of each name among them, so that no event walks the open elements.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -133,11 +148,12 @@ class Lines(HTMLParser):
         self.tags = 0
         self.links = 0
         self.linked = 0
-        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, outside, link, container and doubtful part around it
-        self.held: Counter[str] = Counter()  # open elements by name
+        self.open: list[tuple[str, int, bool, int, int]] = []  # name, what it leaves out, link, container and doubtful part around it
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # places of the elements that are not inside a line
         self.containers: list[str] = ["page"]
         self.around: list[int] = [0]  # of each container the one around it
-        self.outside = 0
+        self.out = [0, 0, 0]  # open elements of each kind: KEPT, LINE, TEXT
         self.anchors = 0
         self.within = 0
         self.doubt = 0
@@ -145,36 +161,53 @@ class Lines(HTMLParser):
 
     def end_line(self) -> None:
         if self.text or self.tags:
-            prose = next((o[0] for o in reversed(self.open) if o[0] not in INLINE), "") if self.text else ""
-            self.lines.append(["".join(self.text), self.tags, self.within, self.links, self.linked, self.doubt, prose])
+            prose = self.open[self.blocks[-1]][0] if self.text and self.blocks else ""
+            self.lines.append(["".join(self.text), self.tags, self.within, self.links, self.linked, self.doubt, prose, self.out[LINE] > 0])
             self.text, self.tags, self.links, self.linked = [], 0, 0, 0
 
+    def last(self, names: frozenset[str]) -> int:
+        """The place of the innermost open element of the names; -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def forget(self, k: int) -> None:
+        _, out, link, _, _ = self.open[k]
+        self.out[out] -= 1
+        self.anchors -= link
+
     def shut(self, k: int) -> None:
         """Closes the open elements from the k-th on."""
-        for name, out, link, _, _ in self.open[k:]:
-            self.held[name] -= 1
-            self.outside -= out
-            self.anchors -= link
         self.within, self.doubt = self.open[k][3:]
-        del self.open[k:]
+        while len(self.open) > k:
+            at = len(self.open) - 1
+            self.forget(at)
+            name = self.open.pop()[0]
+            if name:
+                self.places[name].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+
+    def shut_alone(self, k: int) -> None:
+        """Ends the k-th element, which is inside a line; the blocks in it go on."""
+        if k == len(self.open) - 1:
+            self.shut(k)
+            return
+        self.forget(k)
+        name, _, _, within, doubt = self.open[k]
+        self.places[name].remove(k)
+        self.open[k] = ("", KEPT, False, within, doubt)
 
     def imply(self, names: frozenset[str], beyond: frozenset[str]) -> None:
         """Closes the open ``names`` that are not around one of ``beyond``."""
-        if not any(self.held[n] for n in names):
+        k = self.last(names)
+        if k < 0 or k < (wall := self.last(beyond)):
             return
-        found = None
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name in names:
-                found = k
-            elif name in beyond:
-                break
-        if found is not None:
-            self.shut(found)
+        self.shut(min(p for n in names for p in self.places.get(n, ())[-1:] if p > wall))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.end_line()
+        elif tag == "a" and self.places.get("a"):
+            self.shut_alone(self.places["a"][-1])
         if tag in IMPLIED:
             self.imply(*IMPLIED[tag])
         if tag in ENDS_P:
@@ -190,21 +223,26 @@ class Lines(HTMLParser):
         classes, ident = (next((v for k, v in attrs if k == name and v), "") for name in ("class", "id"))
         names = f"{classes} {ident}".strip()
         role = next((v for k, v in attrs if k == "role" and v), "").lower()
-        out = tag in OUTSIDE or role in ROLES or any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs)
-        out = out or tag == "header" and not self.within
+        outside = tag in OUTSIDE or role in ROLES or any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs)
+        outside = outside or tag == "header" and not self.within
         mark = 0
         if names and tag not in ("html", "body", "article", "main"):
             mark = marked(tag, classes, ident)
-            out = out or mark == SURE or not self.within and SITE.search(names) is not None
-        out = out or tag == "article" and bool(self.within) and any(map(COMMENT.fullmatch, names.split()))
+            outside = outside or mark == SURE or not self.within and SITE.search(names) is not None
+        outside = outside or tag == "article" and bool(self.within) and any(map(COMMENT.fullmatch, names.split()))
+        out = TEXT if tag in TEXTLESS or outside and tag in INLINE else LINE if outside else KEPT
         inside, kind = self.within, ""
         if tag in ("article", "main") or role == "main":
             kind = "article" if tag == "article" else "main"
         elif tag in ("div", "section", "td") and not out and HOLDER.search(names):
             kind = "holder"
         link = tag == "a" and any(k == "href" for k, _ in attrs)
+        if tag in INLINE and not (out or link):
+            return
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, out, link, self.within, self.doubt))
-        self.held[tag] += 1
         if kind and RANK[kind] > RANK[self.containers[inside]]:
             self.containers.append(kind)
             self.around.append(inside)
@@ -213,7 +251,7 @@ class Lines(HTMLParser):
         elif mark == DOUBTFUL and not out:
             self.doubts += 1
             self.doubt = self.doubts
-        self.outside += out
+        self.out[out] += 1
         self.anchors += link
         self.within = inside
 
@@ -226,30 +264,21 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
-        if not self.held[tag]:
+        if not self.places.get(tag):
+            return
+        k = self.places[tag][-1]
+        if tag in INLINE:
+            if k > self.last(WALLS | _CELLS):
+                self.shut_alone(k)
             return
-        blocks = False
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                if blocks and tag in INLINE:  # ends the element alone; the blocks in it go on
-                    _, out, link, _, _ = self.open.pop(k)
-                    self.held[tag] -= 1
-                    self.outside -= out
-                    self.anchors -= link
-                else:
-                    self.shut(k)
-                break
-            blocks = blocks or name not in INLINE
-            if name in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
-                break  # a stray end tag closes nothing beyond the article
-            if name in _CELLS and tag not in TABULAR and tag not in ("html", "body", "main", "article") or tag == "li" and name in ("ul", "ol", "menu"):
-                break
+        if tag not in OUTER and (k < self.last(WALLS) or tag not in TABULAR and k < self.last(_CELLS) or tag == "li" and k < self.last(LISTS)):
+            return  # a stray end tag closes nothing beyond the article, the cell or the list
+        self.shut(k)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.shut(len(self.open) - 1)
-        if not self.outside:
+        if not self.out[TEXT]:
             self.text.append(data)
             if self.anchors:
                 self.linked += len(data.strip())
@@ -265,10 +294,19 @@ class Lines(HTMLParser):
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """The ratios smoothed with a Gaussian of radius 3 sigma; ends are padded with the end values."""
+    """The ratios smoothed with a Gaussian of radius 3 sigma; before and behind the page there is no text."""
     r = max(1, int(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratios, r, mode="edge"), k / k.sum(), "valid")
+    return np.convolve(np.pad(ratios, r), k / k.sum(), "valid")
+
+
+def in_regions(lines: list[tuple]) -> tuple[list[bool], list[bool]]:
+    """Which lines cluster: their smoothed ratio of characters to tags, times their prior, reaches one standard deviation; and which reach it unsmoothed."""
+    own = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
+    ratios = smoothed(np.pad(own, 1))
+    prior = np.array([0.0 if row[-1] else 1.0 for row in lines])
+    bar = ratios.std()
+    return (ratios[1:-1] * prior >= bar).tolist(), (own >= bar).tolist()
 
 
 def doubtful_menus(lines: list[tuple], content: list[bool]) -> set[int]:
@@ -277,7 +315,7 @@ def doubtful_menus(lines: list[tuple], content: list[bool]) -> set[int]:
     Outside of containers most of a doubtful part's characters must be in clusters as well.
     """
     parts: dict[int, list[int]] = {}
-    for (t, _, within, links, linked, doubt, _), good in zip(lines, content):
+    for (t, _, within, links, linked, doubt, *_), good in zip(lines, content):
         if doubt and t:
             p = parts.setdefault(doubt, [0, 0, 0, 0, within])
             p[0] += len(t)
@@ -287,7 +325,7 @@ def doubtful_menus(lines: list[tuple], content: list[bool]) -> set[int]:
     return {d for d, (size, linked, links, good, within) in parts.items() if 2 * linked > size or links and not good or not within and 2 * good < size}
 
 
-def in_containers(lines: list[tuple], content: list[bool], parser: Lines) -> list[bool]:
+def in_containers(lines: list[tuple], content: list[bool], dense: list[bool], parser: Lines) -> list[bool]:
     """Which lines of a page with containers count: see the module's docstring."""
     kinds, around = parser.containers, parser.around
     light = [bool(t) and 2 * linked <= len(t) for t, _, _, linked, _ in lines]
@@ -309,8 +347,10 @@ def in_containers(lines: list[tuple], content: list[bool], parser: Lines) -> lis
             outer.add(c)
     more = {c for c in whole if RANK[kinds[c]] < top and c not in outer and 2 * good[c] > whole[c]}
     found = [bool(t) and (within in kept or within in outer and few or within in more and c) for (t, within, *_), c, few in zip(lines, content, light)]
-    # beside the containers: paragraphs in clusters with the headings above them, and the title if the containers have none
+    # beside the containers: paragraphs and dense lines in regions with the headings above them, and the title if the containers have none
     start, titled = found.index(True), any(f and row[4] == "h1" for f, row in zip(found, lines))
+    region = np.cumsum(~np.array(content)).tolist()
+    held = {r for r, f, c in zip(region, found, content) if f and c}
     heads = False
     for i in range(len(lines) - 1, -1, -1):
         t, within, _, _, prose = lines[i]
@@ -320,7 +360,7 @@ def in_containers(lines: list[tuple], content: list[bool], parser: Lines) -> lis
             found[i] = heads or prose == "h1" and i < start and not titled
             titled = titled or found[i] and prose == "h1"
         else:
-            found[i] = heads = prose in PROSE and content[i]
+            found[i] = heads = bool(t) and content[i] and (prose in PROSE or dense[i] and region[i] in held)
     return found
 
 
@@ -333,12 +373,12 @@ def main_text(html: str) -> str:
     lines = [(" ".join(text.split()), *rest) for text, *rest in parser.done()]
     if not any(t for t, *_ in lines):
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, *_ in lines]))
-    content = (ratios >= ratios.std()).tolist()
+    content, dense = in_regions(lines)
+    lines = [("" if out and not good else t, *rest, out) for (t, *rest, out), good in zip(lines, content)]
     menus = doubtful_menus(lines, content)
-    lines = [("" if doubt in menus else t, within, links, linked, prose) for t, _, within, links, linked, doubt, prose in lines]
+    lines = [("" if doubt in menus else t, within, links, linked, prose) for t, _, within, links, linked, doubt, prose, _ in lines]
     if any(t and within for t, within, *_ in lines):
-        return " ".join(row[0] for row, found in zip(lines, in_containers(lines, content, parser)) if found)
+        return " ".join(row[0] for row, found in zip(lines, in_containers(lines, content, dense, parser)) if found)
     inside = [(t, content[i], links) for i, (t, _, links, _, _) in enumerate(lines) if t]
     good = [i for i, (_, c, _) in enumerate(inside) if c]
     first, last = (good[0], good[-1]) if good else (0, len(inside) - 1)

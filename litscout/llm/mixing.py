@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD_RUN, hash_words, slices, stored, table, text_of
+from ..storage import stored
+from .common import WORD_RUN, hash_words, slices, table, text_of
 
 SEED = "mix-1"
 CAP = 3

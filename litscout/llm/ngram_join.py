@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import stored
 from .blocks import by_group, dealt, in_batches, roots_of
-from .common import SPACE_RUN, components, digest, stored, table, text_of, worker_memo
+from .common import SPACE_RUN, digest, table, text_of, worker_memo
 
 N_WORDS, THRESHOLD = 5, (4, 5)
 RECALL, MOST_HASHES = 0.9995, 128

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread_row_number, stored, table, text_of
+from ..storage import stored
+from .common import slices, spread_row_number, table, text_of
 from .tokens import encoder, tokenizer_file
 
 WINDOW, END = 4096, 2

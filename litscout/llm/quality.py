@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of, worker_memo
+from ..storage import stored
+from .common import table, text_of, worker_memo
 
 #: Rows that scorers and term lists are fitted on, at most.
 SAMPLE = 12_000

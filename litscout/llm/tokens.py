@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_of, worker_memo
+from ..storage import shared_dir
+from .common import table, text_of, worker_memo
 
 MOST_WORDS = 900_000
 #: Texts of letters without normal forms or odd lower case, digits, marks but the apostrophe, and white space;

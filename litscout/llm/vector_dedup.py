@@ -32,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import stored
 from .blocks import by_group, dealt, in_batches, roots_of
-from .common import components, stored, table
+from .common import table
 
 COSINE = 0.95
 TREES, LEAF, SAMPLE, SPILL = 4, 2048, 20_000, 0.75

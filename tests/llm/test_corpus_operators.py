@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from litscout.llm import exact_dedup, mixing, ngram_join, shard, vector_dedup
-from litscout.llm.common import components
+from litscout.operators.graph import components
 
 from .test_text_operators import EDGE_IDS, EDGES, corpus, documents
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -118,6 +119,25 @@ def test_clusters_decide_about_doubtful_parts(monkeypatch):
     assert main_text(page) == f"{LONG * 9}{' x' * 9} Short text b"
 
 
+def test_regions_decide_about_marked_parts(monkeypatch):
+    page = f"<body><nav><a href=x>m</a></nav><div class='ad'>Buy</div><article><p>{LONG}</p><p>x</p></article><footer>f</footer>"
+    assert main_text(page) == f"{LONG} x"
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert main_text(page) == f"Buy {LONG} x f"
+
+
+def test_dense_lines_beside_containers():
+    assert main_text(f"<article><p>{LONG}</p></article><div>{LONG}</div><div><a href=x>{LONG}</a></div>") == f"{LONG} {LONG}"
+    assert main_text(f"<article><p>{LONG}</p></article><div>short</div>") == LONG
+
+
+@pytest.mark.parametrize("soup", ["<p>x</b></i>" * 80_000, "<div>" * 100_000 + "</b><h2>x</h2>" * 40_000, "<p><button>" + "<div>" * 80_000 + "<h2></h2>" * 50_000, "<b>" * 90_000 + "<div>" * 50_000 + "</b>" * 90_000, "<a href=x>" * 90_000])
+def test_tag_soup_takes_no_walks(soup):
+    began = time.process_time()
+    main_text(soup)
+    assert time.process_time() - began < 6
+
+
 def test_extract_table(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     page = "<article><p>Hi&nbsp;there</p></article>"
