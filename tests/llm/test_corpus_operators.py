@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from litscout.llm import exact_dedup, mixing, ngram_join, shard, vector_dedup
 from litscout.operators.graph import components
+from litscout.storage import stored
 
 from .test_text_operators import EDGE_IDS, EDGES, corpus, documents
 
@@ -215,6 +216,34 @@ def test_vectors_of_several_lengths(spark, parameters):
         assert got == want
 
 
+def test_leaves_are_split_by_their_own_rows(spark):
+    """From a sample far too small for the table's leaves, however large the table is."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16))
+    rows = [(i, 1, 16, v.tobytes()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node bigint, copies bigint, width int, raw binary")
+    forests = {16: {t: vector_dedup.grow(x[:80], 3000, 64, vector_dedup.margin_of(0.95, 16), t) for t in range(3)}}
+    routed = stored(nodes.mapInArrow(vector_dedup._router(forests, 0.95, np.float64), vector_dedup.ROUTED))
+    split, crowded = vector_dedup.small_leaves(routed, 64, 0.95, np.float64, 200)
+    got = [r.leaves for r in split.collect()]
+    sizes = Counter(leaf for leaves in got for leaf in leaves)
+    assert crowded is None and max(sizes.values()) <= 128 and len(got) == 3000
+    assert all({leaf >> vector_dedup.PLACE for leaf in leaves} == {0, 1, 2} for leaves in got)
+
+
+def test_vectors_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((30, 3))
+    rows = [(i, v.tolist(), "n", 0) for i, v in enumerate(np.concatenate([x, x + 0.01]))] + [(100 + i, rng.standard_normal(5).tolist(), "n", 0) for i in range(20)]
+    got = [sorted(map(tuple, vector_dedup.vector_dedup(vectors(spark, rows).repartition(n)).collect())) for n in (1, 4)]
+    assert got[0] == got[1]
+
+
+def test_more_trees_for_deeper_tables():
+    counts = [vector_dedup.trees_for(n, 2048, 0.95) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert counts == sorted(counts) and counts[0] == 2 and counts[-1] <= 20
+
+
 def test_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, "", 0), (2, [0.0, 0.0], "", 0), (3, [nan, 1.0], "", 0), (4, [inf, 1.0], "", 0), (5, [1.0, None], "", 0), (6, [1.0, 0.0], "", 0), (7, [2.0, 0.0], "", 0), (7, [3.0, 0.0], "", 0), (None, [1.0, 0.01], "", 0), (9, [], "", 0), (10, [0.0, 1e-300], "", 0), (11, [-0.0, 1e300], "", 0)]
