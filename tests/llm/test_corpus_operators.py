@@ -105,6 +105,32 @@ def test_blocked_overlaps_equal_pairs():
     assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x, y in want if x < 15 <= y}
 
 
+@pytest.mark.parametrize("chunk", [16_384, 50])
+def test_least_hashes_of_texts(monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(1, 2**32, 20, np.uint32) for _ in range(2))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 5, 300, 6, 2, 30, 7)]
+    hashed = [ngram_join.word_hashes(ngram_join.words_of(t)) for t in texts]
+    for text, low in zip(texts, ngram_join._lows(hashed, 5, a, b)):
+        s = (ngram_join.shingles(text) >> np.uint64(32)).astype(np.uint32)
+        assert (low == (a[:, None] * s[None] + b[:, None]).min(1)).all()
+
+
+@pytest.mark.parametrize("rows", [512, 3])
+def test_chance_meetings_chain_nothing(spark, monkeypatch, rows):
+    """Pairs that share a band but too few values are no candidates; those at the threshold are, in blocks of any size."""
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", rows)
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 2**16, (12, 100)).astype("<u2")
+    sig[1, :79] = sig[0, :79]
+    sig[5, :56], sig[6, :54] = sig[4, :56], sig[4, :54]
+    df = spark.createDataFrame([(7, i, 12, s.tobytes()) for i, s in enumerate(sig)], "bucket bigint, node bigint, m bigint, sig binary")
+    dealt = ngram_join.dealt(df, "bucket", "node", F.ceil(F.col("m") / rows)).select("bucket", "bi", "bj", "own", "node", "sig")
+    got = {(r.a, r.b) for r in dealt.mapInArrow(ngram_join._agreeing(ngram_join.AGREE), "a bigint, b bigint").collect()}
+    assert got == {(0, 1), (4, 5)}
+
+
 def test_banding():
     bands, rows = ngram_join.banding(0.8)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
