@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import title_score
+from ..functions.fuzzy import near_spelling, title_score, token_set_ratio
 from ..functions.text import normalize_identifier, normalize_title, strip
-from ..storage import stored
+from ..storage import discard, stored
+from .graph import components
 
 THRESHOLD = 0.9
+#: Titles of a block, and keys of a component that one task passes through.
+BLOCK_TITLES, TASK_KEYS = 2048, 200_000
 
 
 def exact_key() -> Column:
@@ -39,43 +45,24 @@ def not_in_library(candidates: DataFrame, library: DataFrame) -> DataFrame:
     return out.drop("__d", "__i")
 
 
-def _features(titles: DataFrame) -> DataFrame:
-    """Of normalised titles (t): distinct words, their joined length, and trigrams of blank + word."""
+def _words(titles: DataFrame) -> DataFrame:
+    """Of normalised titles (t): distinct words and their joined length."""
     words = F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))
-    out = titles.withColumn("words", words).withColumn("size", F.length(F.array_join("words", " ")))
-    grams = F.flatten(
-        F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(F.concat(F.lit(" "), w), i, F.lit(3))))
-    )
-    return out.withColumn("grams", F.array_distinct(grams)).where(F.size("words") > 0)
+    return titles.withColumn("words", words).withColumn("size", F.length(F.array_join("words", " "))).where(F.size("words") > 0)
 
 
-def _rarest(features: DataFrame, other: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (t, size, key, n, rank) of both sides, keys ranked from the rarest on; counts cover both sides."""
-    each = [d.select("t", "size", F.explode(what).alias("key")) for d in (features, other)]
+def _rarest(sides: tuple[DataFrame, DataFrame]) -> list[DataFrame]:
+    """Postings (t, size, keys) of both sides, words from the rarest on; counts cover both sides."""
+    each = [d.select("t", "size", F.explode("words").alias("key")) for d in sides]
     counts = each[0].union(each[1]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    out = []
-    for d in each:
-        posts = d.join(counts, "key").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-        out.append(posts)
-    return out[0], out[1]
-
-
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (t, u) of different normalised titles whose token-set similarity reaches the threshold; ``left`` and ``right`` hold distinct (t).
-
-    Candidates, without comparing all with all:
+    return [d.join(counts, "key").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")) for d in each]
 
-    * pairs whose score comes from common words share one of the rarest words of either side: what is not
-      common makes at most a fifth of a side's length, so the rarest words that make up more than that
-      hold a common one; for a set inside another, the rarest word of the smaller is common;
-    * pairs whose score comes from spelling differ in at most 2/9 of their length in edits, of which each
-      destroys three trigrams at most: they share one of the rarest trigrams, as many as that leaves. Titles
-      too short for that bound are compared with those of similar length.
 
-    The bounds hold for thresholds of 0.9 and more.
-    """
-    a, b = stored(_features(left)), stored(_features(right))
-    wa, wb = _rarest(a, b, "words")
+def _alike_in_words(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose score comes from common words. They share one of the rarest words of either side: what is not
+    common makes at most a fifth of a side's length, so the rarest words that make up more than that hold a
+    common one; for a set inside another, the rarest word of the smaller is common."""
+    wa, wb = _rarest((a, b))
     within = F.expr(
         "transform(filter(transform(keys, (x, i) -> struct(x.key AS key, aggregate(slice(keys, 1, i), 0, (s, y) -> s + length(y.key) + 1) AS ahead)), "
         "x -> x.ahead <= 0.25 * size + 1), x -> x.key)"
@@ -86,23 +73,49 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
         return d.select(F.col("t").alias(name), F.explode(keys).alias("key"))
 
     found = [posts(wa, within, "t").join(posts(wb, every, "u"), "key"), posts(wa, every, "t").join(posts(wb, within, "u"), "key")]
-    ga, gb = _rarest(a, b, "grams")
-    spare = F.expr("greatest(size(keys) - 3 * cast(floor(2 * size / 9.0) AS int) - 2, 0)")
-    prefix = F.expr("slice(transform(keys, x -> x.key), 1, size(keys) - spare + 1)")
-    ga, gb = ga.withColumn("spare", spare), gb.withColumn("spare", spare)
-    found.append(posts(ga.where("spare > 0"), prefix, "t").join(posts(gb, F.expr("transform(keys, x -> x.key)"), "u"), "key"))
-    pairs = found[0].select("t", "u").union(found[1].select("t", "u")).union(found[2].select("t", "u"))
-    short = ga.where("spare = 0").select("t", F.explode(F.expr("sequence(cast(floor(size * 9 / 11.0) AS int), cast(ceil(size * 11 / 9.0) AS int))")).alias("length"))
-    pairs = pairs.union(short.join(gb.select(F.col("t").alias("u"), F.col("size").alias("length")), "length").select("t", "u"))
-    pairs = pairs.where("t <> u").distinct()
-    # the same two bounds on the pair itself, in the JVM, before the exact score
-    sides = [d.select(F.col("t").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("words", "grams", "size")]) for d, name in ((a, "t"), (b, "u"))]
-    pairs = pairs.join(sides[0], "t").join(sides[1], "u")
+    pairs = found[0].select("t", "u").union(found[1].select("t", "u")).where("t <> u").distinct()
+    # the bound on the pair itself, in the JVM, before the exact score
+    for d, name in ((a, "t"), (b, "u")):
+        pairs = pairs.join(d.select(F.col("t").alias(name), F.col("words").alias(f"words_{name}"), F.col("size").alias(f"size_{name}")), name)
     shared = F.length(F.array_join(F.array_intersect("words_t", "words_u"), " "))
-    by_words = shared >= 0.75 * F.least("size_t", "size_u") - 1
-    edits = F.floor((F.col("size_t") + F.col("size_u")) / 10)
-    by_grams = F.size(F.array_intersect("grams_t", "grams_u")) >= F.greatest(F.size("grams_t"), F.size("grams_u")) - 3 * edits - 2
-    return pairs.where(by_words | by_grams).select("t", "u").where(title_score("t", "u") >= threshold)
+    return pairs.where(shared >= 0.75 * F.least("size_t", "size_u") - 1).select("t", "u").where(title_score("t", "u") >= threshold)
+
+
+def _alike_in_spelling(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose score comes from spelling: their words, joined, differ in at most 1 - threshold of their lengths in edits.
+
+    So the lengths' ratio has a bound: titles fall into classes of length, and each meets three of them. A class is cut into
+    blocks, every pair of blocks is a task, and there numpy applies ``near_spelling``'s bounds to whole blocks before
+    the exact score. Class sizes reach the driver; there are as many as the logarithm of the longest title.
+    """
+    step = math.log((2 - threshold) / threshold) * (1 + 1e-6)
+    held = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
+    left = a.select("t", held.alias("class"))
+    right = b.select(F.col("t").alias("t"), F.explode(F.array(held - 1, held, held + 1)).alias("class"))
+    blocks = []
+    for d in (left, right):
+        n = {r["class"]: -(-r["n"] // BLOCK_TITLES) for r in d.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+        blocks.append(F.coalesce(F.create_map(*[F.lit(x) for kv in n.items() for x in kv])[F.col("class")], F.lit(1)) if n else F.lit(1))
+    own, every = [F.pmod(F.xxhash64("t"), n) for n in blocks], [F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1) for n in blocks]
+    left = left.select("t", "class", F.lit(0).alias("side"), own[0].alias("i"), F.explode(every[1]).alias("j"))
+    right = right.select("t", "class", F.lit(1).alias("side"), F.explode(every[0]).alias("i"), own[1].alias("j"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        titles = [[t for t, s in zip(rows.column("t").to_pylist(), rows.column("side").to_pylist()) if s == side] for side in (0, 1)]
+        pairs = [(t, u) for t, u in near_spelling(*titles, threshold) if t != u and token_set_ratio(t, u) >= 100 * threshold]
+        return pa.table({"t": pa.array([t for t, _ in pairs], pa.string()), "u": pa.array([u for _, u in pairs], pa.string())})
+
+    return left.union(right).groupBy("class", "i", "j").applyInArrow(compare, "t string, u string")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (t, u) of different normalised titles whose token-set similarity reaches the threshold; ``left`` and ``right`` hold distinct (t).
+
+    No pair is lost (for thresholds of 0.9 and more): a score comes either from common words, and then rare words meet in
+    a join, or from spelling, and then lengths agree and blocks of titles are compared by counts of characters first.
+    """
+    a, b = (stored(_words(d)) for d in (left, right))
+    return _alike_in_words(a, b, threshold).union(_alike_in_spelling(a, b, threshold)).distinct()
 
 
 def fuzzy_not_in_library(candidates: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,15 +127,24 @@ def fuzzy_not_in_library(candidates: DataFrame, library: DataFrame, threshold: f
     return candidates.withColumn("__t", t).join(like.withColumnRenamed("t", "__t"), "__t", "left_anti").drop("__t")
 
 
-def greedy(nodes: DataFrame, holds: DataFrame, watches: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """The ids that a pass in id order keeps, where a row is dropped if an earlier kept row holds a key that it watches.
-
-    ``holds`` and ``watches``: (id, key). In rounds: of each key the least kept and the least undecided holder
-    are found; a row with an earlier kept holder is dropped, one without an earlier undecided one is kept.
-    A key shared by n rows costs n rows, not n * n. Not components: of a ~ b ~ c, a and c stay.
-    """
-    status = nodes.select("id", F.lit(None).cast("boolean").alias("kept"))
-    for _ in range(most_rounds):
+def in_order(rows: pa.Table) -> pa.Table:
+    """The ids (id, holds, watches) that a pass in id order keeps, where a row is dropped if an earlier kept row holds a key that it watches."""
+    held: set[str] = set()
+    kept = []
+    rows = rows.sort_by("id")
+    for i, holds, watches in zip(*(rows.column(c).to_pylist() for c in ("id", "holds", "watches"))):
+        if held.isdisjoint(watches or ()):
+            held.update(holds or ())
+            kept.append(i)
+    return pa.table({"id": pa.array(kept, rows.schema.field("id").type)})
+
+
+def in_rounds(holds: DataFrame, watches: DataFrame) -> DataFrame:
+    """What ``in_order`` keeps, for rows (id, key) of any number: of each key the least kept and the least undecided
+    holder are found; a row with an earlier kept holder is dropped, one without an earlier undecided one is kept. A key
+    shared by n rows costs n rows, not n * n. Every round decides the least undecided row at least, so it ends."""
+    status = stored(holds.select("id").union(watches.select("id")).distinct().select("id", F.lit(None).cast("boolean").alias("kept")))
+    while status.where("kept IS NULL").limit(1).count():
         of = holds.join(status, "id").where("kept IS NULL OR kept")
         of = of.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("o"))
         seen = watches.join(of, "key").groupBy("id").agg(F.max(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("any_kept"), F.max(F.coalesce(F.col("o") < F.col("id"), F.lit(False))).alias("any_open"))
@@ -131,10 +153,35 @@ def greedy(nodes: DataFrame, holds: DataFrame, watches: DataFrame, most_rounds:
             .when(F.coalesce("any_kept", F.lit(False)), F.lit(False))
             .when(~F.coalesce("any_open", F.lit(False)), F.lit(True))
         )
-        status = stored(status.join(seen, "id", "left").select("id", decided.alias("kept")))
-        if status.where("kept IS NULL").limit(1).count() == 0:
-            return status.where("kept").select("id")
-    raise RuntimeError("greedy pass did not end")
+        was, status = status, stored(status.join(seen, "id", "left").select("id", decided.alias("kept")))
+        discard(was)
+    return status.where("kept").select("id")
+
+
+def greedy(holds: DataFrame, watches: DataFrame, most: int = TASK_KEYS) -> DataFrame:
+    """The ids that a pass in id order keeps, where a row is dropped if an earlier kept row holds a key that it watches.
+
+    ``holds`` and ``watches``: (id, key), ids bigint. Rows that no key connects do not matter to each other, so each
+    connected component is passed through in one task; one of over ``most`` keys is decided in rounds instead. Not
+    components alone: of a ~ b ~ c, a and c stay.
+    """
+    keys = stored(holds.select("id", "key", F.lit(True).alias("held")).union(watches.select("id", "key", F.lit(False))))
+    if keys.count() <= most:
+        return _passed(keys.withColumn("root", F.lit(0)))
+    least = keys.groupBy("key").agg(F.min("id").alias("a"))
+    roots = components(keys.join(least, "key").where("id <> a").select("a", F.col("id").alias("b"))).select(F.col("node").alias("id"), "root")
+    keys = stored(keys.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    large = stored(keys.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    if not large.limit(1).count():
+        return _passed(keys)
+    rest = stored(keys.join(large, "root", "left_semi"))
+    rounds = in_rounds(*(rest.where(F.col("held") == held).select("id", "key") for held in (True, False)))
+    return _passed(keys.join(large, "root", "left_anti")).union(rounds)
+
+
+def _passed(keys: DataFrame) -> DataFrame:
+    rows = keys.groupBy("root", "id").agg(*[F.collect_list(F.when(F.col("held") == held, F.col("key"))).alias(name) for held, name in ((True, "holds"), (False, "watches"))])
+    return rows.groupBy("root").applyInArrow(in_order, "id bigint")
 
 
 def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float = THRESHOLD) -> DataFrame:
@@ -144,14 +191,14 @@ def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float
     """
     identifier, doi = normalize_identifier(F.col("identifier")), normalize_identifier(F.col("doi"))
     own = F.array_distinct(F.array_compact(F.array(identifier, F.when((F.col("doi") != "") & (doi != ""), doi))))
-    rows = stored(candidates.select(F.col(order).alias("id"), normalize_title(F.col("title")).alias("t"), own.alias("keys")))
+    rows = stored(candidates.select(F.col(order).cast("bigint").alias("id"), normalize_title(F.col("title")).alias("t"), own.alias("keys")))
     titled = rows.where("t <> ''")
     titles = titled.select("t").distinct()
     like = similar_titles(titles, titles, threshold)
     holds = rows.select("id", F.explode("keys").alias("key")).select("id", F.concat(F.lit("k"), F.col("key")).alias("key"))
     holds = stored(holds.union(titled.select("id", F.concat(F.lit("t"), F.col("t")).alias("key"))))
     watches = stored(holds.union(titled.join(like, "t").select("id", F.concat(F.lit("t"), F.col("u")).alias("key"))))
-    kept = greedy(rows, holds, watches)
+    kept = greedy(holds, watches)
     return candidates.join(kept.withColumnRenamed("id", order), order, "left_semi")
 
 

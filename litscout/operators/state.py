@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,26 +56,31 @@ def with_hash(library: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Versioned snapshots of a table under a folder: ``v=N`` folders and a pointer file that is written last.
+    """Versioned snapshots of a table under a folder: ``v=N`` folders and a pointer file ``pointer-N.json`` for each, written last.
 
-    A reader never sees a half-written snapshot, and a path that is being read is never overwritten.
+    Pointers are renamed into place and never replaced: a reader takes the highest, so it never sees a half-written
+    snapshot, and there is no moment without a pointer. A path that is being read is never overwritten.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
     def _files(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def pointer(self) -> dict:
         """{"version": n, ...} with what was stored beside; version -1 at first."""
-        jvm, fs = self._files()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer.json")
-        if not fs.exists(at):
+        fs = self._files()
+        if not fs.exists(self._path()):
+            return {"version": -1}
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())]
+        numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"pointer-(\d+)\.json", n))]
+        if not numbers:
             return {"version": -1}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/pointer.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{max(numbers)}.json").collect()))
 
     def read(self, schema: str) -> DataFrame:
         n = self.pointer()["version"]
@@ -84,11 +90,10 @@ class Snapshots:
         """Writes the next snapshot and points to it; ``beside`` holds values such as the cursor (SNK4, SNK5)."""
         n = self.pointer()["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        jvm, fs = self._files()
-        new, at = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in ("pointer.new", "pointer.json"))
+        fs, new = self._files(), self._path(f"_pointer-{n}.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(beside | {"version": n}).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        if not fs.rename(new, self._path(f"pointer-{n}.json")):
+            raise OSError(f"snapshot {n} of {self.path} was written by another run")
         return n

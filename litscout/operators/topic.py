@@ -54,7 +54,14 @@ def any_set(text: Column, sets: list[list[list[str]]]) -> Column:
 
 
 def on_topic(text: Column, t: Topics) -> Column:
-    """The predicate: no excluded term; then the sets, or else the groups; then, if asked for, an included term."""
+    """The predicate: no excluded term; then the sets, or else the groups; then, if asked for, an included term.
+
+    The text is bound once, however many terms there are.
+    """
+    return F.transform(F.array(text), lambda bound: _rules(bound, t))[0]
+
+
+def _rules(text: Column, t: Topics) -> Column:
     keep = ~contains_any(text, t.exclude)
     if t.any_of:
         keep &= any_set(text, t.any_of)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The library's vectors are broadcast up to this many bytes; beyond, blocks of it are dealt out.
+#: Bytes of vectors that are broadcast at most, as they are held; beyond, blocks of that size are dealt out.
 BROADCAST_BYTES = 64_000_000
+#: Rows of both sides whose scores are held at once.
+TILE = (512, 4096)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,65 +27,88 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def _block_best(left: np.ndarray, keys: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, score) of the k best of ``right`` for each row; ties go to the smaller key."""
-    score = left @ right.T
-    k = min(k, score.shape[1])
-    order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(left)), k)
-    return rows, keys[order].ravel(), np.take_along_axis(score, order, 1).ravel()
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column of lists of one length, in the type they came in."""
+    flat = pc.list_flatten(column).combine_chunks()
+    return np.asarray(flat).reshape(len(column), -1)
+
+
+def _best(left: np.ndarray, right: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row of ``right``, score) of the k best of ``right`` for each row; ties go to the earlier. Scores are held tile by tile."""
+    for a in range(0, len(left), TILE[0]):
+        part = left[a : a + TILE[0]].astype(np.float64)
+        rows, cols, scores = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        for b in range(0, len(right), TILE[1]):
+            score = part @ right[b : b + TILE[1]].astype(np.float64).T
+            if k == 1:
+                r, c = np.arange(len(part)), score.argmax(1)
+            else:
+                bar = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+                r, c = np.nonzero(score >= bar[:, None])
+            rows, cols, scores = np.r_[rows, r], np.r_[cols, c + b], np.r_[scores, score[r, c]]
+            order = np.lexsort((cols, -scores, rows))
+            rows, cols, scores = rows[order], cols[order], scores[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols, scores = rows[place < k], cols[place < k], scores[place < k]
+        yield rows + a, cols, scores
 
 
 def nearest(candidates: DataFrame, library: DataFrame, k: int = 1, id_col: str = "id", vec_col: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """JN6 (JN5 for k = 1): (id, key, similarity, rank) of the k items of greatest inner product for each candidate.
+    """JN6 (JN5 for k = 1): (id, key, similarity, rank) of the k items of greatest inner product for each candidate; ties go to the smaller key.
 
-    The library is measured first. If its matrix fits the bound it is broadcast once; otherwise both sides
-    are cut into blocks and every pair of blocks is one task, of which only k rows a candidate come back.
+    Both sides are measured first, as they are held. If the library's matrix fits the bound it is broadcast once;
+    otherwise each side is cut into as many blocks as its bytes ask for and every pair of blocks is one task, of which
+    only k rows a candidate come back. Vectors have one length, the library's greatest; others match nothing.
     """
     spark = candidates.sparkSession
-    lib = library.select(F.col(id_col).alias("key"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
-    size = lib.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    rows = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
+    single = all(dict(d.dtypes)[vec_col] == "array<float>" for d in (candidates, library))
+    kind, width = ("array<float>", 4) if single else ("array<double>", 8)
+    lib = library.select(F.col(id_col).alias("key"), F.col(vec_col).cast(kind).alias("v"))
+    rows = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("v"))
+    dims = lib.agg(F.max(F.size("v"))).first()[0] or 0
+    lib, rows = (d.where((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull())) for d in (lib, rows))
     schema = f"id {dict(rows.dtypes)['id']}, key {dict(lib.dtypes)['key']}, similarity double"
-    need = size.n * (size.d or 0) * 4
-    if need <= broadcast_bytes:
+    if dims < 1:
+        return spark.createDataFrame([], schema + ", rank int")
+    held = [d.count() * (dims * width + 32) for d in (rows, lib)]
+    if held[1] <= broadcast_bytes:
         found = _broadcast_nearest(spark, rows, lib, k, schema)
     else:
-        found = _block_nearest(rows, lib, k, -(-need // broadcast_bytes), schema)
+        found = _block_nearest(rows, lib, k, *(max(1, -(-h // broadcast_bytes)) for h in held), schema)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "key")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _broadcast_nearest(spark: SparkSession, rows: DataFrame, lib: DataFrame, k: int, schema: str) -> DataFrame:
-    table = lib.orderBy("key").toPandas()  # at most ``broadcast_bytes``
-    keys, matrix = table["key"].to_numpy(), np.array(table["v"].tolist(), np.float64)
-    if not len(keys):
+    table = lib.orderBy("key").toArrow()  # at most ``broadcast_bytes``
+    if not table.num_rows:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((keys, matrix))
+    held = spark.sparkContext.broadcast((table.column("key").combine_chunks(), _matrix(table.column("v"))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, right = held.value
-        for pdf in batches:
-            for a in range(0, len(pdf), 1024):
-                part = pdf.iloc[a : a + 1024]
-                i, key, score = _block_best(np.array(part["v"].tolist(), np.float64), names, right, k)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "key": key, "similarity": score.astype(float)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, right = held.value
+        for batch in batches:
+            if batch.num_rows:
+                left = _matrix(pa.chunked_array([batch.column("v")]))
+                for i, j, score in _best(left, right, k):
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), keys.take(pa.array(j)), pa.array(score)], names=["id", "key", "similarity"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _block_nearest(rows: DataFrame, lib: DataFrame, k: int, blocks: int, schema: str) -> DataFrame:
-    left = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = lib.withColumn("j", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _block_nearest(rows: DataFrame, lib: DataFrame, k: int, left_blocks: int, right_blocks: int, schema: str) -> DataFrame:
+    left = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(left_blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))))
+    right = lib.withColumn("j", F.pmod(F.xxhash64("key"), F.lit(right_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("key")
+        empty = pa.table({"id": a.column("id").slice(0, 0), "key": b.column("key").slice(0, 0), "similarity": pa.array([], pa.float64())})
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "key": [], "similarity": []})
-        b = b.sort_values("key")
-        i, key, score = _block_best(np.array(a["v"].tolist(), np.float64), b["key"].to_numpy(), np.array(b["v"].tolist(), np.float64), k)
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "key": key, "similarity": score.astype(float)})
+            return empty
+        parts = [pa.table({"id": a.column("id").take(pa.array(i)), "key": b.column("key").take(pa.array(j)), "similarity": pa.array(score)}) for i, j, score in _best(_matrix(a.column("v")), _matrix(b.column("v")), k)]
+        return pa.concat_tables(parts)
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
 
 
 def centroid(library: DataFrame, vec_col: str = "embedding") -> DataFrame:

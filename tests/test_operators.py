@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,41 @@ def test_chain_keeps_both_ends(spark):
     assert sorted(r.ordinal for r in dedupe.self_dedupe(df).collect()) == [0, 2]
 
 
+def test_long_chains_of_keys(spark):
+    """A chain of versions: the identifier of one row is the DOI of the next. Every other row stays, as in the loop."""
+    values = [(f"v{i}", f"{i:x} " * 3, f"v{i - 1}") for i in range(1000)]
+    want = loop_dedupe(values, [])
+    assert want == list(range(0, 1000, 2))
+    assert sorted(r.ordinal for r in dedupe.self_dedupe(rows(spark, values)).collect()) == want
+
+
+def test_components_and_rounds_equal_the_loop(spark):
+    rng = random.Random(3)
+    rows = [(i, f"k{rng.randint(0, 60)}") for i in range(120) for _ in range(rng.randint(1, 2))]
+    df = spark.createDataFrame(rows, "id bigint, key string")
+    keys: dict[int, set] = {}
+    for i, k in rows:
+        keys.setdefault(i, set()).add(k)
+    held, want = set(), []
+    for i in sorted(keys):
+        if not held & keys[i]:
+            want.append(i)
+            held |= keys[i]
+    for most in (10**6, 40, 1):  # one task, a task for each small component, rounds alone
+        assert sorted(r.id for r in dedupe.greedy(df, df, most).collect()) == want
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_similar_titles_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(dedupe, "BLOCK_TITLES", block)
+    rng = random.Random(12)
+    titles = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 40))).strip() or "x" for _ in range(120)})
+    titles = sorted({" ".join(t.split()) for t in titles} | {t.replace("a", "", 1).strip() or "y" for t in titles})
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    got = {(r.t, r.u) for r in dedupe.similar_titles(df, df).collect()}
+    assert got == {(a, b) for a in titles for b in titles if a != b and token_set_ratio(a, b) >= 90}
+
+
 def test_similar_titles_loses_none(spark):
     rng = random.Random(11)
     letters = "abcdefgh"
@@ -105,6 +141,25 @@ def test_nearest_both_ways(spark):
     assert vectors.nearest(a, b.where("id < 0")).count() == 0
 
 
+def test_nearest_in_tiles(monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", (7, 11))
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-2, 3, (30, 4)).astype(np.float32), rng.integers(-2, 3, (50, 4)).astype(np.float32)
+    for k in (1, 3, 60):
+        got = sorted((int(i), -s, int(j)) for r, c, x in vectors._best(a, b, k) for i, j, s in zip(r, c, x))
+        want = []
+        for i in range(30):
+            want += [(i, *p) for p in sorted((-float(a[i] @ b[j]), j) for j in range(50))[:k]]
+        assert got == sorted(want)
+
+
+def test_topics_hold_the_text_once(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "title string, abstract string, venue string")
+    t = topic.Topics(groups=[[f"term{i}" for i in range(50)]], exclude=["x", "y"])
+    plan = df.where(topic.on_topic(F.lower(F.concat_ws(" ", "title", "abstract", "venue")), t))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") == 1
+
+
 def test_score_adds_raw_weights(spark):
     s = Scoring(whitelist_venues=["VenueX"], whitelist_authors=["ann"])
     df = spark.createDataFrame(
