@@ -8,29 +8,44 @@ from pathlib import Path
 from typing import Any
 
 
+USER_AGENT = "litscout/1"
+
+
+def secret(variable: str, given: str = "") -> str:
+    """A configured value, else the environment's; empty without both. Secrets never enter a plan: clients read them where they ask."""
+    return given or os.environ.get(variable, "") if variable else given
+
+
 @dataclass
 class LibraryApi:
+    base_url: str = ""
     user_id: str = ""
     api_key_env: str = "LIBRARY_API_KEY"
+    headers: dict[str, str] = field(default_factory=dict)
     page_size: int = 100
     polite_delay_ms: int = 200
 
-    def api_key(self) -> str:
-        """The key; only ever from the environment."""
-        key = os.environ.get(self.api_key_env)
-        if not key:
-            raise RuntimeError(f"environment variable {self.api_key_env} is not set")
-        return key
+    def address(self) -> str:
+        return self.base_url.rstrip("/") + (f"/users/{self.user_id}" if self.user_id else "")
+
+    def all_headers(self) -> dict[str, str]:
+        """What every request carries beside the key, such as the interface's version."""
+        return {"User-Agent": USER_AGENT} | self.headers
 
 
 @dataclass
 class Library:
+    MODES = ("api", "bbt")
     mode: str = "api"
     api: LibraryApi = field(default_factory=LibraryApi)
 
     def __post_init__(self) -> None:
-        if self.mode not in ("api", "bbt"):
-            raise ValueError(f"mode must be api or bbt, not {self.mode!r}")
+        one_of(self.MODES, "mode", self.mode)
+
+
+def one_of(allowed: tuple[str, ...], name: str, value: str) -> None:
+    if value not in allowed:
+        raise ValueError(f"{name} must be one of {', '.join(allowed)}, not {value!r}")
 
 
 @dataclass
@@ -39,17 +54,15 @@ class UnifiedApi:
     base_url: str = ""
     api_key_value: str = ""
     api_key_env: str = "UNIFIED_API_KEY"
+    api_key_header: str = "X-API-Key"
     page_size: int = 200
     timeout_s: int = 30
 
-    def api_key(self) -> str:
-        """The configured value, else the environment's."""
-        return self.api_key_value or os.environ.get(self.api_key_env, "")
-
 
 @dataclass
 class Toggle:
     enabled: bool = True
+    base_url: str = ""
     mailto: str = ""
     categories: list[str] = field(default_factory=list)
 

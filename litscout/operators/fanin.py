@@ -34,11 +34,13 @@ class Fetched:
     failed: bool
 
 
-def guarded(name: str, read: Callable[[], DataFrame], errors: tuple[type[Exception], ...] = (OSError,)) -> Fetched:
+def guarded(name: str, read: Callable[[], DataFrame], expected: Callable[[Exception], bool] = lambda e: isinstance(e, OSError)) -> Fetched:
     """SRC11: a source that fails with an expected error gives no rows and says so; other errors go on."""
     try:
         return Fetched(name, read(), False)
-    except errors:
+    except Exception as e:
+        if not expected(e):
+            raise
         return Fetched(name, None, True)
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.http import Client
+from ..sources.http import Client, linked_pages
 
 
 def note(score: Column) -> Column:
@@ -22,16 +22,15 @@ def payload(collection: str, tag: str = "litscout") -> Column:
 
 
 def collection_key(client: Client, base_url: str, name: str) -> str:
-    """SNK13: the key of the collection of that name, made if there is none."""
-    for c in client.request("GET", f"{base_url}/collections", {"limit": 100}).json():
-        if c.get("data", {}).get("name") == name:
-            return c["data"]["key"]
-    made = client.request("POST", f"{base_url}/collections", body=json.dumps([{"name": name}]).encode()).json()
-    made = made[0] if isinstance(made, list) else made
-    key = made.get("successful", {}).get("0", {}).get("data", {}).get("key")
-    if not key:
-        raise RuntimeError(f"collection {name} could not be made")
-    return key
+    """SNK13: the key of the collection of that name, looked for on every page; made if there is none."""
+    known = {c["data"]["name"]: c["data"]["key"] for page in linked_pages(client, f"{base_url}/collections", {"limit": 100}) for c in page.json()}
+    if name not in known:
+        answer = client.request("POST", f"{base_url}/collections", body=json.dumps([{"name": name}]).encode()).json()
+        try:
+            known[name] = answer["successful"]["0"]["data"]["key"]
+        except (KeyError, TypeError):
+            raise RuntimeError(f"the collection {name} was not made: {answer}") from None
+    return known[name]
 
 
 def push(ranked: DataFrame, order: list[Column], client: Client, base_url: str, name: str = "Suggested", dry_run: bool = True) -> str:

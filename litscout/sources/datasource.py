@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from .http import Client, library_pages, offset_pages
+from ..config import secret
+from .http import Client, Response, feed_page, library_pages, offset_pages, with_key
 
 
 class Query(InputPartition):
@@ -34,25 +35,32 @@ class WorksReader(DataSourceReader):
         self.requests = json.loads(options.get("requests", "[{}]"))
         self.strict = options.get("strict", "false") == "true"
         self.timeout = float(options.get("timeout", 30))
-        self.paged = options.get("paged", "false") == "true"
+        self.kind = options.get("kind", "query")  # one request, ``paged`` by offset, or a ``feed`` of text
+        self.page_size, self.delay = int(options.get("page_size", 200)), float(options.get("delay", 0))
+        self.headers, self.key_env, self.key_header = json.loads(options.get("headers", "{}")), options.get("key_env", ""), options.get("key_header", "Authorization")
 
     def partitions(self) -> list[InputPartition]:
         return [Query(i, p) for i, p in enumerate(self.requests)]
 
     def read(self, partition: Query) -> Iterator[tuple]:
         params = {k: v for k, v in partition.params.items() if not k.startswith("_")}
-        query, client = partition.params.get("_query"), Client(timeout_s=self.timeout)
+        query, client = partition.params.get("_query"), Client(with_key(self.headers, secret(self.key_env), self.key_header), self.timeout)
         try:
-            if self.paged:
-                items = [x for page in offset_pages(client, self.url, params) for x in page]
-            else:
-                items = dig(client.request("GET", self.url, params).json(), self.items)
+            for i, item in enumerate(self.items_of(client, params)):
+                yield item if isinstance(item, str) else json.dumps(item, ensure_ascii=False), query, partition.number * 1_000_000 + i
         except OSError:
             if self.strict:
                 raise
-            return
-        for i, item in enumerate(items):
-            yield json.dumps(item, ensure_ascii=False), query, partition.number * 1_000_000 + i
+
+    def items_of(self, client: Client, params: dict) -> Iterator[dict | str]:
+        """Page by page, so that no task holds all pages."""
+        if self.kind == "feed":
+            yield feed_page(client, self.url, params, self.delay)
+        elif self.kind == "paged":
+            for page in offset_pages(client, self.url, params, self.page_size):
+                yield from page
+        else:
+            yield from dig(client.request("GET", self.url, params).json(), self.items)
 
 
 class WorksSource(DataSource):
@@ -71,20 +79,26 @@ class WorksSource(DataSource):
 
 class LibraryReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.since = options["url"], options.get("since")
-        self.key_env = options.get("api_key_env")
+        self.options, self.since = options, options.get("since")
 
     def read(self, partition) -> Iterator[tuple]:
-        yield from library_rows(self.url, int(self.since) if self.since else None, self.key_env)[1]
+        pos = 0
+        for page in pages_of(self.options, int(self.since) if self.since else None):
+            for x in page.json():
+                yield json.dumps(x, ensure_ascii=False), pos
+                pos += 1
+
 
+def pages_of(options: dict, since: int | None) -> Iterator[Response]:
+    """The library's pages; the key comes from the environment of the worker and never enters a plan."""
+    client = Client(with_key(json.loads(options.get("headers", "{}")), secret(options.get("api_key_env", ""))))
+    return library_pages(client, options["url"], since, int(options.get("page_size", 100)), float(options.get("delay", 0.2)))
 
-def library_rows(url: str, since: int | None, key_env: str | None) -> tuple[int, list[tuple]]:
-    """(new cursor, rows (json, pos)); the key comes from the environment of the worker and never enters a plan."""
-    import os
 
-    headers = {"Authorization": f"Bearer {os.environ[key_env]}"} if key_env and key_env in os.environ else {}
+def library_rows(options: dict, since: int | None) -> tuple[int, list[tuple]]:
+    """(new cursor, rows (json, pos))."""
     rows, cursor = [], since or 0
-    for page in library_pages(Client(headers), url, since, delay_s=0.2):
+    for page in pages_of(options, since):
         cursor = max(cursor, int(page.headers.get("Last-Modified-Version", 0)))
         rows += [(json.dumps(x, ensure_ascii=False), len(rows) + i) for i, x in enumerate(page.json())]
     return cursor, rows
@@ -94,14 +108,14 @@ class LibraryStream(SimpleDataSourceStreamReader):
     """INC1: offsets are library versions; an unchanged library gives no batch. The cursor moves only after a whole read (INC5)."""
 
     def __init__(self, options: dict):
-        self.url, self.key_env = options["url"], options.get("api_key_env")
+        self.options = options
 
     def initialOffset(self) -> dict:
         return {"version": -1}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         since = start["version"] if start["version"] >= 0 else None
-        cursor, rows = library_rows(self.url, since, self.key_env)
+        cursor, rows = library_rows(self.options, since)
         return iter(rows), {"version": cursor if rows else start["version"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

@@ -7,24 +7,30 @@ marked; a fresh snapshot is filtered again with the current topics instead of as
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import os
+import re
+from dataclasses import dataclass, fields
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import USER_AGENT, Settings, Sources
 from ..operators.dedupe import keep_first
 from ..operators.fanin import Fetched, all_failed, guarded, union_sources
+from ..operators.profile import first_venues
 from ..operators.topic import Topics, topic_filter
 from ..schema import CANDIDATE_COLUMNS, CANDIDATES
 from ..storage import stored
 from . import payloads
 from .datasource import WorksSource
-from .files import Snapshot, candidates_or_stale, is_fresh
-from .http import feed_params, graph_params, registry_params, venue_params
+from .files import Snapshot, candidates_or_stale, is_fresh, profile
+from .http import FEED_DELAY_S, FEED_TIMEOUT_S, feed_params, graph_params, registry_params, venue_params
 
-FEED = "id STRING, title STRING, summary STRING, author ARRAY<STRUCT<name STRING>>, doi STRING, link STRUCT<_href STRING>, published STRING, primary_category STRUCT<_term STRING>"
+ENTRY = "id STRING, title STRING, summary STRING, author ARRAY<STRUCT<name STRING>>, doi STRING, link STRUCT<_href STRING>, published STRING, primary_category STRUCT<_term STRING>"
+ENTRY_FIELDS = re.sub(r"(\w+) (?=[A-Z])", r"\1: ", ENTRY)
 
 
 @dataclass
@@ -37,19 +43,40 @@ class Endpoints:
     bio: str = ""
     med: str = ""
     unified: str = ""
-    extra: dict = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, s: Sources) -> Endpoints:
+        return cls(*(getattr(s, f.name).base_url for f in fields(cls)))
 
-def works(spark: SparkSession, url: str, items: str, requests: list[dict], paged: bool = False, strict: bool = False) -> DataFrame:
+
+def works(spark: SparkSession, url: str, items: str, requests: list[dict], strict: bool = False, **options: object) -> DataFrame:
     """(json, query, pos) of all requests; written at once, so that a failing source fails here."""
     spark.dataSource.register(WorksSource)
-    reader = spark.read.format("works").option("url", url).option("items", items).option("requests", json.dumps(requests))
-    return stored(reader.option("paged", str(paged).lower()).option("strict", str(strict).lower()).load())
+    given = {"url": url, "items": items, "requests": json.dumps(requests), "strict": str(strict).lower(), "headers": json.dumps({"User-Agent": USER_AGENT})}
+    return stored(spark.read.format("works").options(**given, **options).load())
+
+
+def unreachable(e: Exception) -> bool:
+    """Whether a source failed on its side: a network error, here or in a task. Other errors are faults of the program and go on."""
+    return isinstance(e, OSError) or isinstance(e, (PythonException, Py4JJavaError)) and re.search(r"\b(OSError|URLError|HTTPError|TimeoutError|ConnectionError)\b", str(e)) is not None
+
+
+def feed(spark: SparkSession, url: str, s: Settings) -> DataFrame:
+    """SRC8: one request for all categories, after the delay that the feed asks for; or Atom files, if it is no web address."""
+    if not url.startswith("http"):
+        return read_feed(spark, url)
+    ask = feed_params(" OR ".join(f"cat:{c}" for c in s.sources.feed.categories))
+    raw = works(spark, url, "", [ask], strict=True, kind="feed", delay=FEED_DELAY_S, timeout=FEED_TIMEOUT_S)
+    x = raw.select(F.from_xml("json", f"entry ARRAY<STRUCT<{ENTRY_FIELDS}>>", {"ignoreNamespace": "true"}).alias("x"))
+    each = x.select(F.posexplode("x.entry").alias("pos", "e"))
+    return payloads.feed_candidates(
+        each.select("e.id", "e.title", "e.summary", "e.author", "e.doi", F.col("e.link._href").alias("link"), "e.published", F.col("e.primary_category._term").alias("category"), F.col("pos").cast("bigint").alias("pos"))
+    )
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """SRC8: entries of Atom files as candidates, in the files' order."""
-    raw = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", "true").schema(FEED).load(path)
+    raw = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", "true").schema(ENTRY).load(path)
     entries = raw.select("id", "title", "summary", "author", "doi", F.col("link._href").alias("link"), "published", F.col("primary_category._term").alias("category"), F.monotonically_increasing_id().alias("pos"))
     return payloads.feed_candidates(entries)
 
@@ -82,25 +109,36 @@ def tracked_venues(configured: list[str], of_profile: list[str]) -> list[str]:
     return list(dict.fromkeys(v.strip() for v in [*configured, *of_profile] if v and v.strip()))
 
 
+def profile_venues(spark: SparkSession, path: str, n: int = 20) -> list[str]:
+    """SRC15: the first n distinct venues of a profile document; none if it is missing or no such document."""
+    try:
+        return [r.venue for r in first_venues(profile(spark, path), n).collect()]
+    except FileNotFoundError:
+        return []
+
+
 def scan(spark: SparkSession, at: Endpoints, s: Settings, now: datetime, profile_venues: list[str]) -> tuple[list[Fetched], DataFrame | None]:
     """SRC10: the enabled sources in their fixed order (or the unified one), then the venue scan; (sources, venue rows)."""
     since = (now - timedelta(days=s.sources.window_days)).strftime("%Y-%m-%d")
     until = now.strftime("%Y-%m-%d")
     if s.sources.unified.enabled and at.unified:
-        ask = {"from": since, "to": until, "sources": ",".join(s.sources.enabled())}
-        fetched = [guarded("unified", lambda: payloads.unified_candidates(works(spark, at.unified, "data", [ask], paged=True, strict=True)), (Exception,))]
+        u, ask = s.sources.unified, {"from": since, "to": until, "sources": ",".join(s.sources.enabled())}
+        if u.api_key_value:  # configured in a file: handed on by the environment, so that it is in no plan
+            os.environ[u.api_key_env] = u.api_key_value
+        options = {"kind": "paged", "page_size": u.page_size, "timeout": u.timeout_s, "key_env": u.api_key_env, "key_header": u.api_key_header}
+        fetched = [guarded("unified", lambda: payloads.unified_candidates(works(spark, at.unified, "data", [ask], strict=True, **options)), unreachable)]
     else:
         readers = {
             "graph": lambda: graph(spark, at.graph, s, since),
             "registry": lambda: registry(spark, at.registry, s, since),
-            "feed": lambda: read_feed(spark, at.feed),
+            "feed": lambda: feed(spark, at.feed, s),
             "bio": lambda: preprints(spark, at.bio, "biorxiv", since, until),
             "med": lambda: preprints(spark, at.med, "medrxiv", since, until),
         }
-        fetched = [guarded(n, readers[n], (Exception,)) for n in s.sources.enabled() if getattr(at, n)]
+        fetched = [guarded(n, readers[n], unreachable) for n in s.sources.enabled() if getattr(at, n)]
     extra = None
     if s.sources.registry.enabled and at.registry and (names := tracked_venues(s.sources.tracked_venues, profile_venues)):
-        extra = guarded("venues", lambda: venues(spark, at.registry, s, since, names), (Exception,)).rows  # its failure does not count
+        extra = guarded("venues", lambda: venues(spark, at.registry, s, since, names), unreachable).rows  # its failure does not count
     return fetched, extra
 
 

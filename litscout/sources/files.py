@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import number, strip
+from ..operators.state import Snapshots
 from ..schema import CANDIDATES
 
 PROFILE = (
@@ -34,17 +36,30 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
     """SRC21: the profile document; a missing file is an error."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.schema(PROFILE).json(path, multiLine=True)
+    return spark.read.schema(PROFILE).json(path, multiLine=True, encoding="UTF-8")
 
 
 def write_profile(summary: DataFrame, path: str) -> None:
-    """SNK8: one JSON document with sorted keys."""
-    summary.select(F.to_json(F.struct(*sorted(summary.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """SNK8: one JSON document in UTF-8, keys sorted at every level; one row, so it is written by the driver, and renamed into place."""
+    row = summary.select(F.to_json(F.struct(*summary.columns), {"ignoreNullFields": "false"}).alias("value")).first()
+    spark = summary.sparkSession
+    new, at = (spark._jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ""))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(json.loads(row.value), sort_keys=True, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    fs.delete(at, True)
+    fs.rename(new, at)
+
+
+def write_index(library: DataFrame, path: str) -> None:
+    """SNK7: key and vector of the rows that have one, as the next ``v=N`` below the folder; the last complete one counts."""
+    Snapshots(library.sparkSession, path).write(library.where("embedding IS NOT NULL").select("key", "embedding"))
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """SRC22: the library's vectors; an empty table is an error."""
-    found = spark.read.parquet(path).where("embedding IS NOT NULL")
+    found = Snapshots(spark, path).read("key STRING, embedding ARRAY<FLOAT>").where("embedding IS NOT NULL")
     if not found.limit(1).count():
         raise ValueError(f"no vectors in {path}")
     return found

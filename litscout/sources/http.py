@@ -69,19 +69,29 @@ def next_link(header: str | None) -> str | None:
     return None
 
 
+def with_key(headers: dict[str, str], key: str, header: str = "Authorization") -> dict[str, str]:
+    """SRC27: the headers with a key, as a bearer token in ``Authorization`` and as it is elsewhere; without a key none is sent."""
+    return headers | ({header: f"Bearer {key}" if header == "Authorization" else key} if key else {})
+
+
 def library_pages(client: Client, base_url: str, since: int | None = None, page_size: int = 100, delay_s: float = 0.2) -> Iterator[Response]:
     """SRC1: pages in order of addition, by link header; 304 gives none."""
     if since is not None:
         client.headers["If-Modified-Since-Version"] = str(since)
-    url: str | None = f"{base_url}/items"
-    params: dict | None = {"limit": page_size, "sort": "dateAdded", "direction": "asc"}
+    yield from linked_pages(client, f"{base_url}/items", {"limit": page_size, "sort": "dateAdded", "direction": "asc"}, delay_s)
+
+
+def linked_pages(client: Client, first: str, ask: dict, delay_s: float = 0) -> Iterator[Response]:
+    """A page and those that its ``next`` links lead to."""
+    url: str | None = first
+    params: dict | None = ask
     while url:
         page = client.request("GET", url, params)
         if page.status == 304:
             return
         yield page
         url, params = next_link(page.headers.get("Link")), None
-        if url:
+        if url and delay_s:
             client.sleep(delay_s)
 
 
@@ -90,6 +100,15 @@ def deleted_keys(client: Client, base_url: str, since: int) -> list[str]:
     return list(client.request("GET", f"{base_url}/deleted", {"since": since}).json().get("items", []))
 
 
+def feed_page(client: Client, url: str, params: dict, delay_s: float) -> str:
+    """SRC8: the feed's text after the delay it asks for; one that says with status 200 that the rate is exceeded is a failure."""
+    client.sleep(delay_s)
+    text = client.request("GET", url, params).body.decode("utf-8", "replace")
+    if "rate exceeded" in text.lower():
+        raise OSError(f"rate limit of {url}")
+    return text
+
+
 def offset_pages(client: Client, url: str, params: dict, page_size: int = 200) -> Iterator[list]:
     """SRC4: pages by offset; ends without a next offset, at an unchanged one, or at an empty page."""
     offset = 0
@@ -105,7 +124,7 @@ def offset_pages(client: Client, url: str, params: dict, page_size: int = 200) -
 
 #: SRC5 to SRC9: where a source's items are, and how many are asked for.
 QUERY_ROWS = 100
-FEED_ROWS, FEED_DELAY_S = 50, 3.1
+FEED_ROWS, FEED_DELAY_S, FEED_TIMEOUT_S = 50, 3.1, 60
 
 
 def graph_params(query: str, since: str, mailto: str) -> dict:

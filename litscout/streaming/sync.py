@@ -8,16 +8,24 @@ asked for since the cursor *before* the batch, so none between two cursors is mi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import Snapshots, apply_changes, latest, with_hash
+from ..config import LibraryApi, secret
+from ..functions.embed import Embedder, embed
+from ..functions.text import embedding_text
+from ..operators.state import Snapshots, apply_changes, latest, set_embeddings, with_hash
 from ..schema import LIBRARY
+from ..sources.datasource import LibrarySource
+from ..sources.http import Client, deleted_keys, with_key
 from ..sources.payloads import library_items
+from ..storage import discard, stored
 
 
 @dataclass
@@ -29,32 +37,66 @@ class Counts:
     removed: int = 0
 
 
-def state_rows(items: DataFrame) -> DataFrame:
+def state_rows(items: DataFrame, asof: Column) -> DataFrame:
     """Flattened items as rows of the state table."""
-    rows = with_hash(items).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("updated_at", F.current_timestamp())
+    rows = with_hash(items).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("updated_at", asof)
     names = [c.split()[0] for c in LIBRARY.split(", ")]
     return rows.select(*names)
 
 
-def merge(spark: SparkSession, raw: DataFrame, snapshots: Snapshots, deleted: Callable[[int], list[str]] | None = None, full: bool = False) -> Counts:
-    """One batch of raw items (json, pos) into the next snapshot. ``full``: the items are the whole library (INC2)."""
+def merge(
+    spark: SparkSession, raw: DataFrame, snapshots: Snapshots, deleted: Callable[[int], list[str]] | None = None, full: bool = False, asof: Column | None = None
+) -> Counts:
+    """One batch of raw items (json, pos) into the next snapshot. ``full``: the items are the whole library, and no deletions are asked for (INC2).
+
+    Counts are observed while the rows are written; no job counts alone.
+    """
+    asof = F.lit(datetime.now(timezone.utc)) if asof is None else asof
     pointer = snapshots.pointer()
     since = int(pointer.get("cursor", 0))
-    new = latest(state_rows(library_items(raw)).where("key IS NOT NULL"))
-    seen = raw.count()
-    if not seen and not full:
+    fetched, updated, removed = (Observation() for _ in range(3))
+    items = library_items(raw.observe(fetched, F.count(F.lit(1)).alias("n")))
+    new = latest(state_rows(items, asof).where("key IS NOT NULL")).observe(updated, F.count(F.lit(1)).alias("n"), F.max("version").alias("top"))
+    new = stored(new)
+    if not fetched.get["n"] and not full:
+        discard(new)
         return Counts()
-    state = snapshots.read(LIBRARY)
+    old = state = snapshots.read(LIBRARY)
     gone = None
     if deleted is not None and not full:
         gone = spark.createDataFrame([(k,) for k in deleted(since)], "key string")
     if full:
         state = state.join(new.select("key"), "key", "left_semi").select(*state.columns)
     merged = apply_changes(state, new, gone)
-    top = new.agg(F.max("version")).first()[0]
-    counts = Counts(seen, new.count(), gone.join(snapshots.read(LIBRARY).select("key"), "key").count() if gone is not None else 0)
-    snapshots.write(merged, cursor=max(since, int(top or 0)))
-    return counts
+    out = old.join(merged.select("key"), "key", "left_anti").observe(removed, F.count(F.lit(1)).alias("n"))
+    out.write.format("noop").mode("overwrite").save()
+    snapshots.write(merged, cursor=max(since, int(updated.get["top"] or 0)))
+    discard(new)
+    return Counts(fetched.get["n"], updated.get["n"], removed.get["n"])
+
+
+def library(spark: SparkSession, api: LibraryApi, snapshots: Snapshots, full: bool = False, asof: Column | None = None) -> Counts:
+    """INC1, INC2: one sync of the library interface: all items if its version is not the cursor's any more, or if ``full``."""
+    spark.dataSource.register(LibrarySource)
+    headers, url, since = api.all_headers(), api.address(), int(snapshots.pointer().get("cursor", 0))
+    given = {"url": url, "page_size": api.page_size, "delay": api.polite_delay_ms / 1000, "api_key_env": api.api_key_env, "headers": json.dumps(headers)}
+    if since and not full:
+        given["since"] = since
+    raw = stored(spark.read.format("library").options(**given).load())
+    client = Client(with_key(headers, secret(api.api_key_env)))
+    return merge(spark, raw, snapshots, lambda version: deleted_keys(client, url, version), full, asof)
+
+
+def embed_changed(snapshots: Snapshots, embedder: Embedder) -> int:
+    """INC8, SNK3: vectors for the rows that have none, that is new ones and those whose content changed; how many there were."""
+    state = snapshots.read(LIBRARY)
+    made = Observation()
+    todo = state.where("embedding IS NULL").select("key", embedding_text(F.col("title"), F.col("abstract"), F.col("creators"), F.col("tags")).alias("text"))
+    vectors = stored(embed(todo.observe(made, F.count(F.lit(1)).alias("n")), embedder).select("key", "embedding"))
+    if made.get["n"]:
+        snapshots.write(set_embeddings(state, vectors), cursor=snapshots.pointer().get("cursor", 0))
+    discard(vectors)
+    return made.get["n"]
 
 
 def start(spark: SparkSession, raw: DataFrame, snapshots: Snapshots, checkpoint: str, deleted: Callable[[int], list[str]] | None = None) -> StreamingQuery:

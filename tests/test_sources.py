@@ -88,9 +88,14 @@ def test_snapshot(spark, tmp_path):
 def test_missing_profile_and_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.profile(spark, str(tmp_path / "p.json"))
-    spark.createDataFrame([], "embedding array<float>").write.parquet(str(tmp_path / "v"))
+    rows = spark.createDataFrame([("a", None), ("b", [1.0])], "key string, embedding array<float>")
+    files.write_index(rows.where("key = 'a'"), str(tmp_path / "v"))
     with pytest.raises(ValueError):
         files.index(spark, str(tmp_path / "v"))
+    files.write_index(rows, str(tmp_path / "v"))
+    assert [(r.key, r.embedding) for r in files.index(spark, str(tmp_path / "v")).collect()] == [("b", [1.0])]
+    (tmp_path / "bad.json").write_text("{no json")
+    assert fetch.profile_venues(spark, str(tmp_path / "bad.json")) == fetch.profile_venues(spark, str(tmp_path / "none.json")) == []
 
 
 def test_next_link():
