@@ -12,7 +12,7 @@ USER_AGENT = "litscout/1"
 
 
 def secret(variable: str, given: str = "") -> str:
-    """A configured value, else the environment's; empty without both. Secrets never enter a plan: clients read them where they ask."""
+    """A configured value, else the environment's; empty without both. It is read on the driver, so executors need no secrets in their environment."""
     return given or os.environ.get(variable, "") if variable else given
 
 

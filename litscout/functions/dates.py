@@ -20,6 +20,12 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(iso, compact, short)
 
 
+def iso_instant(c: Column) -> Column:
+    """An ISO date-time; null stays null, anything else stops the query."""
+    bad = F.raise_error(F.concat(F.lit("no ISO date-time: "), c)).cast("timestamp")
+    return F.when(c.isNull(), F.lit(None).cast("timestamp")).otherwise(F.coalesce(parse_date(c), bad))
+
+
 def epoch_date(c: Column) -> Column:
     """S11 for numbers: seconds since 1970; zero counts as missing."""
     return F.when(c != 0, F.timestamp_seconds(c))

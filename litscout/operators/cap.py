@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 PREPRINTS = ("arxiv", "biorxiv", "medrxiv")
 
@@ -26,7 +26,9 @@ def cap_share(ranked: DataFrame, order: list[Column], source: str = "source", sh
     r = Fraction(share).limit_denominator(1_000_000)
     num, den = r.numerator, r.denominator - r.numerator
     pre = F.coalesce(F.lower(F.col(source)).isin(*names), F.lit(False)).cast("bigint")
-    rows = stored(ranked.withColumn("__pre", pre).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    whole = stored(ranked.withColumn("__pre", pre))  # read twice: ranges are found from a sample
+    rows = stored(whole.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    discard(whole)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges, not the rows
     upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,9 +9,9 @@ from .vectors import centroid
 
 
 def top_counts(values: DataFrame, value: str, order: list[str], n: int = 20) -> DataFrame:
-    """AGG3: the n most frequent values with counts; ties by first occurrence in ``order``."""
+    """AGG3: the n most frequent values with counts and first places; ties by first occurrence in ``order``."""
     first = F.min(F.struct(*order)).alias("first")
-    return values.groupBy(value).agg(F.count(F.lit(1)).alias("count"), first).orderBy(F.desc("count"), "first", value).limit(n).drop("first")
+    return values.groupBy(value).agg(F.count(F.lit(1)).alias("count"), first).orderBy(F.desc("count"), "first", value).limit(n)
 
 
 def top_authors(library: DataFrame, n: int = 20) -> DataFrame:
@@ -40,8 +40,8 @@ def first_venues(profile: DataFrame, n: int = 20) -> DataFrame:
 def summary(library: DataFrame, model: str, asof: Column, n: int = 20) -> DataFrame:
     """AGG5, D8: one row (generated_at, item_count, model, centroid, top_authors, top_venues). Lists have at most n rows."""
     counts = library.agg(F.count(F.lit(1)).alias("item_count"))
-    authors = top_authors(library, n).agg(F.array_sort(F.collect_list(F.struct(-F.col("count"), F.col("author"), F.col("count")))).alias("a"))
-    venues = top_venues(library, n).agg(F.array_sort(F.collect_list(F.struct(-F.col("count"), F.col("venue"), F.col("count")))).alias("v"))
+    authors = top_authors(library, n).agg(F.array_sort(F.collect_list(F.struct(-F.col("count"), "first", "author", "count"))).alias("a"))
+    venues = top_venues(library, n).agg(F.array_sort(F.collect_list(F.struct(-F.col("count"), "first", "venue", "count"))).alias("v"))
     one = counts.crossJoin(F.broadcast(centroid(library))).crossJoin(F.broadcast(authors)).crossJoin(F.broadcast(venues))  # one row each
     return one.select(
         asof.alias("generated_at"), "item_count", F.lit(model).alias("model"), "centroid",

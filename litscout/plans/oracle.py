@@ -1,4 +1,4 @@
-"""The registered queries' SQL for DuckDB."""
+"""The SQL for DuckDB of the queries in ``queries``; that of ``source_queries`` is in ``source_oracle``."""
 
 from __future__ import annotations
 
@@ -33,10 +33,12 @@ def attr(x: str) -> str:
     return f"""replace(replace({xml(x)}, '"', '&#34;'), '''', '&#39;')"""
 
 
-RANKED = """(SELECT doc_id AS ordinal, CAST(doc_id AS VARCHAR) AS identifier, substr(text, 1, 40) AS title, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 80) END AS abstract,
+RANKED = """(SELECT doc_id AS ordinal, CAST(doc_id AS VARCHAR) AS identifier, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 2 = 0 THEN text END AS abstract,
   lang || ', ' || source AS authors, CASE WHEN doc_id % 3 = 0 THEN 'http://x/?a=1&b=' || doc_id END AS url, CASE WHEN doc_id % 7 > 0 THEN ts END AS published,
   CASE WHEN doc_id % 5 > 0 THEN source END AS venue, (doc_id % 8) / 8.0::DOUBLE AS score, 0.25::DOUBLE AS similarity, 'consider' AS label
   FROM documents JOIN events ON event_id = doc_id)"""
+#: The references that occur in the pages; ``&amp`` counts without its semicolon.
+UNESCAPED = "regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 RFC = "strftime({}, '%a, %d %b %Y %H:%M:%S +0000')"
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 CAP = """
@@ -63,6 +65,7 @@ SQL = {
     "q_identifier_normalize": f"""SELECT page_id, {strip('lower(u)')} AS norm, CASE WHEN lower({strip('u')}) LIKE 'http%' THEN {strip('u')} ELSE 'https://doi.org/' || {strip('u')} END AS doi_url,
         regexp_matches(u, '^(?i)https?://(dx\\.)?doi\\.org/') AS is_doi FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://doi.org/10.1/' || page_id ELSE upper(url) END AS u FROM pages)""",
     "q_strip_html": f"SELECT page_id, nullif({collapse(chr(114) + 'egexp_replace(html, ' + repr('<[^>]+>') + ', ' + repr(' ') + ', ' + repr('g') + ')')}, '') AS plain FROM pages",
+    "q_abstract_unescaped": f"SELECT page_id, md5({collapse('regexp_replace(' + UNESCAPED + ', ' + repr('<[^>]+>') + ', ' + repr(' ') + ', ' + repr('g') + ')')}) AS digest FROM pages",
     "q_inverted_index_text": f"SELECT doc_id, md5(string_agg(word, ' ' ORDER BY pos)) AS digest FROM {WORDS} GROUP BY doc_id",
     "q_year_extract": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders",
     "q_author_join": "SELECT c_custkey, trim(concat_ws(' ', CASE WHEN c_custkey % 3 <> 0 THEN nullif(c_mktsegment, '') END, CASE WHEN c_custkey % 5 <> 0 THEN nullif(c_name, '') END)) AS name FROM customer",
@@ -83,7 +86,8 @@ SQL = {
         FROM embeddings a, embeddings b WHERE a.label >= 5 AND b.label < 5) WHERE rank <= 5""",
     "q_centroid": """WITH m AS (SELECT pos, avg(x::DOUBLE) AS m FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY pos)
         SELECT CAST(pos AS BIGINT) AS pos, round(m / (sqrt(sum(m * m) OVER ()) + 1e-12), 6) AS x FROM m""",
-    "q_l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS length2 FROM embeddings",
+    "q_l2_normalize": """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE * (vec_id + 1) AS x FROM embeddings)
+        SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-12), 6) AS x FROM e""",
     "q_top_authors": f"SELECT author, count FROM (SELECT word AS author, count(*) AS count, min((doc_id, pos)) AS first FROM {WORDS} GROUP BY word ORDER BY count DESC, first LIMIT 20)",
     "q_top_venues": "SELECT source AS venue, count(*) AS count FROM documents WHERE source NOT IN ('src3', '') GROUP BY source ORDER BY count DESC, min(doc_id) LIMIT 20",
     "q_profile_summary": """WITH x AS (SELECT * FROM documents JOIN embeddings ON doc_id = vec_id), a AS (SELECT lang, count(*) AS n FROM x GROUP BY lang ORDER BY n DESC, min(doc_id) LIMIT 1)
@@ -91,7 +95,7 @@ SQL = {
     "q_ordered_distinct": "SELECT event_type, min(event_id) AS first_id FROM events GROUP BY event_type",
     "q_upsert_latest": f"SELECT key, version, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG}) WHERE k = 1",
     "q_tombstone": f"SELECT key, version FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM {LOG}) WHERE k = 1 AND event_type <> 'error'",
-    "q_cursor_max": f"SELECT max(version) AS cursor, count(*) AS fetched, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS removed FROM {LOG}",
+    "q_cursor_max": f"SELECT max(version) AS cursor, count(*) AS fetched FROM {LOG}",
     "q_incremental_state": """WITH x AS (SELECT user_id AS key, event_id AS version, event_type, ts < TIMESTAMP '2024-01-28' AS old FROM events),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM x WHERE old) WHERE k = 1),
         n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS k FROM x WHERE NOT old) WHERE k = 1)
@@ -116,12 +120,4 @@ SQL = {
         || coalesce('<p>' || {attr('abstract')} || '</p>', '') || '<p>Authors: ' || authors || '</p></section>' AS html, 'report-20240201.html' AS file
         FROM (SELECT *, row_number() OVER (ORDER BY score DESC, ordinal) AS rank FROM {RANKED}) WHERE rank <= 50""",
     "q_push_payload": f"""SELECT ordinal, '{{"itemType":"note","note":"Recommended due to score ' || printf('%.3f', score) || '","tags":[{{"tag":"litscout"}},{{"tag":"' || label || '"}}],"collections":["C1"]}}' AS body FROM {RANKED}""",
-    "q_watch_flagship": f"""WITH v AS (SELECT vec_id, embedding, source FROM embeddings JOIN documents ON vec_id = doc_id),
-        s AS (SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM v a, v b WHERE a.{CANDIDATE} AND b.{LIBRARY} GROUP BY a.vec_id),
-        r AS (SELECT doc_id, similarity, source = 'src3' AS pre, ts,
-                     round(similarity * 0.62::DOUBLE + ({RECENCY.format('ts', ASOF)}) * 0.1::DOUBLE + (CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE ln(1 + value) END) * 0.1::DOUBLE, 6) AS score
-              FROM documents JOIN events ON event_id = 20 * doc_id JOIN s ON vec_id = doc_id WHERE {CANDIDATE}),
-        f AS (SELECT * FROM r WHERE ts >= TIMESTAMP '{ASOF}' - INTERVAL 30 DAY), c AS ({CAP.format(order='score DESC, doc_id', rows='f')})
-        SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, similarity, score, CASE WHEN score >= 0.75 THEN 'must_read' WHEN score >= 0.5 THEN 'consider' ELSE 'ignore' END AS label
-        FROM c WHERE NOT pre OR p > was ORDER BY rank LIMIT 20""",
 }

@@ -106,7 +106,7 @@ def q_strip_html(s, d):
 
 
 def q_abstract_unescaped(s, d):
-    """S4 with references decoded: no SQL function for it."""
+    """S4 with references decoded."""
     return t(s, d, "pages").select("page_id", F.md5(text.clean_abstract(F.col("html"))).alias("digest"))
 
 
@@ -222,13 +222,9 @@ def q_centroid(s, d):
 
 
 def q_l2_normalize(s, d):
-    """S21."""
-    x = t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 3).alias("v"))
-    return x.select("vec_id", F.round(vectors.dot(text_norm(F.col("v")), text_norm(F.col("v"))), 6).alias("length2"))
-
-
-def text_norm(v):
-    return vectors.l2_normalize(v)
+    """Every component, of vectors that are not of length 1."""
+    x = t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * (F.col("vec_id") + 1)).alias("v"))
+    return x.select("vec_id", F.posexplode(vectors.l2_normalize(F.col("v"))).alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 # profile
@@ -237,13 +233,13 @@ def text_norm(v):
 def q_top_authors(s, d):
     """AGG1, AGG3: words as authors, ties by first mention."""
     w = t(s, d, "documents").select(F.col("doc_id").alias("ordinal"), F.posexplode(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).alias("pos", "author"))
-    return profile.top_counts(w, "author", ["ordinal", "pos"])
+    return profile.top_counts(w, "author", ["ordinal", "pos"]).drop("first")
 
 
 def q_top_venues(s, d):
     """AGG2, AGG3."""
     raw = F.to_json(F.struct(F.struct(F.nullif("source", F.lit("src3")).alias("publicationTitle")).alias("data")))
-    return profile.top_venues(t(s, d, "documents").select(F.col("doc_id").alias("ordinal"), raw.alias("raw")))
+    return profile.top_venues(t(s, d, "documents").select(F.col("doc_id").alias("ordinal"), raw.alias("raw"))).drop("first")
 
 
 def q_profile_summary(s, d):
@@ -282,7 +278,8 @@ def q_tombstone(s, d):
 
 def q_cursor_max(s, d):
     """AGG6, AGG7."""
-    return changes(s, d).agg(F.max("version").alias("cursor"), F.count(F.lit(1)).alias("fetched"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("removed"))
+    x = changes(s, d)
+    return state.cursor(x).crossJoin(F.broadcast(x.agg(F.count(F.lit(1)).alias("fetched"))))  # one row each
 
 
 def q_incremental_state(s, d):
@@ -363,7 +360,7 @@ def q_enrich_join(s, d):
 def ranked_rows(s, d):
     x = t(s, d, "documents").join(t(s, d, "events"), F.col("event_id") == F.col("doc_id"))
     return x.select(
-        F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("identifier"), F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 80)).alias("abstract"), F.array("lang", "source").alias("authors"),
+        F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("identifier"), F.substring_index("text", "\n", 1).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("abstract"), F.array("lang", "source").alias("authors"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("http://x/?a=1&b="), F.col("doc_id").cast("string"))).alias("url"), F.when(F.col("doc_id") % 7 > 0, F.col("ts").cast("timestamp")).alias("published"),
         F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("venue"), (F.col("doc_id") % 8 / 8).alias("score"), F.lit(0.25).alias("similarity"), F.lit("consider").alias("label"),
     )
@@ -383,22 +380,3 @@ def q_report_rows(s, d):
 def q_push_payload(s, d):
     """SNK12, S29."""
     return ranked_rows(s, d).select("ordinal", notes.payload("C1").alias("body"))
-
-
-# the whole
-
-
-def q_watch_flagship(s, d):
-    """Similarity, recency, citations, weights, label, cap, stable top 20, over documents with vectors and dates."""
-    docs = t(s, d, "documents")
-    x = docs.where(CANDIDATE).join(t(s, d, "events"), F.col("event_id") == 20 * F.col("doc_id"))
-    mine = x.select(F.col("doc_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("published"), "value", F.when(F.col("source") == "src3", "arxiv").otherwise(F.col("source")).alias("source"))
-    v = t(s, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "embedding", "source")
-    close = vectors.nearest(v.where(CANDIDATE), v.where(LIBRARY)).select(F.col("id").alias("ordinal"), F.round("similarity", 4).alias("similarity"))
-    rows = mine.join(close, "ordinal")
-    w = {"similarity": 0.62, "recency": 0.10, "citations": 0.10}
-    terms = {"similarity": F.col("similarity"), "recency": scores.recency(F.col("published"), asof(), 3, 7, 30), "citations": scores.log_metric(F.col("value"))}
-    rows = rows.withColumn("score", F.round(scores.weighted(terms, w), 6)).where(dates.is_recent(F.col("published"), asof(), 30))
-    capped = cap.cap_share(rows, scoring.rank_order()).orderBy(*scoring.rank_order()).limit(20)
-    top = report.numbered(capped, scoring.rank_order())
-    return top.select(F.col("rank").cast("bigint").alias("rank"), F.col("ordinal").alias("doc_id"), "similarity", "score", scores.label(F.col("score"), 0.75, 0.5).alias("label"))

@@ -2,6 +2,8 @@
 
 ``spark.dataSource.register(WorksSource)``, then
 ``spark.read.format("works").option("url", ...).option("items", "results").option("requests", json list of parameter objects).load()``.
+
+A key is read on the driver and given as the option ``token``, a name that Spark redacts wherever it prints options.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..config import secret
 from .http import Client, Response, feed_page, library_pages, offset_pages, with_key
 
 
@@ -37,14 +38,14 @@ class WorksReader(DataSourceReader):
         self.timeout = float(options.get("timeout", 30))
         self.kind = options.get("kind", "query")  # one request, ``paged`` by offset, or a ``feed`` of text
         self.page_size, self.delay = int(options.get("page_size", 200)), float(options.get("delay", 0))
-        self.headers, self.key_env, self.key_header = json.loads(options.get("headers", "{}")), options.get("key_env", ""), options.get("key_header", "Authorization")
+        self.headers = with_key(json.loads(options.get("headers", "{}")), options.get("token", ""), options.get("key_header", "Authorization"))
 
     def partitions(self) -> list[InputPartition]:
         return [Query(i, p) for i, p in enumerate(self.requests)]
 
     def read(self, partition: Query) -> Iterator[tuple]:
         params = {k: v for k, v in partition.params.items() if not k.startswith("_")}
-        query, client = partition.params.get("_query"), Client(with_key(self.headers, secret(self.key_env), self.key_header), self.timeout)
+        query, client = partition.params.get("_query"), Client(self.headers, self.timeout)
         try:
             for i, item in enumerate(self.items_of(client, params)):
                 yield item if isinstance(item, str) else json.dumps(item, ensure_ascii=False), query, partition.number * 1_000_000 + i
@@ -90,8 +91,8 @@ class LibraryReader(DataSourceReader):
 
 
 def pages_of(options: dict, since: int | None) -> Iterator[Response]:
-    """The library's pages; the key comes from the environment of the worker and never enters a plan."""
-    client = Client(with_key(json.loads(options.get("headers", "{}")), secret(options.get("api_key_env", ""))))
+    """The library's pages."""
+    client = Client(with_key(json.loads(options.get("headers", "{}")), options.get("token", "")))
     return library_pages(client, options["url"], since, int(options.get("page_size", 100)), float(options.get("delay", 0.2)))
 
 

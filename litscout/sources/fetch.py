@@ -7,7 +7,6 @@ marked; a fresh snapshot is filtered again with the current topics instead of as
 from __future__ import annotations
 
 import json
-import os
 import re
 from dataclasses import dataclass, fields
 from datetime import datetime, timedelta
@@ -17,7 +16,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import USER_AGENT, Settings, Sources
+from ..config import USER_AGENT, Settings, Sources, secret
 from ..operators.dedupe import keep_first
 from ..operators.fanin import Fetched, all_failed, guarded, union_sources
 from ..operators.profile import first_venues
@@ -123,9 +122,7 @@ def scan(spark: SparkSession, at: Endpoints, s: Settings, now: datetime, profile
     until = now.strftime("%Y-%m-%d")
     if s.sources.unified.enabled and at.unified:
         u, ask = s.sources.unified, {"from": since, "to": until, "sources": ",".join(s.sources.enabled())}
-        if u.api_key_value:  # configured in a file: handed on by the environment, so that it is in no plan
-            os.environ[u.api_key_env] = u.api_key_value
-        options = {"kind": "paged", "page_size": u.page_size, "timeout": u.timeout_s, "key_env": u.api_key_env, "key_header": u.api_key_header}
+        options = {"kind": "paged", "page_size": u.page_size, "timeout": u.timeout_s, "token": secret(u.api_key_env, u.api_key_value), "key_header": u.api_key_header}
         fetched = [guarded("unified", lambda: payloads.unified_candidates(works(spark, at.unified, "data", [ask], strict=True, **options)), unreachable)]
     else:
         readers = {

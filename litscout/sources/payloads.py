@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_date, parse_date
 from ..functions.text import clean_abstract, clean_title, empty_to_null, first_year, inverted_index_text, number, person_name, strip
-from ..schema import CANDIDATE_COLUMNS
+from ..schema import CANDIDATE_COLUMNS, CANDIDATES
 
 LIBRARY_ITEM = (
     "key STRING, version BIGINT, data STRUCT<key STRING, version BIGINT, title STRING, abstractNote STRING, creators ARRAY<STRUCT<firstName STRING, lastName STRING>>, "
@@ -188,6 +188,11 @@ def to_json(candidates: DataFrame) -> DataFrame:
     return candidates.select(F.to_json(F.struct(*CANDIDATE_COLUMNS, "ordinal"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("value"))
 
 
+def from_json(lines: DataFrame, column: str = "value") -> DataFrame:
+    """PRJ8: candidates from one JSON object per row."""
+    return lines.select(F.from_json(column, CANDIDATES, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("x")).select("x.*")
+
+
 def stored_items(rows: DataFrame) -> DataFrame:
     """PRJ7: arrays kept as JSON text decoded, null as empty."""
     lists = {c: F.coalesce(F.from_json(F.coalesce(F.col(c), F.lit("[]")), "array<string>"), F.array().cast("array<string>")) for c in ("creators", "tags", "collections")}

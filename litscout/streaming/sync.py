@@ -79,7 +79,7 @@ def library(spark: SparkSession, api: LibraryApi, snapshots: Snapshots, full: bo
     """INC1, INC2: one sync of the library interface: all items if its version is not the cursor's any more, or if ``full``."""
     spark.dataSource.register(LibrarySource)
     headers, url, since = api.all_headers(), api.address(), int(snapshots.pointer().get("cursor", 0))
-    given = {"url": url, "page_size": api.page_size, "delay": api.polite_delay_ms / 1000, "api_key_env": api.api_key_env, "headers": json.dumps(headers)}
+    given = {"url": url, "page_size": api.page_size, "delay": api.polite_delay_ms / 1000, "token": secret(api.api_key_env), "headers": json.dumps(headers)}
     if since and not full:
         given["since"] = since
     raw = stored(spark.read.format("library").options(**given).load())
