@@ -9,12 +9,12 @@ the ``400 - SPAN + 1`` bytes from the anchor on, which every start of that ancho
 one anchor follow each other; together with the bytes they reach they are a *region*.
 
 1. One pass over the texts lists (bucket, region digest) without text. Buckets that hold one region once
-   are done. Equal regions that occur twice are repeated wholly.
+   are done. Regions of equal bytes, known by both 64-bit digests, that occur twice are repeated wholly.
 2. The rest of the buckets hold different regions: one copy of each goes, with its bytes, to its
-   bucket's task. There, for the k-th start before the anchor, the identifier of its string is the pair of
-   the bucket of the k bytes before the anchor and that of the 400 - k bytes after it. Both are refined
-   step by step, each from the identifiers before it (``refine``). No digest decides here: bytes do.
-   Buckets of over ``BIG`` different regions are not gathered; their starts are counted by digest.
+   bucket's task. There every position of a region begins in the bucket of its q-gram of four bytes, and buckets are
+   refined on the identifiers of later positions, 4, 8, 16 ... 256 and 144 bytes on, until they are buckets of 400
+   bytes (``refine``). No digest decides here: bytes do. Buckets of over ``CHUNK`` bytes are split by classes of
+   starts first, so that no task gathers more (``refined``).
 3. The repeated starts return to their texts; covered bytes are cut.
 
 Texts are UTF-8 bytes; null is empty; matches end at document ends; texts under 400 bytes lose nothing; a
@@ -26,19 +26,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 from .blocks import by_group, in_batches
 from .common import table, text_of
 
 LENGTH, Q, SPAN = 400, 16, 336
-BLOCK = 4_000_000
-CHUNK, BIG = 6_000, 20_000
+#: Bytes of the q-grams that refinement begins with; bytes of a text that are scanned at once.
+Q0, BLOCK = 4, 4_000_000
+#: Bytes of regions that are refined at once; larger buckets are split by classes of so many starts, one after the other.
+CHUNK, WIDTHS = 1_000_000, (48, 8, 1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -109,14 +112,14 @@ def _rows(did: list, keys: list, n: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(did, pa.binary()), pa.array(b, pa.int64()), pa.array(r, pa.int64()), pa.array(n, pa.int32())], schema=ROWS)
 
 
-PARTS = "did binary, bucket bigint, region bigint, once boolean, near int, far int, bytes binary"
+PARTS = "did binary, bucket bigint, home bigint, region bigint, once boolean, near int, far int, bytes binary"
+SENT = pa.schema([("did", pa.binary()), ("bucket", pa.int64()), ("home", pa.int64()), ("region", pa.int64()), ("once", pa.bool_()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
 
 
 def _sender(length: int, span: int):
     """The bytes of regions that this text stands for, for their bucket's task. near, far: distances of the last and first start before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("did", pa.binary()), ("bucket", pa.int64()), ("region", pa.int64()), ("once", pa.bool_()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
         out: list[tuple] = []
         for batch in batches:
             for did, text, sent in zip(batch.column("did"), batch.column("text"), batch.column("sent")):
@@ -126,73 +129,59 @@ def _sender(length: int, span: int):
                 data, d = text.as_buffer().to_pybytes(), did.as_py()
                 for b, r, a, s, e in regions(data, length, span):
                     if (once := want.pop((b, r), None)) is not None:
-                        out.append((d, b, r, once, a - e, a - s, data[s : e + length]))
+                        out.append((d, b, b, r, once, a - e, a - s, data[s : e + length]))
                 if len(out) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SENT.types)], schema=SENT)
                     out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SENT.types)], schema=SENT)
 
     return run
 
 
-def ranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the pairs (a, b), from 0 on in sorted order, and how many share each row's pair."""
-    key = a.astype(np.int64) * (int(b.max()) + 1 if len(b) else 1) + b
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, np.diff(key[order]) != 0] if len(key) else np.zeros(0, bool)
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank, np.bincount(rank)[rank] if len(key) else rank
+def renumber(ident: np.ndarray, live: np.ndarray, a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, int]:
+    """Gives the live positions bucket identifiers from ``first`` on, in the order of their pairs (a, b); (positions whose bucket others share, next identifier)."""
+    if not len(live):
+        return live, first
+    key = a.astype(np.int64) * (int(b.max()) + 1) + b
+    order = np.argsort(key)
+    new = np.r_[False, np.diff(key[order]) != 0]
+    rank = np.cumsum(new)
+    ident[live[order]] = first + rank
+    many = np.bincount(rank)[rank] > 1
+    return np.sort(live[order][many]), first + int(rank[-1]) + 1
 
 
 def refine(bucket: np.ndarray, near: np.ndarray, far: np.ndarray, parts: list[bytes], length: int = LENGTH, span: int = SPAN) -> np.ndarray:
     """repeated[i, k]: whether the start k bytes before region i's anchor begins a string that another region has at the same k.
 
-    Initial buckets hold regions that agree from the anchor on for ``length - span + 1`` bytes; this is checked on the bytes.
+    Bucket-pointer refinement over the regions' bytes: positions at the same distance from the anchors of one bucket begin in
+    buckets of equal q-grams of ``Q0`` bytes, and a bucket of h bytes is refined by the identifiers that the
+    positions further on have by then, which doubles h; the identifiers of one round are the pointers of the next.
+    A position that is alone in its bucket leaves and keeps its identifier, as whatever begins there is alone.
     """
-    m, least = len(parts), length - span + 1
-    left, right = np.zeros((m, span), np.uint8), np.zeros((m, length), np.uint8)
-    reach = np.empty(m, np.int64)
-    for i, p in enumerate(parts):
-        x = np.frombuffer(p, np.uint8)
-        f = far[i]
-        left[i, :f] = x[:f][::-1]
-        reach[i] = len(x) - f
-        right[i, : reach[i]] = x[f:]
-    # identifiers of the k bytes before the anchor, each step from those of the step before
-    before = np.full((span, m), -1, np.int32)
-    _, start = np.unique(bucket, return_inverse=True)
-    ident, live = start.astype(np.int64), np.arange(m)
-    before[0] = ident
-    for k in range(1, span):
-        ok = far[live] >= k
-        live, ident = live[ok], ident[ok]
-        if not len(live):
-            break
-        ident, many = ranked(ident, left[live, k - 1])
-        ok = many > 1  # alone now, alone from here on
-        live, ident = live[ok], ident[ok]
-        before[k, live] = ident
-    # identifiers of the bytes from the anchor on; at t bytes the starts at k = length - t are decided
+    m = len(parts)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(parts) + bytes(Q0), np.uint8)
+    total = int(ends[-1])
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    at = np.arange(total, dtype=np.int32)
+    left = np.repeat(ends.astype(np.int32), sizes) - at
+    place = at - np.repeat((ends - sizes + far).astype(np.int32), sizes) + span  # from 0 on; the anchor's is span
+    _, group = np.unique(bucket, return_inverse=True)
+    ident = np.full(total, -1, np.int32)
+    live = np.flatnonzero(left >= Q0)
+    gram = np.ndarray((total,), "<u4", data, strides=(1,))
+    live, first = renumber(ident, live, group[owner[live]] * (span + length + 1) + place[live], gram[live], 0)
+    h = Q0
+    while h < length and len(live):
+        step = min(h, length - h)
+        live = live[left[live] >= h + step]
+        live, first = renumber(ident, live, ident[live], ident[live + step], first)
+        h += step
     repeated = np.zeros((m, span), bool)
-    _, same = np.unique(np.ascontiguousarray(right[:, :least]).view(f"V{least}").ravel(), return_inverse=True)
-    ident, many = ranked(start, same)
-    live = np.flatnonzero(many > 1)
-    ident = ident[live]
-    for t in range(least, length + 1):
-        if t > least:
-            ident, many = ranked(ident, right[live, t - 1])
-            ok = (many > 1) & (reach[live] >= t)
-            live, ident = live[ok], ident[ok]
-        if not len(live):
-            break
-        k = length - t
-        here = (near[live] <= k) & (far[live] >= k) & (before[k, live] >= 0)
-        if here.any():
-            at = live[here]
-            _, many = ranked(ident[here], before[k, at])
-            repeated[at[many > 1], k] = True
+    repeated[owner[live], span - place[live]] = True
     return repeated
 
 
@@ -212,7 +201,7 @@ def _refiner(length: int, span: int, chunk: int):
             return None
         did = np.empty(t.num_rows, object)
         did[:] = t.column("did").to_pylist()
-        return did[row], t.column("bucket").to_numpy()[row], t.column("region").to_numpy()[row], lo, hi - 1
+        return did[row], t.column("home").to_numpy()[row], t.column("region").to_numpy()[row], lo, hi - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: list[pa.Table] = []
@@ -220,7 +209,7 @@ def _refiner(length: int, span: int, chunk: int):
         for group in by_group(batches, ["bucket"]):
             if group.num_rows > 1:
                 held.append(group)
-                n += group.num_rows
+                n += group.column("bytes").nbytes
             if n >= chunk:
                 if (got := solve(held)) is not None:
                     yield got
@@ -231,28 +220,24 @@ def _refiner(length: int, span: int, chunk: int):
     return lambda batches: in_batches(rows(batches), FOUND)
 
 
-def _digester(length: int):
-    """Of each region of a large bucket: every start's distance and the digest of its string."""
+def _splitter(length: int, width: int):
+    """Rows of large buckets by classes of ``width`` starts: the bucket of a class is that of all bytes that its starts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest as digest64
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ks = range(row["near"], row["far"] + 1)
-                strings = [xxh3_128_digest(row["bytes"][row["far"] - k : row["far"] - k + length]) for k in ks]
-                n = len(strings)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["did"]] * n, pa.binary()),
-                        pa.array([row["bucket"]] * n, pa.int64()),
-                        pa.array([row["region"]] * n, pa.int64()),
-                        pa.array([row["once"]] * n, pa.bool_()),
-                        pa.array(list(ks), pa.int32()),
-                        pa.array(strings, pa.binary()),
-                    ],
-                    names=["did", "bucket", "region", "once", "k", "string"],
-                )
+            columns = [batch.column(c).to_pylist() for c in ("did", "bucket", "home", "region", "once", "near", "far", "bytes")]
+            out: list[tuple] = []
+            for did, bucket, home, region, once, near, far, data in zip(*columns):
+                for c in range(near // width, far // width + 1):
+                    # every start of the class holds the bytes from its last start's string's first to its first start's string's last
+                    a, b = max(near, c * width), min(far, (c + 1) * width - 1)
+                    shared = data[far - c * width : far - (c + 1) * width + 1 + length] if c * width <= far else b""
+                    key = digest64(shared, seed=(bucket ^ c) & (2**64 - 1)) - (1 << 63)
+                    out.append((did, key, home, region, once, a, b, data[far - b : far - a + length]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SENT.types)], schema=SENT)
 
     return run
 
@@ -295,17 +280,42 @@ def _cutter(length: int, span: int, with_text: bool):
     return run
 
 
-def cut_texts(base: DataFrame, length: int = LENGTH, span: int = SPAN, chunk: int = CHUNK, big: int = BIG, with_text: bool = False) -> DataFrame:
+def refined(parts: DataFrame, length: int, span: int, chunk: int) -> DataFrame:
+    """(did, bucket, region, lo, hi): runs of distances of repeated starts, from regions' bytes.
+
+    Each bucket of up to ``chunk`` bytes is refined in one task. The regions of a larger one are cut into classes of starts,
+    whose buckets are those of the longer strings that all starts of a class share, and so on; classes of one start
+    share all their bytes or differ, so there grouping on the bytes decides.
+    """
+    schema = "did binary, bucket bigint, region bigint, lo int, hi int"
+    found = []
+    for width in WIDTHS:
+        parts = stored(parts)
+        large = parts.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("size") > chunk) & (F.col("n") > 1))
+        large = stored(large.select("bucket"))
+        some = large.limit(1).count() > 0
+        small = parts.join(large, "bucket", "left_anti") if some else parts
+        found.append(small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refiner(length, span, chunk), schema))
+        if not some:
+            break
+        parts = parts.join(large, "bucket").mapInArrow(_splitter(length, width), PARTS)
+    else:
+        parts = stored(parts)
+        twice = parts.groupBy("bucket", "near", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        hit = parts.where("once").join(twice, ["bucket", "near", "bytes"])
+        found.append(hit.select("did", F.col("home").alias("bucket"), "region", F.col("near").alias("lo"), F.col("near").alias("hi")))
+    return reduce(DataFrame.union, found)
+
+
+def cut_texts(base: DataFrame, length: int = LENGTH, span: int = SPAN, chunk: int = CHUNK, with_text: bool = False) -> DataFrame:
     """(did, n_removed, n_spans, kept_sha256, kept) of the different texts with repeated strings, from rows (did, text)."""
     listed = stored(base.where(F.octet_length("text") >= length).mapInArrow(_lister(length, span), "did binary, bucket bigint, region bigint, n int"))
     buckets = listed.groupBy("bucket").agg(F.sum("n").alias("total"), (F.min("region") != F.max("region")).alias("mixed")).where("total > 1")
     shared = stored(listed.join(buckets, "bucket").select("did", "bucket", "region", "n", "mixed"))
+    discard(listed)
     # of each region of a mixed bucket: how often it occurs, and the text that stands for it
     kinds = shared.where("mixed").groupBy("bucket", "region").agg(F.sum("n").alias("times"), F.min("did").alias("stands"))
     kinds = stored(kinds)
-    crowd = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"))
-    crowded = crowd.where(F.col("kinds") > big).select("bucket", F.lit(True).alias("crowded"))
-    any_crowd = crowded.limit(1).count() > 0
     same = ["bucket", "region"]
     mixed = shared.where("mixed").join(kinds, same).select("did", *same, (F.col("times") > 1).alias("whole"), (F.col("did") == F.col("stands")).alias("sent"))
     plain = shared.where("NOT mixed").select("did", *same, F.lit(True).alias("whole"), F.lit(False).alias("sent"))
@@ -317,18 +327,7 @@ def cut_texts(base: DataFrame, length: int = LENGTH, span: int = SPAN, chunk: in
     texts = base.groupBy("did").agg(F.first("text").alias("text"))
     work = stored(texts.join(per_text, "did"))
     parts = work.where(F.size("sent") > 0).select("did", "text", "sent").mapInArrow(_sender(length, span), PARTS)
-    if any_crowd:
-        parts = stored(parts)
-        gathered = parts.join(crowded, "bucket", "left_anti")
-    else:
-        gathered = parts
-    schema = "did binary, bucket bigint, region bigint, lo int, hi int"
-    found = gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refiner(length, span, chunk), schema)
-    if any_crowd:
-        starts = stored(parts.join(crowded, "bucket").drop("crowded").mapInArrow(_digester(length), "did binary, bucket bigint, region bigint, once boolean, k int, string binary"))
-        twice = starts.groupBy("bucket", "k", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        counted = starts.where("once").join(twice, ["bucket", "k", "string"]).select("did", *same, F.col("k").alias("lo"), F.col("k").alias("hi"))
-        found = found.union(counted)
+    found = refined(parts, length, span, chunk)
     found = found.groupBy("did").agg(F.collect_list(F.struct(*same, "lo", "hi")).alias("found"))
     cut = work.select("did", "text", "whole").join(found, "did", "left")
     return cut.mapInArrow(_cutter(length, span, with_text), "did binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").where("n_removed > 0")
