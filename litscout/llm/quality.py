@@ -10,16 +10,20 @@ Two judgements are made of a document: low quality (menus, symbol noise, repetit
    documents; the posterior of a pattern follows.
 3. Posterior labels of a bounded, documented sample (``SAMPLE`` labelled documents, those of smallest hash;
    if fewer than ``FILL`` are labelled, unlabelled ones fill it up to that) train a
-   linear scorer over hashed features: logistic regression, weights kept for features that differ
-   between the classes. The scorer alone judges, over whole texts, all documents.
+   linear scorer over hashed features of the text: logistic regression, weights kept for features that differ
+   between the classes. For quality these are the shapes of the words with their shares, how often the most frequent
+   words come again, and binned measures; for toxicity words and their beginnings. The scorer alone judges,
+   over whole texts, all documents.
 
 Null text is empty text; a document without words is rejected. Null ids are scored like others; ids
 repeated in the labels count as bad if any row says so; without labels the toxicity labellers are the
-fixed list alone. Repeated rows and ties get equal scores; an empty table gives no rows.
+fixed list alone. Repeated rows and ties get equal scores; an empty table gives no rows. Very long texts
+are scored whole. Columns of other names do not matter, whatever they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -43,17 +47,24 @@ FILL = 2_000
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "pathetic", "worthless", "disgusting", "scum", "loser", "losers", "clown", "imbecile")
 BAD, FINE, ABSTAIN = 1, 0, -1
 WORD = re.compile(r"\w+")
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+_SHAPES: dict[str, str] = {}
 SPACE, MARK, LETTER = 0, 1, 2
 #: Of each byte of UTF-8; bytes beyond ASCII count as letters.
 KINDS = np.array([SPACE if chr(b).isspace() and b < 128 else LETTER if b > 127 or chr(b).isalnum() or b == 95 else MARK for b in range(256)], np.uint8)
 
 
 def measures(text: str) -> tuple[float, ...]:
-    """ASCII marks per character, separators per word, distinct words per word, runs of two or three marks behind letters per word, bytes per word, most frequent word's share, neighbours repeated, words."""
+    """The numbers that the quality labellers vote on."""
+    return measured(text)[0]
+
+
+def measured(text: str) -> tuple[tuple[float, ...], Counter]:
+    """Counts of the words, and: ASCII marks per character, separators per word, distinct words per word, runs of two or three marks behind letters per word, bytes per word, most frequent word's share, neighbours repeated, words."""
     words = text.split()
     n = len(words)
     if not n:
-        return (0.0,) * 8
+        return (0.0,) * 8, Counter()
     top = Counter(words)
     pipes = top.get("|", 0) + top.get("•", 0) + top.get("»", 0)
     again = sum(map(eq, words, islice(words, 1, None)))
@@ -69,7 +80,7 @@ def measures(text: str) -> tuple[float, ...]:
         max(top.values()) / n,
         again / n,
         float(n),
-    )
+    ), top
 
 
 def quality_votes(m: tuple[float, ...]) -> list[int]:
@@ -89,15 +100,35 @@ def quality_votes(m: tuple[float, ...]) -> list[int]:
     ]
 
 
-def quality_features(m: tuple[float, ...]) -> list[str]:
-    """Names of binned measures, alone and in pairs with the text's length."""
+def shape(word: str) -> str:
+    """A word with runs of letters as one, digits likewise, eight characters at most; remembered per worker up to a number of words."""
+    found = _SHAPES.get(word)
+    if found is None:
+        if len(_SHAPES) > 100_000:
+            _SHAPES.clear()
+        found = _SHAPES[word] = DIGITS.sub("0", LETTERS.sub("a", word))[:8]
+    return found
+
+
+def shape_features(words: Counter, n: int) -> list[str]:
+    """Names of the words' shapes, alone and with the share of words that have them, and of the most frequent words' shares."""
+    shares: Counter = Counter()
+    for word, k in words.items():
+        shares[shape(word)] += k
+    size = min(12, n.bit_length()) // 3
+    out = [f"s{s}" for s in shares] + [f"s{s}:{(32 * k // n).bit_length()}" for s, k in shares.items()]
+    return out + [f"r{r}:{(32 * k // n).bit_length()}:{size}" for r, (_, k) in enumerate(words.most_common(3))]
+
+
+def quality_features(m: tuple[float, ...], words: Counter) -> list[str]:
+    """Names of the shapes' features and of binned measures, alone and in pairs with the text's length."""
     n = m[7]
     size = min(12, int(math.log2(n + 1)))
     steps = (0.02, 0.02, 0.05, 0.04, 1.0, 0.04, 0.04)
     if n <= 12:  # too short for rates to mean much: only pipes and mark endings count
         return ["short", f"short:{m[1] > 0.2}", f"short:{m[3] > 0.3}"] + ["none"] * (not n)
     bins = [min(20, int(v / s)) for v, s in zip(m, steps)]
-    return [f"{k}:{b}" for k, b in enumerate(bins)] + [f"{k}:{b}/{size // 3}" for k, b in enumerate(bins)]
+    return [f"{k}:{b}" for k, b in enumerate(bins)] + [f"{k}:{b}/{size // 3}" for k, b in enumerate(bins)] + shape_features(words, int(n))
 
 
 def hashed(name: str) -> int:
@@ -247,9 +278,9 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, terms, votes = [], [], []
         for text in batch.column("text"):
             text = text.as_py()
-            m = measures(text)
+            m, words = measured(text)
             votes.append(quality_votes(m))
-            quality.append(sorted({hashed(x) for x in quality_features(m)}))
+            quality.append(sorted({hashed(x) for x in quality_features(m, words)}))
             terms.append(sorted({f for w in words_of(text) for f in term_features(w)}))
         yield pa.RecordBatch.from_arrays(
             [batch.column("h"), batch.column("toxic"), pa.array(votes, pa.list_(pa.int32())), pa.array(quality, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))],
@@ -262,6 +293,7 @@ class Model:
 
     def __init__(self, quality: tuple, toxic: tuple, tables: dict):
         self.quality, self.toxic, self.tables = quality, toxic, tables
+        self.key = hashlib.sha256(repr([(b, sorted(w.items())) for b, w in (quality, toxic)]).encode()).hexdigest()
 
     def scorer(self):
         q_bias, q_weights = self.quality
@@ -270,8 +302,8 @@ class Model:
         memo.clear()
 
         def score(text: str) -> tuple[float, float]:
-            m = measures(text)
-            q = q_bias + sum(q_weights.get(hashed(x), 0.0) for x in dict.fromkeys(quality_features(m)))
+            m, words = measured(text)
+            q = q_bias + sum(sorted(q_weights.get(hashed(x), 0.0) for x in set(quality_features(m, words))))
             feats: set[int] = set()
             for w in words_of(text):
                 f = memo.get(w)
@@ -414,10 +446,9 @@ _LAST: list = [None, None]
 
 
 def _cached(model: Model):
-    """The scorer of the model that this worker used last; kept between batches."""
-    key = (model.quality[0], model.toxic[0], len(model.toxic[1]), len(model.quality[1]))
-    if _LAST[0] != key:
-        _LAST[:] = [key, model.scorer()]
+    """The scorer of the model that this worker used last, known by its weights; kept between batches."""
+    if _LAST[0] != model.key:
+        _LAST[:] = [model.key, model.scorer()]
     return _LAST[1]
 
 
