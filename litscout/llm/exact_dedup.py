@@ -5,16 +5,18 @@ entries of the same key, its SHA-256, the row that stays and the number of rows.
 grouping on key *and* normalised text, so texts that collide in the key are told apart by their bytes
 and chained. Copies are combined before the shuffle, so a hot text costs one row per input task.
 
-The directory is extendible hashing's: it starts with one bucket and doubles while a bucket is
-overfull; a bucket is a prefix of the key's bits, that is a key range. The counts it needs are taken
-at ``max_depth`` bits, so the driver sees at most 2**max_depth rows whatever the corpus. Entries are
+The directory is extendible hashing's: it starts with one bucket and doubles while a bucket holds over
+``capacity`` entries; a bucket is a prefix of the key's bits, that is a key range. The counts it needs are taken
+at a depth that follows the number of entries, ``MOST_BITS`` at most, so the driver sees at most 2**MOST_BITS rows
+whatever the corpus. Entries are
 sent to the task that owns their bucket, chained there and written to the shared folder by bucket. Rows
 find their bucket through the broadcast directory and probe on (bucket, key), where the chain's digests are
 compared. The probe is Spark's join on bucket, key and digest: it spreads a bucket's rows over tasks, so
 that a hot text does not meet in the one that owns its bucket.
 
 Null text counts as empty; null ``doc_id`` sorts after all others; repeated rows with the id that
-stays are all marked as kept (``exact_dedup`` keeps one of them); an empty table gives no rows.
+stays are all marked as kept (``exact_dedup`` keeps one of them); an empty table gives no rows. Very long texts
+are texts like others: they are hashed and compared whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import Window
 from ..storage import stored
 from .common import SPACE_RUN, table, text_of
 
-NO_ID = 2**63 - 1
+#: Entries of a bucket, and bits of the deepest directory.
+CAPACITY, MOST_BITS = 8_192, 16
 
 
 def normalised(column: Column) -> Column:
@@ -63,14 +66,17 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tup
 PREFIX = "prefix bigint, bucket int"
 
 
-def build(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
-    """The index, written by bucket: (key, chain, text_sha256, keep_id, group_size, bucket) from rows (id, key, norm); and its directory (prefix, bucket)."""
+def build(keyed: DataFrame, capacity: int = CAPACITY, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index, written by bucket: (key, chain, text_sha256, keep_id, group_size, bucket) from rows (id, key, norm); and its directory (prefix, bucket).
+
+    ``keep_id`` is the least id that is not null, null without one. The directory has a slot for each prefix of its depth.
+    """
     spark = keyed.sparkSession
     entries = stored(
-        keyed.groupBy("key", "norm")
-        .agg(F.min(F.coalesce(F.col("id"), F.lit(NO_ID))).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        keyed.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
+    if max_depth is None:
+        max_depth = min(MOST_BITS, max(2, (entries.count() // capacity).bit_length() + 2))
     prefix = F.shiftrightunsigned("key", 64 - max_depth)
     counts = {r.p: r.n for r in entries.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     # The directory has 2**max_depth rows at most: a bounded table.
@@ -79,9 +85,10 @@ def build(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> tup
         first = p << (max_depth - d)
         slots += [(c, bucket) for c in range(first, first + (1 << (max_depth - d)))]
     slots = spark.createDataFrame(slots, PREFIX)
-    chain = Window.partitionBy("bucket", "key").orderBy("keep_id", "text_sha256")
+    slots.depth = max_depth
+    chain = Window.partitionBy("bucket", "key").orderBy(F.asc_nulls_last("keep_id"), "text_sha256")
     index = (
-        route(entries, slots, max_depth)
+        route(entries, slots)
         .repartition("bucket")
         .withColumn("chain", F.row_number().over(chain))
         .select("key", "chain", "text_sha256", "keep_id", "group_size", "bucket")
@@ -90,23 +97,19 @@ def build(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> tup
     return stored(index, *(["bucket"] if counts else [])), slots
 
 
-def build_index(keyed: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
+def build_index(keyed: DataFrame, capacity: int = CAPACITY, max_depth: int | None = None) -> DataFrame:
     """The index of ``build`` alone."""
     return build(keyed, capacity, max_depth)[0]
 
 
-def route(rows: DataFrame, slots: DataFrame, max_depth: int = 12) -> DataFrame:
+def route(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """``rows`` with the bucket that the directory gives their key."""
-    return rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth)).join(F.broadcast(slots), "prefix").drop("prefix")
+    return rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - slots.depth)).join(F.broadcast(slots), "prefix").drop("prefix")
 
 
 def probe(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Each row (id, bucket, key, text_sha256, ...) with keep_id, group_size and kept of the entry of its bucket's chain that has its digest."""
-    return (
-        rows.join(index.drop("chain"), ["bucket", "key", "text_sha256"])
-        .withColumn("kept", F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("keep_id"))
-        .withColumn("keep_id", F.nullif(F.col("keep_id"), F.lit(NO_ID)))
-    )
+    return rows.join(index.drop("chain"), ["bucket", "key", "text_sha256"]).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,13 +128,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     names = docs.columns
     norm = normalised(text_of(text_col))
-    ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), ident.alias("id"), norm.alias("norm"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("bigint").alias("id"), norm.alias("norm"))
     rows = rows.withColumn("key", F.xxhash64("norm"))
     index, slots = build(rows.select("id", "key", "norm"))
-    keep = index.select("bucket", "key", "text_sha256", F.col("keep_id").alias("id"))
-    rows = route(rows.select("row", "id", "key", F.sha2("norm", 256).alias("text_sha256")), slots)
-    entry = ["bucket", "key", "text_sha256", "id"]
+    whole = [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id")]  # a null id is one of its own
+    keep = index.withColumnRenamed("keep_id", "id").select("bucket", "key", "text_sha256", *whole)
+    rows = route(rows.select("row", "key", F.sha2("norm", 256).alias("text_sha256"), *whole), slots)
+    entry = ["bucket", "key", "text_sha256", "no_id", "id"]
     kept = rows.join(keep, entry).dropDuplicates(entry)
     return kept.select("row.*")
 
