@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
-from .common import table, text_of, worker_memo
+from .common import SPACE_RUN, table, text_of, worker_memo
 
 MOST_WORDS = 900_000
 #: Texts of letters without normal forms or odd lower case, digits, marks but the apostrophe, and white space;
@@ -127,11 +127,17 @@ def version_of(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def content_digest(text: Column, version: str) -> Column:
-    """SHA-256 of the tokenizer version and the content.
+def normalised(text: Column, path: str) -> Column:
+    """The content that the cache is keyed by and that is encoded: as far as the vocabulary's own normaliser treats texts alike.
 
-    The normalisation is the identity: not every vocabulary treats two different texts alike.
+    Vocabularies that make white space runs one space and drop spaces give a text and the same with single spaces
+    equal ids; for all others nothing is changed.
     """
+    return F.regexp_replace(text, SPACE_RUN, " ") if path.endswith(".json") and splits_at_space(path) else text
+
+
+def content_digest(text: Column, version: str) -> Column:
+    """SHA-256 of the tokenizer version and the normalised content."""
     return F.unhex(F.sha2(F.concat(F.lit(version + "\n"), text), 256))
 
 
@@ -153,12 +159,12 @@ def count_tokens(
     ``cache`` is a folder of Parquet files (digest, n_tokens) in storage that all executors share; the
     distinct texts whose digest it lacks are encoded once and appended to it. By default a new one is made
     below the shared folder. Copies are combined before the shuffle. Null text counts as empty; repeated
-    rows and null ids are rows like others; an empty table gives no rows.
+    rows and null ids are rows like others, ties do not arise; very long texts are encoded whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path, cache = tokenizer_file(tokenizer), cache or shared_dir(spark)
     text = text_of(text_col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(text, path).alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
     keyed = keyed.withColumn("digest", content_digest(F.col("text"), version_of(path)))
     schema = "digest binary, n_tokens bigint"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)  # so that it can be read
