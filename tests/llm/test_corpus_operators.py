@@ -182,6 +182,31 @@ def test_index_is_written_and_probed_by_bucket(spark):
     assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.probe(routed, index).collect()} == {(i, i, True) for i in range(40)}
 
 
+def test_a_wrong_directory_finds_no_entries(spark):
+    rows = spark.createDataFrame([(i, (i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, f"t{i}") for i in range(40)], "id bigint, key bigint, norm string")
+    index, slots = exact_dedup.build(rows, capacity=5)
+    wrong = slots.withColumn("bucket", F.col("bucket") + 1)
+    wrong.depth = slots.depth
+    digests = rows.select("id", "key", F.sha2("norm", 256).alias("text_sha256"))
+    assert exact_dedup.probe(exact_dedup.route(digests, wrong), index).count() == 0
+    assert exact_dedup.probe(exact_dedup.route(digests, slots), index).count() == 40
+
+
+def test_the_directory_follows_the_entries(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("norm"))
+    index, slots = exact_dedup.build(rows, capacity=500)
+    sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 500 and len(sizes) > 40 and slots.depth <= exact_dedup.MOST_BITS
+
+
+def test_greatest_and_missing_ids(spark):
+    top = 2**63 - 1
+    df = documents(spark, ["a", "a", "b", "b", "c", "c"], [top, None, None, None, -1, top])
+    got = Counter((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.mark_copies(df).collect())
+    assert got == {(top, top, True): 1, (None, top, False): 1, (None, None, True): 2, (-1, -1, True): 1, (top, -1, False): 1}
+    assert sorted(r.text for r in exact_dedup.exact_dedup(df).collect()) == ["a", "b", "c"]
+
+
 def test_copies_edges(spark):
     df = documents(spark, EDGES, EDGE_IDS)
     got = exact_dedup.mark_copies(df).collect()

@@ -183,7 +183,7 @@ def cut_cases():
     return base + more + near
 
 
-@pytest.mark.parametrize("parameters", [{}, {"big": 1}, {"chunk": 1}, {"span": 100}])
+@pytest.mark.parametrize("parameters", [{}, {"chunk": 1}, {"chunk": 3_000}, {"span": 100}])
 def test_cut_equals_brute_force(spark, parameters):
     texts = cut_cases()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(documents(spark, texts), **parameters).collect()}
@@ -294,6 +294,37 @@ def test_classifier_held_out(spark):
     assert again == got
 
 
+def test_votes_and_scores_equal_plain_loops(spark):
+    """Votes are counted over all documents of all tasks, and rows are scored as the model scores their texts."""
+    kinds, texts = corpus(3, 150)
+    df = documents(spark, texts).repartition(5)
+    terms, insults = {quality.hashed("wzorgface")}, {quality.hashed("wriver")}
+    rows = df.select(F.lit(None).cast("int").alias("toxic"), "text").mapInArrow(quality._vote_counter(terms, set(), insults), "kind string, pattern string, n bigint")
+    got = {(r.kind, r.pattern): r.n for r in rows.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()}
+    want = Counter(("q", ",".join(map(str, quality.quality_votes(quality.measures(t))))) for t in texts)
+    for t in texts:
+        words = set(t.lower().replace(".", " ").split())
+        want["t", f"{int('zorgface' in words)},0,{1 if 'river' in words else -1},-1"] += 1
+    assert got == want
+    labels = spark.createDataFrame([(i, int(k != "junk"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(documents(spark, texts), labels)
+    score = model.scorer()
+    scored = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in quality.classify(documents(spark, texts), labels).collect()}
+    assert scored == {i: score(t) for i, t in enumerate(texts)}
+
+
+def test_models_of_equal_size_are_told_apart():
+    one, two = (quality.Model((-1.0, {1: w}), (-1.0, {2: w}), {}) for w in (0.5, 0.7))
+    assert one.key != two.key and quality._cached(one) is not quality._cached(two)
+
+
+def test_quality_features_are_of_the_text():
+    """Texts on which every labeller votes alike still differ in their features."""
+    a, b = "the river walks under light and water " * 8, "the ri4er wa!ks under light and water " * 8
+    assert quality.quality_votes(quality.measures(a)) == quality.quality_votes(quality.measures(b))
+    assert set(quality.quality_features(*quality.measured(a))) != set(quality.quality_features(*quality.measured(b)))
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = quality.classify(documents(spark, EDGES, EDGE_IDS), none).collect()
