@@ -32,12 +32,14 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import table, text_of, worker_memo
+from .common import table, text_of
 
 #: Rows that scorers and term lists are fitted on, at most.
 SAMPLE = 12_000
@@ -48,8 +50,8 @@ INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "pathetic",
 BAD, FINE, ABSTAIN = 1, 0, -1
 WORD = re.compile(r"\w+")
 LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
-_SHAPES: dict[str, str] = {}
 SPACE, MARK, LETTER = 0, 1, 2
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Of each byte of UTF-8; bytes beyond ASCII count as letters.
 KINDS = np.array([SPACE if chr(b).isspace() and b < 128 else LETTER if b > 127 or chr(b).isalnum() or b == 95 else MARK for b in range(256)], np.uint8)
 
@@ -101,13 +103,8 @@ def quality_votes(m: tuple[float, ...]) -> list[int]:
 
 
 def shape(word: str) -> str:
-    """A word with runs of letters as one, digits likewise, eight characters at most; remembered per worker up to a number of words."""
-    found = _SHAPES.get(word)
-    if found is None:
-        if len(_SHAPES) > 100_000:
-            _SHAPES.clear()
-        found = _SHAPES[word] = DIGITS.sub("0", LETTERS.sub("a", word))[:8]
-    return found
+    """A word with runs of letters as one, digits likewise, eight characters at most."""
+    return DIGITS.sub("0", LETTERS.sub("a", word))[:8]
 
 
 def shape_features(words: Counter, n: int) -> list[str]:
@@ -115,20 +112,92 @@ def shape_features(words: Counter, n: int) -> list[str]:
     shares: Counter = Counter()
     for word, k in words.items():
         shares[shape(word)] += k
-    size = min(12, n.bit_length()) // 3
     out = [f"s{s}" for s in shares] + [f"s{s}:{(32 * k // n).bit_length()}" for s, k in shares.items()]
-    return out + [f"r{r}:{(32 * k // n).bit_length()}:{size}" for r, (_, k) in enumerate(words.most_common(3))]
+    return out + repeated([k for _, k in words.most_common(3)], n)
+
+
+def repeated(most: list[int], n: int) -> list[str]:
+    return [f"r{r}:{(32 * k // n).bit_length()}:{min(12, n.bit_length()) // 3}" for r, k in enumerate(most)]
 
 
 def quality_features(m: tuple[float, ...], words: Counter) -> list[str]:
     """Names of the shapes' features and of binned measures, alone and in pairs with the text's length."""
-    n = m[7]
-    size = min(12, int(math.log2(n + 1)))
-    steps = (0.02, 0.02, 0.05, 0.04, 1.0, 0.04, 0.04)
+    n = int(m[7])
     if n <= 12:  # too short for rates to mean much: only pipes and mark endings count
         return ["short", f"short:{m[1] > 0.2}", f"short:{m[3] > 0.3}"] + ["none"] * (not n)
+    return binned(m) + shape_features(words, n)
+
+
+def binned(m: tuple[float, ...]) -> list[str]:
+    size = min(12, int(math.log2(m[7] + 1)))
+    steps = (0.02, 0.02, 0.05, 0.04, 1.0, 0.04, 0.04)
     bins = [min(20, int(v / s)) for v, s in zip(m, steps)]
-    return [f"{k}:{b}" for k, b in enumerate(bins)] + [f"{k}:{b}/{size // 3}" for k, b in enumerate(bins)] + shape_features(words, int(n))
+    return [f"{k}:{b}" for k, b in enumerate(bins)] + [f"{k}:{b}/{size // 3}" for k, b in enumerate(bins)]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+class Read:
+    """What ``measured`` finds in each text, for a whole Arrow batch at once.
+
+    Words are numbered; ``doc``, ``word`` and ``times`` list each text's different words with their counts, sorted by text.
+    """
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        self.words: pa.StringArray = coded.dictionary
+        word = coded.indices.to_numpy().astype(np.int64)
+        size = len(texts)
+        doc = np.repeat(np.arange(size), lists.value_lengths().to_numpy())
+        full = word != self.place("")  # of white space at the ends
+        word, doc = word[full], doc[full]
+        self.n = np.bincount(doc, minlength=size)
+        again = np.bincount(doc[1:][(word[1:] == word[:-1]) & (doc[1:] == doc[:-1])], minlength=size)
+        key, self.times = distinct(doc * max(1, len(self.words)) + word)
+        self.doc, self.word = np.divmod(key, max(1, len(self.words)))
+        self.first = np.searchsorted(self.doc, np.arange(size + 1))
+        bar = np.isin(self.word, [self.place(w) for w in ("|", "•", "»")])
+        pipes = np.bincount(self.doc[bar], self.times[bar], size)
+        marks, letters, endings = self._bytes()
+        chars = pc.utf8_length(texts).to_numpy()
+        top = np.zeros(size)
+        if len(key):
+            top[self.n > 0] = np.maximum.reduceat(self.times, self.first[:-1][self.n > 0])
+        n = np.maximum(self.n, 1)
+        columns = (marks / np.maximum(1, chars), pipes / n, np.diff(self.first) / n, endings / n, letters / n, top / n, again / n, self.n.astype(float))
+        self.measures = list(zip(*(np.where(self.n > 0, c, 0.0).tolist() for c in columns)))
+
+    def place(self, word: str) -> int:
+        return pc.index(self.words, word).as_py()
+
+    def shapes(self) -> tuple[np.ndarray, list[str]]:
+        """Each different word's shape, as its place in the list of shapes."""
+        found = pc.replace_substring_regex(self.words, r"[\p{L}\p{Nl}\p{No}]+", "a")
+        found = pc.utf8_slice_codeunits(pc.replace_substring_regex(found, r"\p{Nd}+", "0"), 0, 8).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: marks, bytes that are no separators, runs of two or three marks behind letters."""
+        size = len(self.texts)
+        _, offsets, data = self.texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[self.texts.offset : self.texts.offset + size + 1].astype(np.int64)
+        kind = KINDS[np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]]
+        ends -= ends[0]
+        found = [kind == MARK, kind != SPACE]
+        ending = np.zeros(len(kind), bool)
+        if len(kind) > 3:
+            ending[:-3] = found[0][1:-2] & found[0][2:-1] & (kind[:-3] == LETTER) & (kind[3:] != LETTER)
+            last = ends[1:, None] - np.arange(1, 4)  # would reach into the next text
+            ending[last[last >= 0]] = False
+        total = [np.r_[0, np.cumsum(f)] for f in (*found, ending)]
+        return tuple(t[ends[1:]] - t[ends[:-1]] for t in total)
 
 
 def hashed(name: str) -> int:
@@ -141,20 +210,62 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-_STARTS: dict[str, tuple[int, ...]] = {}
-
-
 def term_features(word: str) -> tuple[int, ...]:
     """A word's hashed features: itself and, for longer words, its first four and five characters."""
-    if len(word) < 5:
-        return (hashed("w" + word),)
-    start = word[:5] if len(word) > 5 else word[:4]
-    known = _STARTS.get(start)
-    if known is None:
-        if len(_STARTS) > 50_000:
-            _STARTS.clear()
-        known = _STARTS[start] = (hashed("5" + start), hashed("4" + start[:4])) if len(start) == 5 else (hashed("4" + start),)
-    return (hashed("w" + word), *known)
+    return tuple(f for f in term_hashes(pa.array([word]))[0].tolist() if f >= 0)
+
+
+def hash_strings(strings: pa.StringArray, kind: int) -> np.ndarray:
+    """Hashes of 62 bits: the bytes as a polynomial, mixed."""
+    if not len(strings):
+        return np.empty(0, np.int64)
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends -= ends[0]
+    size = np.diff(ends)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max(initial=0)), MULTIPLIER)])
+    out = np.zeros(len(size), np.uint64)
+    some = size > 0
+    if some.any():
+        at = np.arange(len(data)) - np.repeat(ends[:-1], size)
+        out[some] = np.add.reduceat(data * power[at], ends[:-1][some])
+    out += np.uint64(kind)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return (out >> np.uint64(2)).astype(np.int64)
+
+
+def term_hashes(words: pa.StringArray) -> np.ndarray:
+    """Of each word: the hash of itself, of its first five characters if it has more, of its first four if it has five or more; -1 for none."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    five = np.where(size > 5, hash_strings(pc.utf8_slice_codeunits(words, 0, 5), 5), -1)
+    four = np.where(size > 4, hash_strings(pc.utf8_slice_codeunits(words, 0, 4), 4), -1)
+    return np.stack([hash_strings(words, 1), five, four], 1)
+
+
+class Terms:
+    """The words in lower case, without marks, of each text of a batch that was read: ``doc`` and ``word``, sorted by text, and the words' hashed features."""
+
+    def __init__(self, read: Read):
+        # words do not reach over white space, so the different words are split, not the texts
+        lists = pc.split_pattern_regex(pc.utf8_lower(read.words), r"[^\p{L}\p{N}_]+")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.indices.to_numpy().astype(np.int64)
+        many = lists.value_lengths().to_numpy().astype(np.int64)
+        of = many[read.word]
+        at = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of) + np.repeat((np.cumsum(many) - many)[read.word], of)
+        self.size, self.doc, self.word = len(read.n), np.repeat(read.doc, of), parts[at]
+        full = self.word != pc.index(coded.dictionary, "").as_py()
+        self.doc, self.word = self.doc[full], self.word[full]
+        self.feats = term_hashes(coded.dictionary)
+
+    def having(self, features: np.ndarray) -> np.ndarray:
+        """Which features of which words are among the sorted ``features``."""
+        if not len(features):
+            return np.zeros(self.feats.shape, bool)
+        at = np.minimum(np.searchsorted(features, self.feats), len(features) - 1)
+        return features[at] == self.feats
 
 
 def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -233,10 +344,11 @@ def _vote_counter(terms: set[int], starts: set[int], insults: set[int]):
         seen: Counter = Counter()
         words = _Words(terms, starts, insults)
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                text = text.as_py()
-                seen["q", tuple(quality_votes(measures(text)))] += 1
-                seen["t", words.votes(text, label)] += 1
+            if not batch.num_rows:
+                continue
+            read = Read(batch.column("text"))
+            seen.update(("q", tuple(quality_votes(m))) for m in read.measures)
+            seen.update(("t", v) for v in words.votes(Terms(read), batch.column("toxic").to_pylist()))
         kind = [k for k, _ in seen]
         pats = [",".join(map(str, p)) for _, p in seen]
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(pats, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "pattern", "n"])
@@ -245,43 +357,30 @@ def _vote_counter(terms: set[int], starts: set[int], insults: set[int]):
 
 
 class _Words:
-    """Which labellers a word speaks to, remembered per word."""
+    """Which labellers a text's words speak to."""
 
     def __init__(self, terms: set[int], starts: set[int], insults: set[int]):
-        self.sets, self.memo = (terms, starts, insults), worker_memo("votes")
-        self.memo.clear()
-
-    def votes(self, text: str, label: int | None) -> tuple[int, ...]:
-        flags = 0
-        memo = self.memo
-        for w in words_of(text):
-            f = memo.get(w)
-            if f is None:
-                one, two, three = self.sets
-                f = 0
-                for x in term_features(w):
-                    f |= (x in one) | (x in two) << 1 | (x in three) << 2
-                if len(memo) > 150_000:
-                    memo.clear()
-                memo[w] = f
-            flags |= f
-        return (
-            BAD if flags & 1 else FINE,
-            BAD if flags & 2 else FINE,
-            BAD if flags & 4 else ABSTAIN,
-            ABSTAIN if label is None else BAD if label else FINE,
-        )
+        self.sets = [np.array(sorted(x), np.int64) for x in (terms, starts, insults)]
+
+    def votes(self, read: Terms, labels: list[int | None]) -> list[tuple[int, ...]]:
+        hits = [np.bincount(read.doc[read.having(x).any(1)[read.word]], minlength=read.size) > 0 for x in self.sets]
+        one, two, three = (h.tolist() for h in hits)
+        return [(BAD if a else FINE, BAD if b else FINE, BAD if c else ABSTAIN, ABSTAIN if label is None else BAD if label else FINE) for a, b, c, label in zip(one, two, three, labels)]
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        quality, terms, votes = [], [], []
-        for text in batch.column("text"):
-            text = text.as_py()
+        if not batch.num_rows:
+            continue
+        quality, votes = [], []
+        for text in batch.column("text").to_pylist():
             m, words = measured(text)
             votes.append(quality_votes(m))
             quality.append(sorted({hashed(x) for x in quality_features(m, words)}))
-            terms.append(sorted({f for w in words_of(text) for f in term_features(w)}))
+        read = Terms(Read(batch.column("text")))
+        feats = read.feats[read.word]
+        ends = np.searchsorted(read.doc, np.arange(read.size + 1))
+        terms = [np.unique(f[f >= 0]) for f in (feats[a:b].ravel() for a, b in zip(ends, ends[1:]))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("h"), batch.column("toxic"), pa.array(votes, pa.list_(pa.int32())), pa.array(quality, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))],
             names=["h", "toxic", "votes", "quality", "terms"],
@@ -295,30 +394,76 @@ class Model:
         self.quality, self.toxic, self.tables = quality, toxic, tables
         self.key = hashlib.sha256(repr([(b, sorted(w.items())) for b, w in (quality, toxic)]).encode()).hexdigest()
 
-    def scorer(self):
-        q_bias, q_weights = self.quality
-        t_bias, t_weights = self.toxic
-        memo: dict[str, tuple[int, ...]] = worker_memo("scores")
-        memo.clear()
-
-        def score(text: str) -> tuple[float, float]:
-            m, words = measured(text)
-            q = q_bias + sum(sorted(q_weights.get(hashed(x), 0.0) for x in set(quality_features(m, words))))
-            feats: set[int] = set()
-            for w in words_of(text):
-                f = memo.get(w)
-                if f is None:
-                    f = tuple([x for x in term_features(w) if x in t_weights])
-                    if len(memo) > 150_000:
-                        memo.clear()
-                    memo[w] = f
-                if f:
-                    feats.update(f)
-            t = t_bias + sum(t_weights[x] for x in sorted(feats))
-            one = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
-            return (1.0 if not m[7] else one(q)), one(t)
-
-        return score
+    def score(self, text: str) -> tuple[float, float]:
+        """(probability of low quality, probability of toxicity) of one text."""
+        (q_bias, q_weights), (t_bias, t_weights) = self.quality, self.toxic
+        m, words = measured(text)
+        q = q_bias + math.fsum(q_weights.get(hashed(x), 0.0) for x in set(quality_features(m, words)))
+        feats = {f for w in words_of(text) for f in term_features(w) if f in t_weights}
+        return (logistic(q) if m[7] else 1.0), logistic(t_bias + math.fsum(t_weights[f] for f in feats))
+
+
+def logistic(v: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+
+
+class BatchScorer:
+    """``Model.score`` for Arrow batches of texts; keeps the weights of features by name between them."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.telling = np.array(sorted(model.toxic[1]), np.int64)
+        self.weights: dict[str, float] = {}
+
+    def weight(self, name: str) -> float:
+        w = self.weights.get(name)
+        if w is None:
+            if len(self.weights) > 200_000:
+                self.weights.clear()
+            w = self.weights[name] = self.model.quality[1].get(hashed(name), 0.0)
+        return w
+
+    def __call__(self, texts: pa.Array) -> tuple[list[float], list[float]]:
+        read = Read(texts)
+        return self.quality(read), self.toxic(Terms(read))
+
+    def quality(self, read: Read) -> list[float]:
+        size = len(read.n)
+        shape_of, names = read.shapes()
+        key, place = np.unique(read.doc * max(1, len(names)) + shape_of[read.word], return_inverse=True)
+        doc, held = np.divmod(key, max(1, len(names)))
+        share = 32 * np.bincount(place, read.times, len(key)).astype(np.int64) // read.n[doc]
+        share = np.frexp(share.astype(float))[1]  # the bit length
+        alone = np.array([self.weight(f"s{s}") for s in names])
+        pairs, place = np.unique(held * 64 + share, return_inverse=True)
+        shared = np.array([self.weight(f"s{names[p // 64]}:{p % 64}") for p in pairs.tolist()])
+        weights = (alone[held] + 0.0, shared[place])
+        first = np.searchsorted(doc, np.arange(size + 1)).tolist()
+        bias, out = self.model.quality[0], []
+        for i, m in enumerate(read.measures):
+            n = int(m[7])
+            if not n:
+                out.append(1.0)
+                continue
+            if n <= 12:
+                found = [self.weight(x) for x in set(quality_features(m, Counter()))]
+            else:
+                a, b = first[i : i + 2]
+                times = read.times[read.first[i] : read.first[i + 1]]
+                most = np.sort(times)[::-1][:3].tolist()
+                found = [self.weight(x) for x in {*binned(m), *repeated(most, n)}]
+                found += weights[0][a:b].tolist() + weights[1][a:b].tolist()
+            out.append(logistic(bias + math.fsum(found)))
+        return out
+
+    def toxic(self, read: Terms) -> list[float]:
+        told = read.having(self.telling)
+        feats: dict[int, set[int]] = {}
+        hit = told.any(1)[read.word]
+        for d, w in zip(read.doc[hit].tolist(), read.word[hit].tolist()):
+            feats.setdefault(d, set()).update(read.feats[w][told[w]].tolist())
+        bias, weights = self.model.toxic
+        return [logistic(bias + math.fsum(weights[f] for f in feats.get(i, ()))) for i in range(read.size)]
 
 
 def sample_of(base: DataFrame, ids: DataFrame, sample: int = SAMPLE, fill: int = FILL) -> list[tuple[int, int | None]]:
@@ -350,7 +495,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fill: int = FI
     rows = rows.agg(F.round(F.avg("toxic")).cast("int").alias("toxic"), F.first("text").alias("text"))
     rows = stored(rows.mapInArrow(_sampler, "h string, toxic int, votes array<int>, quality array<bigint>, terms array<bigint>"))
     mined = _toxic_features(rows)
-    insults = {hashed("w" + w) for w in INSULTS}
+    insults = set(hash_strings(pa.array(INSULTS), 1).tolist())
     # each mined feature speaks to one of two labellers, by hash, so that their votes are not the same evidence
     one, two = {f for f in mined if f & 1}, {f for f in mined if not f & 1}
     label_of = F.broadcast(chosen.where("toxic IS NOT NULL"))
@@ -409,14 +554,13 @@ def _patterns(one: set[int], two: set[int], insults: set[int]):
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
+        score = BatchScorer(model)
         for batch in batches:
-            got = [score(t.as_py()) for t in batch.column("__text")]
+            if not batch.num_rows:
+                continue
+            low, toxic = score(batch.column("__text"))
             rest = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in rest), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*rest, "p_low_quality", "p_toxic"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=[*rest, "p_low_quality", "p_toxic"])
 
     return run
 
@@ -436,8 +580,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fill: in
 
     @F.pandas_udf("boolean")
     def good(texts):
-        score = _cached(model)
-        return texts.map(lambda t: max(score(t)) < 0.5).astype(bool)
+        if not len(texts):
+            return texts.astype(bool)
+        low, toxic = _cached(model)(pa.array(texts, pa.string()))
+        return pd.Series([max(p) < 0.5 for p in zip(low, toxic)], texts.index, dtype=bool)
 
     return docs.where(good(text_of(text_col))).select(*[F.col(f"`{c}`") for c in names])
 
@@ -448,7 +594,7 @@ _LAST: list = [None, None]
 def _cached(model: Model):
     """The scorer of the model that this worker used last, known by its weights; kept between batches."""
     if _LAST[0] != model.key:
-        _LAST[:] = [model.key, model.scorer()]
+        _LAST[:] = [model.key, BatchScorer(model)]
     return _LAST[1]
 
 

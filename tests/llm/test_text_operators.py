@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,7 +299,7 @@ def test_votes_and_scores_equal_plain_loops(spark):
     """Votes are counted over all documents of all tasks, and rows are scored as the model scores their texts."""
     kinds, texts = corpus(3, 150)
     df = documents(spark, texts).repartition(5)
-    terms, insults = {quality.hashed("wzorgface")}, {quality.hashed("wriver")}
+    terms, insults = {quality.term_features("zorgface")[0]}, {quality.term_features("river")[0]}
     rows = df.select(F.lit(None).cast("int").alias("toxic"), "text").mapInArrow(quality._vote_counter(terms, set(), insults), "kind string, pattern string, n bigint")
     got = {(r.kind, r.pattern): r.n for r in rows.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()}
     want = Counter(("q", ",".join(map(str, quality.quality_votes(quality.measures(t))))) for t in texts)
@@ -308,9 +309,21 @@ def test_votes_and_scores_equal_plain_loops(spark):
     assert got == want
     labels = spark.createDataFrame([(i, int(k != "junk"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
     model = quality.fit(documents(spark, texts), labels)
-    score = model.scorer()
     scored = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in quality.classify(documents(spark, texts), labels).collect()}
-    assert scored == {i: score(t) for i, t in enumerate(texts)}
+    assert scored == {i: model.score(t) for i, t in enumerate(texts)}
+
+
+def test_batches_read_like_single_texts():
+    rng = random.Random(6)
+    signs = ["a", "Bc", "é", "|", "•", "..", "!!x", "1", "_", " ", "  ", "\t", "\n", "\xa0", "\x1c", "x%%", "y## ", "z$$$ "]
+    texts = ["", " ", "a", "ab..", "..", "a%% b", "\n\n"] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    array = pa.array(["zz", *texts, "zz"])[1:-1]
+    assert quality.Read(array).measures == [quality.measures(t) for t in texts]
+    names = {x for t in texts for x in quality.quality_features(*quality.measured(t))}
+    weights = {quality.hashed(x): rng.uniform(-1, 1) for x in sorted(names)}
+    words = sorted({f for t in texts for w in quality.words_of(t) for f in quality.term_features(w)})
+    model = quality.Model((0.1, weights), (-0.2, {f: rng.uniform(-1, 1) for f in words[::2]}), {})
+    assert list(zip(*quality.BatchScorer(model)(array))) == [model.score(t) for t in texts]
 
 
 def test_models_of_equal_size_are_told_apart():
