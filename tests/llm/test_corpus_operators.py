@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -387,6 +388,8 @@ def test_shards(spark):
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert got.groupby("text_crc32")["shard"].nunique().max() == 1
+    assert dict(zip(got.doc_id, got.text_crc32)) == {i: zlib.crc32((t or "").encode()) for i, t in enumerate(texts)}
+    assert dict(zip(got.doc_id, got["size"])) == {i: len((t or "").encode()) + 8 for i, t in enumerate(texts)}
     assert dict(zip(got.doc_id, got["size"]))[940] == 8
     assert shard.shard_rows(documents(spark, [])).count() == 0
     assert shard.shard_rows(documents(spark, EDGES, EDGE_IDS)).count() == len(EDGES)
@@ -418,3 +421,36 @@ def test_pipeline(spark, tmp_path):
     assert seen["ngram_join"].count() == len({v[0] for v in brute_join([r.text for r in seen["exact_dedup"].orderBy("doc_id").collect()]).values()})
     assert seen["packing"].agg(F.sum("length")).first()[0] > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def run_stages(spark, docs, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(folder))
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+    return docs
+
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    assert run_stages(spark, documents(spark, []), tmp_path).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, a very long text, and columns whose names operators use inside."""
+    rng = random.Random(2)
+    long = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(30_000))
+    kinds, texts = corpus(5, 60)
+    texts += [None, "", " ", long, "dup dup text", "dup dup text", "dup  dup text"]
+    ids = [*range(60), None, None, 7, 8, 9, 9, None]
+    spark.createDataFrame([(i, int(k != "junk"), int(k == "toxic")) for i, k in enumerate(kinds)] + [(None, None, 1)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = run_stages(spark, documents(spark, texts, ids), tmp_path).collect()
+    kept = spark.read.parquet(str(tmp_path / "ngram_join")).collect()
+    assert any(r.text == long for r in kept) and all((r.text or "").strip() for r in kept)
+    assert len({" ".join(r.text.lower().split()) for r in kept}) == len(kept)
+    assert sum(p.length for p in pieces) > 0 and {p.doc_id for p in pieces} <= {r.doc_id for r in kept}
