@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Odd rows: a null text is an empty one; texts without words are rejected by the first stage. A null ``doc_id`` is a row like
+others, but of equal or similar texts one with an id stays. Repeated rows are copies. Very long texts are read
+whole. Extra columns are handed on, whatever their names; an empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
