@@ -9,8 +9,9 @@ The running sum needs no source in one task: keys are cut into slices of the exp
 (so slices are even), slice totals are summed first, rows within a slice afterwards.
 
 Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ...; null text has size 0; documents
-of size 0 are taken 0 times; repeated rows are documents of their own and ties go by id, then text
-hash; an empty table gives no rows. The number of sources is that of a configuration, so windows over
+of size 0 are taken 0 times; repeated rows are documents of their own and ties of keys go by id, then text
+hash; very long texts are documents like others, of which the edge may take a part; columns of other names do not
+matter; an empty table gives no rows. The number of sources is that of a configuration, so windows over
 the table of sources (one row each) run in one task.
 """
 

@@ -10,6 +10,8 @@ Law ``bytes``: the shards' byte sums are nearly equal, rows with equal text stay
   differences left are below a cell's size whatever the corpus.
 * If one group is larger than an even share, its shard is as large as that group and the others are
   levelled: groups are indivisible.
+* Groups of equal size are taken in the order of their cells and digests, so reruns agree; very long texts are groups
+  like others, and columns of other names do not matter.
 * An empty table gives no rows.
 """
 
