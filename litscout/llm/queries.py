@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, shard, suffix_dedup, tokens, vector_dedup
+from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, shard, suffix_dedup, tokens, vector_codes, vector_dedup
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": shard.op10_sharding,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_OP6,
     "op7_vector_dedup": vector_dedup.ORACLE_OP7,
     "op9_mixing": mixing.ORACLE_OP9,
+    "op11_line_dedup": line_dedup.ORACLE_OP11,
+    "op12_prefix_trie": prefix_trie.ORACLE_OP12,
+    "op13_vector_codes": vector_codes.ORACLE_OP13,
 }
