@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,45 +41,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def _counts(titles: list[str], letters: int = 64, pairs: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each title's distinct words: their joined length, counts of letters and of pairs of letters (a blank before each word), both folded."""
-    size = np.zeros(len(titles), np.int32)
-    ones, twos = np.zeros((len(titles), letters), np.uint8), np.zeros((len(titles), pairs), np.uint8)
-    for i, t in enumerate(titles):
-        words = set(t.split())
-        size[i] = sum(map(len, words)) + len(words) - 1
-        text = np.array([ord(c) for w in words for c in " " + w], np.int64)
-        one = np.bincount(text[text != 32] % letters, minlength=letters)
-        two = np.bincount(((text[:-1] * 31 + text[1:]) % pairs)[text[1:] != 32], minlength=pairs)
-        ones[i], twos[i] = np.minimum(one, 255), np.minimum(two, 255)
-    return size, ones, twos
-
-
-def near_spelling(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[str, str]]:
-    """Pairs that may reach the threshold by spelling; no other pair does.
-
-    With d edits between what is left of both titles without their common words, the lengths and the counts of letters differ
-    by d at most, and those of letter pairs by 3 d, as an edit takes one pair and makes two or the other way round.
-    Folding and capping counts only brings them closer.
-    """
-    if not left or not right:
-        return
-    size_l, one_l, two_l = _counts(left)
-    size_r, one_r, two_r = _counts(right)
-    order = np.argsort(size_r, kind="stable")
-    size_r, one_r, two_r = size_r[order], one_r[order], two_r[order]
-    for i, t in enumerate(left):
-        low, high = np.searchsorted(size_r, [size_l[i] * threshold / (2 - threshold) - 1e-6, size_l[i] * (2 - threshold) / threshold + 1e-6])
-        most = (1 - threshold) * (size_l[i] + size_r[low:high]) + 1e-6
-        near = low + np.flatnonzero(_apart(one_r[low:high], one_l[i]) <= most)
-        for j in near[_apart(two_r[near], two_l[i]) <= 3 * most[near - low]]:
-            yield t, right[order[j]]
-
-
-def _apart(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (np.maximum(rows, one) - np.minimum(rows, one)).sum(1, dtype=np.int32)
-
-
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") / 100.0 for x, y in zip(a, b)], dtype=float)
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import near_spelling, title_score, token_set_ratio
 from ..functions.text import normalize_identifier, normalize_title, strip
 from ..storage import discard, stored
 from .graph import components
+from .similar import similar_titles
 
 THRESHOLD = 0.9
-#: Titles of a block, and keys of a component that one task passes through.
-BLOCK_TITLES, TASK_KEYS = 2048, 200_000
+#: Keys of a component that one task passes through, and rounds in which a larger one is decided before it is passed through in blocks.
+TASK_KEYS, ROUNDS = 200_000, 24
 
 
 def exact_key() -> Column:
@@ -45,79 +43,6 @@ def not_in_library(candidates: DataFrame, library: DataFrame) -> DataFrame:
     return out.drop("__d", "__i")
 
 
-def _words(titles: DataFrame) -> DataFrame:
-    """Of normalised titles (t): distinct words and their joined length."""
-    words = F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))
-    return titles.withColumn("words", words).withColumn("size", F.length(F.array_join("words", " "))).where(F.size("words") > 0)
-
-
-def _rarest(sides: tuple[DataFrame, DataFrame]) -> list[DataFrame]:
-    """Postings (t, size, keys) of both sides, words from the rarest on; counts cover both sides."""
-    each = [d.select("t", "size", F.explode("words").alias("key")) for d in sides]
-    counts = each[0].union(each[1]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return [d.join(counts, "key").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")) for d in each]
-
-
-def _alike_in_words(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose score comes from common words. They share one of the rarest words of either side: what is not
-    common makes at most a fifth of a side's length, so the rarest words that make up more than that hold a
-    common one; for a set inside another, the rarest word of the smaller is common."""
-    wa, wb = _rarest((a, b))
-    within = F.expr(
-        "transform(filter(transform(keys, (x, i) -> struct(x.key AS key, aggregate(slice(keys, 1, i), 0, (s, y) -> s + length(y.key) + 1) AS ahead)), "
-        "x -> x.ahead <= 0.25 * size + 1), x -> x.key)"
-    )
-    every = F.expr("transform(keys, x -> x.key)")
-
-    def posts(d: DataFrame, keys: Column, name: str) -> DataFrame:
-        return d.select(F.col("t").alias(name), F.explode(keys).alias("key"))
-
-    found = [posts(wa, within, "t").join(posts(wb, every, "u"), "key"), posts(wa, every, "t").join(posts(wb, within, "u"), "key")]
-    pairs = found[0].select("t", "u").union(found[1].select("t", "u")).where("t <> u").distinct()
-    # the bound on the pair itself, in the JVM, before the exact score
-    for d, name in ((a, "t"), (b, "u")):
-        pairs = pairs.join(d.select(F.col("t").alias(name), F.col("words").alias(f"words_{name}"), F.col("size").alias(f"size_{name}")), name)
-    shared = F.length(F.array_join(F.array_intersect("words_t", "words_u"), " "))
-    return pairs.where(shared >= 0.75 * F.least("size_t", "size_u") - 1).select("t", "u").where(title_score("t", "u") >= threshold)
-
-
-def _alike_in_spelling(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose score comes from spelling: their words, joined, differ in at most 1 - threshold of their lengths in edits.
-
-    So the lengths' ratio has a bound: titles fall into classes of length, and each meets three of them. A class is cut into
-    blocks, every pair of blocks is a task, and there numpy applies ``near_spelling``'s bounds to whole blocks before
-    the exact score. Class sizes reach the driver; there are as many as the logarithm of the longest title.
-    """
-    step = math.log((2 - threshold) / threshold) * (1 + 1e-6)
-    held = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
-    left = a.select("t", held.alias("class"))
-    right = b.select(F.col("t").alias("t"), F.explode(F.array(held - 1, held, held + 1)).alias("class"))
-    blocks = []
-    for d in (left, right):
-        n = {r["class"]: -(-r["n"] // BLOCK_TITLES) for r in d.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-        blocks.append(F.coalesce(F.create_map(*[F.lit(x) for kv in n.items() for x in kv])[F.col("class")], F.lit(1)) if n else F.lit(1))
-    own, every = [F.pmod(F.xxhash64("t"), n) for n in blocks], [F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1) for n in blocks]
-    left = left.select("t", "class", F.lit(0).alias("side"), own[0].alias("i"), F.explode(every[1]).alias("j"))
-    right = right.select("t", "class", F.lit(1).alias("side"), F.explode(every[0]).alias("i"), own[1].alias("j"))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        titles = [[t for t, s in zip(rows.column("t").to_pylist(), rows.column("side").to_pylist()) if s == side] for side in (0, 1)]
-        pairs = [(t, u) for t, u in near_spelling(*titles, threshold) if t != u and token_set_ratio(t, u) >= 100 * threshold]
-        return pa.table({"t": pa.array([t for t, _ in pairs], pa.string()), "u": pa.array([u for _, u in pairs], pa.string())})
-
-    return left.union(right).groupBy("class", "i", "j").applyInArrow(compare, "t string, u string")
-
-
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (t, u) of different normalised titles whose token-set similarity reaches the threshold; ``left`` and ``right`` hold distinct (t).
-
-    No pair is lost (for thresholds of 0.9 and more): a score comes either from common words, and then rare words meet in
-    a join, or from spelling, and then lengths agree and blocks of titles are compared by counts of characters first.
-    """
-    a, b = (stored(_words(d)) for d in (left, right))
-    return _alike_in_words(a, b, threshold).union(_alike_in_spelling(a, b, threshold)).distinct()
-
-
 def fuzzy_not_in_library(candidates: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """JN3: candidates whose title is like no library title. Empty titles are like none."""
     t = normalize_title(F.col("title"))
@@ -139,12 +64,15 @@ def in_order(rows: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(kept, rows.schema.field("id").type)})
 
 
-def in_rounds(holds: DataFrame, watches: DataFrame) -> DataFrame:
+def in_rounds(holds: DataFrame, watches: DataFrame, most: int = TASK_KEYS, rounds: int = ROUNDS) -> DataFrame:
     """What ``in_order`` keeps, for rows (id, key) of any number: of each key the least kept and the least undecided
     holder are found; a row with an earlier kept holder is dropped, one without an earlier undecided one is kept. A key
-    shared by n rows costs n rows, not n * n. Every round decides the least undecided row at least, so it ends."""
+    shared by n rows costs n rows, not n * n. Most graphs are decided in a few rounds, but in a chain each row waits for the one
+    before it; what is open after ``rounds`` is passed through block by block."""
     status = stored(holds.select("id").union(watches.select("id")).distinct().select("id", F.lit(None).cast("boolean").alias("kept")))
-    while status.where("kept IS NULL").limit(1).count():
+    for _ in range(rounds):
+        if not status.where("kept IS NULL").limit(1).count():
+            return status.where("kept").select("id")
         of = holds.join(status, "id").where("kept IS NULL OR kept")
         of = of.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("o"))
         seen = watches.join(of, "key").groupBy("id").agg(F.max(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("any_kept"), F.max(F.coalesce(F.col("o") < F.col("id"), F.lit(False))).alias("any_open"))
@@ -155,14 +83,30 @@ def in_rounds(holds: DataFrame, watches: DataFrame) -> DataFrame:
         )
         was, status = status, stored(status.join(seen, "id", "left").select("id", decided.alias("kept")))
         discard(was)
-    return status.where("kept").select("id")
+    return _in_blocks(holds, watches, status, most)
+
+
+def _in_blocks(holds: DataFrame, watches: DataFrame, status: DataFrame, most: int) -> DataFrame:
+    """The kept ids, where those open in ``status`` (id, kept) are passed through in blocks of about ``most`` keys, in order: a row goes if a row kept
+    before its block holds a key that it watches, and what is left of a block is one task. As many steps as blocks."""
+    kept, waiting = status.where("kept").select("id"), stored(status.where("kept IS NULL").select("id"))
+    keys = stored(holds.select("id", "key", F.lit(True).alias("held")).union(watches.select("id", "key", F.lit(False))).join(waiting, "id", "left_semi"))
+    blocks = -(-keys.count() // most)
+    ends = keys.approxQuantile("id", [k / blocks for k in range(1, blocks)], 1e-4) if blocks > 1 else []  # ``blocks`` numbers
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = keys.where((F.col("id") > low if low is not None else F.lit(True)) & (F.col("id") <= high if high is not None else F.lit(True)))
+        taken = holds.join(kept, "id", "left_semi").select("key", F.col("id").alias("by"))
+        gone = part.where("NOT held").join(taken, "key").where("by < id").select("id")
+        block = part.join(gone, "id", "left_anti").withColumn("root", F.lit(0))
+        kept = stored(kept.union(_passed(block)))
+    return kept
 
 
 def greedy(holds: DataFrame, watches: DataFrame, most: int = TASK_KEYS) -> DataFrame:
     """The ids that a pass in id order keeps, where a row is dropped if an earlier kept row holds a key that it watches.
 
     ``holds`` and ``watches``: (id, key), ids bigint. Rows that no key connects do not matter to each other, so each
-    connected component is passed through in one task; one of over ``most`` keys is decided in rounds instead. Not
+    connected component is passed through in one task; one of over ``most`` keys is decided in rounds and blocks instead. Not
     components alone: of a ~ b ~ c, a and c stay.
     """
     keys = stored(holds.select("id", "key", F.lit(True).alias("held")).union(watches.select("id", "key", F.lit(False))))
@@ -175,7 +119,7 @@ def greedy(holds: DataFrame, watches: DataFrame, most: int = TASK_KEYS) -> DataF
     if not large.limit(1).count():
         return _passed(keys)
     rest = stored(keys.join(large, "root", "left_semi"))
-    rounds = in_rounds(*(rest.where(F.col("held") == held).select("id", "key") for held in (True, False)))
+    rounds = in_rounds(*(rest.where(F.col("held") == held).select("id", "key") for held in (True, False)), most)
     return _passed(keys.join(large, "root", "left_anti")).union(rounds)
 
 
@@ -184,7 +128,7 @@ def _passed(keys: DataFrame) -> DataFrame:
     return rows.groupBy("root").applyInArrow(in_order, "id bigint")
 
 
-def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float = THRESHOLD) -> DataFrame:
+def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float = THRESHOLD, most: int = TASK_KEYS) -> DataFrame:
     """JN4: drops a row whose DOI or identifier an earlier kept row has, or whose title is like an earlier kept row's.
 
     DOIs and identifiers are one set of keys, so they also match crosswise; an empty identifier is a key too.
@@ -198,7 +142,7 @@ def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float
     holds = rows.select("id", F.explode("keys").alias("key")).select("id", F.concat(F.lit("k"), F.col("key")).alias("key"))
     holds = stored(holds.union(titled.select("id", F.concat(F.lit("t"), F.col("t")).alias("key"))))
     watches = stored(holds.union(titled.join(like, "t").select("id", F.concat(F.lit("t"), F.col("u")).alias("key"))))
-    kept = greedy(holds, watches)
+    kept = greedy(holds, watches, most)
     return candidates.join(kept.withColumnRenamed("id", order), order, "left_semi")
 
 

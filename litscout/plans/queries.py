@@ -77,6 +77,13 @@ def q_fuzzy_dedupe(s, d):
     return dedupe.self_dedupe(x).select(F.col("ordinal").alias("page_id"))
 
 
+def q_fuzzy_components(s, d):
+    """JN4 as at scale: the same rows as q_fuzzy_dedupe, each connected component in a task of its own, large ones in rounds."""
+    x = t(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    x = x.select(F.col("page_id").alias("ordinal"), F.col("page_id").cast("string").alias("identifier"), F.lit(None).cast("string").alias("doi"), "title")
+    return dedupe.self_dedupe(x, most=64).select(F.col("ordinal").alias("page_id"))
+
+
 def q_fuzzy_library(s, d):
     """JN3: titles of plain-http pages that are like no title of an https page."""
     x = t(s, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))

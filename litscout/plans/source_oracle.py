@@ -106,3 +106,4 @@ SQL = {
         r AS (SELECT * FROM x WHERE ok), cut AS ({CAP.format(order='doc_id DESC', rows='r')})
         SELECT 'recency' AS step, count(*) AS removed FROM x WHERE NOT ok UNION ALL SELECT 'preprints', count(*) FROM cut WHERE pre AND p <= was""",
 }
+SQL["q_fuzzy_components"] = SQL["q_fuzzy_dedupe"]

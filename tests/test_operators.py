@@ -83,6 +83,9 @@ def test_long_chains_of_keys(spark):
     want = loop_dedupe(values, [])
     assert want == list(range(0, 1000, 2))
     assert sorted(r.ordinal for r in dedupe.self_dedupe(rows(spark, values)).collect()) == want
+    keys = spark.createDataFrame([(i, k) for i in range(300) for k in (f"v{i}", f"v{i - 1}")], "id bigint, key string")
+    for most, rounds in ((150, 3), (10_000, 0), (151, 1)):  # a chain waits for its rounds; blocks take what is open
+        assert sorted(r.id for r in dedupe.in_rounds(keys, keys, most, rounds).collect()) == want[:150]
 
 
 def test_components_and_rounds_equal_the_loop(spark):
@@ -101,27 +104,6 @@ def test_components_and_rounds_equal_the_loop(spark):
         assert sorted(r.id for r in dedupe.greedy(df, df, most).collect()) == want
 
 
-@pytest.mark.parametrize("block", [2048, 20])
-def test_similar_titles_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(dedupe, "BLOCK_TITLES", block)
-    rng = random.Random(12)
-    titles = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 40))).strip() or "x" for _ in range(120)})
-    titles = sorted({" ".join(t.split()) for t in titles} | {t.replace("a", "", 1).strip() or "y" for t in titles})
-    df = spark.createDataFrame([(t,) for t in titles], "t string")
-    got = {(r.t, r.u) for r in dedupe.similar_titles(df, df).collect()}
-    assert got == {(a, b) for a in titles for b in titles if a != b and token_set_ratio(a, b) >= 90}
-
-
-def test_similar_titles_loses_none(spark):
-    rng = random.Random(11)
-    letters = "abcdefgh"
-    titles = sorted({" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 5))) for _ in range(150)})
-    titles = sorted(set(titles) | {t[:-1] + "q" for t in titles[:60] if len(t) > 6} | {t + " extra" for t in titles[60:90]})
-    df = spark.createDataFrame([(t,) for t in titles], "t string")
-    got = {(r.t, r.u) for r in dedupe.similar_titles(df, df).collect()}
-    assert got == {(a, b) for a in titles for b in titles if a != b and token_set_ratio(a, b) >= 90}
-
-
 def test_topic_rules(spark):
     df = spark.createDataFrame([(0, "Steel fatigue", "of welds", None), (1, "Steel art", None, None), (2, "Fatigue", "casino steel", None), (3, None, None, "STEEL FATIGUE weekly")], "ordinal int, title string, abstract string, venue string")
     t = topic.Topics.of(Sources(required_keyword_groups=[["zzz"]], required_any_group_sets=[[["steel"], ["fatigue", " "]], [["", " "]]], exclude_keywords=["Casino"], include_keywords=["x"]))
