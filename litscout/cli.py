@@ -2,7 +2,7 @@
 
 A base folder holds ``config/*.yaml``. ``profile`` syncs the library (with ``--full`` from the start), embeds new and changed
 rows, and writes the vectors and the profile document. ``watch`` syncs, asks the sources (or takes a fresh snapshot of what they
-gave), and runs the steps of ``plans.watch`` up to feed, report and notes. All state is below ``data/``: ``library`` (snapshots),
+gave), and runs the steps of ``plans.watch`` up to feed, report and notes. All state is below ``data/``: ``library`` (a base and deltas),
 ``vectors``, ``profile.json``, ``candidates`` (snapshots) and, if there is one, ``journal_metrics.csv``. Without addresses in the
 configuration nothing is asked; Parquet files of candidates in ``data/sources`` (in the order of their names) then take the
 sources' place.
@@ -24,7 +24,7 @@ from .functions.embed import Embedder, HashingEmbedder, embed
 from .functions.text import embedding_text
 from .operators.profile import summary
 from .operators.scoring import rank_order
-from .operators.state import Snapshots
+from .operators.logtable import LogTable
 from .plans.watch import Steps, acquire, watch
 from .schema import LIBRARY
 from .sinks.feed import rss
@@ -74,7 +74,7 @@ class Run:
         self.now = datetime.fromisoformat(args.asof).replace(tzinfo=None) if args.asof else datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         self.asof: Column = F.to_timestamp(F.lit(f"{self.now:%Y-%m-%d %H:%M:%S}"))
         self.embedder = embedder_of(args.embedder)
-        self.library = Snapshots(spark, self.at("library"))
+        self.library = LogTable(spark, self.at("library"), LIBRARY)
 
     def at(self, name: str) -> str:
         return f"{self.base}/data/{name}"
@@ -87,7 +87,7 @@ class Run:
     def profile(self) -> None:
         self.sync(self.args.full or self.args.weekly)
         log.info("embedded %d rows", sync.embed_changed(self.library, self.embedder))
-        rows = self.library.read(LIBRARY)
+        rows = self.library.read()
         if not rows.limit(1).count():
             raise RuntimeError("the library is empty")
         files.write_index(rows, self.at("vectors"))
@@ -117,7 +117,7 @@ class Run:
         profile = files.profile(self.spark, self.at("profile.json"))  # there must be one
         log.info("profile of %s items", profile.first().item_count)
         index = files.index(self.spark, self.at("vectors"))
-        library = self.library.read(LIBRARY).drop("embedding").join(index, "key", "left")
+        library = self.library.read().drop("embedding").join(index, "key", "left")
         rows = stored(self.candidates())
         text = embedding_text(F.col("title"), F.col("abstract"), F.col("authors"))
         vectors = stored(embed(rows.select("ordinal", text.alias("text")), self.embedder).select("ordinal", "embedding"))

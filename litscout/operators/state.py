@@ -17,19 +17,25 @@ def latest(changes: DataFrame, key: str = "key", version: str = "version") -> Da
     return changes.groupBy(key).agg(F.max_by(row, F.col(version)).alias("__row")).select("__row.*")
 
 
-def apply_changes(state: DataFrame, upserts: DataFrame, deleted: DataFrame | None = None, key: str = "key", version: str = "version") -> DataFrame:
-    """INC3: state with the latest upserts, without the deleted keys.
+def upserts(state: DataFrame, changes: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
+    """SNK1: the rows that ``changes`` make of a state, of which the rows of their keys are enough.
 
     An upsert does not touch the embedding, but one whose content hash changed drops it: it is stale.
     One that is older than the state's row changes nothing, so a batch may come again.
     """
     extra = [F.col("embedding").alias("__embedding"), F.col("content_hash").alias("__hash")] if "embedding" in state.columns else []
-    new = latest(upserts, key, version).join(state.select(key, F.col(version).alias("__version"), *extra), key, "left")
+    new = latest(changes, key, version).join(state.select(key, F.col(version).alias("__version"), *extra), key, "left")
     new = new.where(F.col("__version").isNull() | (F.col(version) >= F.col("__version")))
     if extra:
         kept = F.when(F.col("content_hash").eqNullSafe(F.col("__hash")), F.col("__embedding"))
         new = new.withColumn("embedding", kept)
-    out = state.join(new.select(key), key, "left_anti").unionByName(new.select(*state.columns))
+    return new.select(*state.columns)
+
+
+def apply_changes(state: DataFrame, changes: DataFrame, deleted: DataFrame | None = None, key: str = "key", version: str = "version") -> DataFrame:
+    """INC3: state with the latest upserts, without the deleted keys."""
+    new = upserts(state, changes, key, version)
+    out = state.join(new.select(key), key, "left_anti").unionByName(new)
     return out if deleted is None else remove(out, deleted, key)
 
 
@@ -71,16 +77,17 @@ class Snapshots:
     def _files(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def pointer(self) -> dict:
-        """{"version": n, ...} with what was stored beside; version -1 at first."""
+    def versions(self) -> list[int]:
         fs = self._files()
-        if not fs.exists(self._path()):
-            return {"version": -1}
-        names = [s.getPath().getName() for s in fs.listStatus(self._path())]
-        numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"pointer-(\d+)\.json", n))]
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())] if fs.exists(self._path()) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"pointer-(\d+)\.json", n)))
+
+    def pointer(self, version: int | None = None) -> dict:
+        """{"version": n, ...} with what was stored beside, of the last version or a given one; version -1 at first."""
+        numbers = self.versions() if version is None else [version]
         if not numbers:
             return {"version": -1}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{max(numbers)}.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{numbers[-1]}.json").collect()))
 
     def read(self, schema: str) -> DataFrame:
         n = self.pointer()["version"]
@@ -90,6 +97,9 @@ class Snapshots:
         """Writes the next snapshot and points to it; ``beside`` holds values such as the cursor (SNK4, SNK5)."""
         n = self.pointer()["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
+        return self._commit(n, beside)
+
+    def _commit(self, n: int, beside: dict) -> int:
         fs, new = self._files(), self._path(f"_pointer-{n}.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(beside | {"version": n}).encode()))

@@ -17,7 +17,7 @@ from ..config import LibraryApi, Scoring, Settings, Sources, Weights, build
 from ..functions import dates, fuzzy, text
 from ..functions.embed import HashingEmbedder
 from ..operators import dedupe, profile, scoring, topic
-from ..operators.state import Snapshots
+from ..operators.logtable import LogTable
 from ..schema import CANDIDATE_COLUMNS, CANDIDATES, LIBRARY
 from ..sinks import notes, report
 from ..sources import fetch, files, lookups, payloads
@@ -272,7 +272,7 @@ def two_batches(s, d) -> tuple[DataFrame, DataFrame]:
 
 def q_library_sync(s, d):
     """INC2 to INC5, INC8, SNK1 to SNK6, SRC17, AGG7: two batches, vectors for new and changed rows in between."""
-    snaps = Snapshots(s, shared_dir(s))
+    snaps = LogTable(s, shared_dir(s), LIBRARY)
     before, after = two_batches(s, d)
     asked = []
 
@@ -285,28 +285,28 @@ def q_library_sync(s, d):
     first = sync.merge(s, changes_json(before), snaps, deleted, asof=at)
     sync.embed_changed(snaps, HashingEmbedder(8))
     counts = sync.merge(s, changes_json(after), snaps, deleted, asof=at)
-    out = snaps.read(LIBRARY)
+    out = snaps.read()
     extra = [F.lit(x).cast("bigint").alias(n) for n, x in (("cursor", snaps.pointer()["cursor"]), ("asked_since", asked[1]), ("fetched", first.fetched + counts.fetched))]
     return out.select(F.col("key").cast("bigint").alias("user_id"), "version", "title", F.col("embedding").isNull().alias("stale"), *extra)
 
 
 def q_full_sync(s, d):
     """INC2: a full sync drops what is gone and asks for no deletions."""
-    snaps = Snapshots(s, shared_dir(s))
+    snaps = LogTable(s, shared_dir(s), LIBRARY)
     before, after = two_batches(s, d)
     sync.merge(s, changes_json(before), snaps)
     counts = sync.merge(s, changes_json(after), snaps, lambda since: 1 // 0, full=True)
-    return snaps.read(LIBRARY).select(F.col("key").cast("bigint").alias("user_id"), "version", F.lit(counts.removed).cast("bigint").alias("removed"))
+    return snaps.read().select(F.col("key").cast("bigint").alias("user_id"), "version", F.lit(counts.removed).cast("bigint").alias("removed"))
 
 
 def q_stream_sync(s, d):
     """INC1, INC3: a stream of files, merged batch by batch."""
-    folder, snaps = shared_dir(s), Snapshots(s, shared_dir(s))
+    folder, snaps = shared_dir(s), LogTable(s, shared_dir(s), LIBRARY)
     for part in two_batches(s, d):
         changes_json(part).select("json").coalesce(1).write.mode("append").text(folder)
     raw = s.readStream.option("maxFilesPerTrigger", 1).text(folder).select(F.col("value").alias("json"), F.lit(0).cast("bigint").alias("pos"))
     sync.start(s, raw, snaps, shared_dir(s)).awaitTermination()
-    return snaps.read(LIBRARY).select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
+    return snaps.read().select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
 
 
 # the web
@@ -331,14 +331,14 @@ def q_library_api(s, d):
         return 200, more, items[a : a + n]
 
     gone = lambda q, request: {"items": ["n3"] if int(q["since"]) == 0 else ["n4"]}
-    snaps = Snapshots(s, shared_dir(s))
+    snaps = LogTable(s, shared_dir(s), LIBRARY)
     os.environ["LITSCOUT_QUERY_KEY"] = "key"
     with served({"/users/u/items": pages, "/users/u/deleted": gone}, failing=1) as web:
         api = LibraryApi(web.url, "u", "LITSCOUT_QUERY_KEY", {"X-Version": "3"}, page_size=10, polite_delay_ms=0)
         one = sync.library(s, api, snaps, asof=asof())
         two = sync.library(s, api, snaps, asof=asof())  # 304: nothing is read, nothing deleted
         asked = web.asked["/users/u/items"]
-    out = snaps.read(LIBRARY).select("key", "version", "title")
+    out = snaps.read().select("key", "version", "title")
     return out.select("*", *[F.lit(x).cast("bigint").alias(n) for n, x in (("fetched", one.fetched), ("removed", one.removed), ("again", two.fetched), ("requests", asked))])
 
 

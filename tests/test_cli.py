@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from litscout import cli
-from litscout.operators.state import Snapshots
+from litscout.operators.logtable import LogTable
 from litscout.plans.served import served
 from litscout.schema import LIBRARY
 from litscout.sources import files
@@ -67,4 +67,4 @@ def test_profile_and_watch(spark, tmp_path, monkeypatch, caplog, capsys):
     assert [i.findtext("guid") for i in items] == ["W5", "W4", "W3", "W2"] and items[0].findtext("link") is None
     assert (tmp_path / "reports" / "report-20240131.html").read_text().count("<section>") == 4
     assert len(json.loads(capsys.readouterr().out.strip().splitlines()[-1])) == 4
-    assert Snapshots(spark, f"{tmp_path}/data/library").read(LIBRARY).where("embedding IS NOT NULL").count() == 7
+    assert LogTable(spark, f"{tmp_path}/data/library", LIBRARY).read().where("embedding IS NOT NULL").count() == 7

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from litscout.config import Settings, Sources
 from litscout.operators.scoring import rank_order
-from litscout.operators.state import Snapshots
+from litscout.operators.logtable import LogTable
 from litscout.plans import queries
 from litscout.plans.oracle import SQL
 from litscout.plans.watch import acquire, watch
@@ -104,21 +104,21 @@ def test_stream_equals_batch(spark, tmp_path):
         (folder / f"{i}.txt").write_text("\n".join(part))
         os.utime(folder / f"{i}.txt", (1e9 + i, 1e9 + i))
     raw = spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder)).select(F.col("value").alias("json"), F.lit(0).cast("bigint").alias("pos"))
-    snaps = Snapshots(spark, str(tmp_path / "state"))
+    snaps = LogTable(spark, str(tmp_path / "state"), LIBRARY)
     asked = []
     query = sync.start(spark, raw, snaps, str(tmp_path / "check"), lambda since: asked.append(since) or (["b"] if since else []))
     query.awaitTermination(120)
-    got = {r.key: (r.version, r.title) for r in snaps.read(LIBRARY).collect()}
+    got = {r.key: (r.version, r.title) for r in snaps.read().collect()}
     assert got == {"a": (5, "z"), "c": (6, "w")} and snaps.pointer()["cursor"] == 6
     assert asked == [0, 2]  # since the cursor before each batch
 
 
 def test_full_sync_drops_what_is_gone(spark, tmp_path):
-    snaps = Snapshots(spark, str(tmp_path / "s"))
+    snaps = LogTable(spark, str(tmp_path / "s"), LIBRARY)
     raw = lambda items: spark.createDataFrame([(x, i) for i, x in enumerate(items)], "json string, pos bigint")
     sync.merge(spark, raw([item("a", 1, "x"), item("b", 2, "y")]), snaps)
     counts = sync.merge(spark, raw([item("a", 1, "x")]), snaps, full=True)
-    assert [r.key for r in snaps.read(LIBRARY).collect()] == ["a"] and counts.fetched == 1
+    assert [r.key for r in snaps.read().collect()] == ["a"] and counts.fetched == 1
 
 
 def test_entry_without_llm(monkeypatch):
