@@ -23,7 +23,6 @@ scored AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE WHEN sg
         1 - (length(x) + length(y) - 2 * lcs)::DOUBLE / (2 * sg + length(x) + length(y)),
         CASE WHEN sg > 0 THEN 1 - (1 + length(x))::DOUBLE / (2 * sg - 1 + length(x)) ELSE 0 END, CASE WHEN sg > 0 THEN 1 - (1 + length(y))::DOUBLE / (2 * sg - 1 + length(y)) ELSE 0 END) END AS score FROM l)
 """
-NATION = "CAST(n_nationkey AS VARCHAR)"
 EVENTS = "(SELECT * FROM documents JOIN events ON event_id = doc_id)"
 ALT = "CASE WHEN {0} = 0 THEN 0.0::DOUBLE ELSE ln(1 + {0}) END"
 JOURNALS = "(VALUES ('src1', 9.0::DOUBLE), ('src2', 0.5::DOUBLE), ('src12', 30.0::DOUBLE)) AS j(venue, sjr)"
@@ -80,19 +79,13 @@ SQL = {
         FROM b FULL JOIN n ON b.user_id = n.user_id WHERE coalesce(n.event_type, '') <> 'error'""",
     "q_full_sync": f"""WITH b AS {LAST.format('WHERE ' + OLD)}, n AS {LAST.format('WHERE NOT ' + OLD)}
         SELECT user_id, event_id AS version, (SELECT count(*) FROM b WHERE user_id NOT IN (SELECT user_id FROM n)) AS removed FROM n""",
+    "q_page_stream": """SELECT event_type AS title, count(*) AS n, count(*) AS places, sum(event_id)::BIGINT AS ids, 8 AS pages FROM events GROUP BY event_type""",
+    "q_keyed_stream": f"SELECT user_id, event_id AS version, event_type AS title FROM {LAST.format('')} WHERE event_type <> 'error'",
+    "q_state_log": """WITH l AS (SELECT user_id, event_id % 10 AS b, max(event_id) AS v, arg_max(event_type, event_id) AS e FROM events GROUP BY ALL),
+        gone AS (SELECT user_id, max(b) AS b FROM l WHERE e = 'error' GROUP BY user_id),
+        r AS (SELECT l.user_id, max(v) AS version, arg_max(e, v) AS title FROM l LEFT JOIN gone g ON g.user_id = l.user_id WHERE l.b > coalesce(g.b, -1) GROUP BY l.user_id)
+        SELECT user_id, version, title FROM r""",
     "q_stream_sync": f"SELECT user_id, event_id AS version, event_type AS title FROM {LAST.format('')}",
-    "q_library_api": "SELECT 'n' || n_nationkey AS key, CAST(n_nationkey + 1 AS BIGINT) AS version, n_name AS title, CAST(25 AS BIGINT) AS fetched, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS again, CAST(5 AS BIGINT) AS requests FROM nation WHERE n_nationkey <> 3",
-    "q_unified_api": f"SELECT 'unified' AS source, {NATION} AS identifier, n_name AS title, CAST(n_nationkey AS BIGINT) AS ordinal, CAST(5 AS BIGINT) AS requests FROM nation WHERE NOT contains(lower(n_name), 'united')",
-    "q_fetch_all": f"""SELECT 'graph' AS source, 'x' || n_nationkey AS identifier, 'Graph ' || n_name AS title, NULL AS venue, 0 AS place FROM nation WHERE n_nationkey < 10
-        UNION ALL SELECT 'registry', '10.' || q || '/' || n_nationkey, q || ' ' || n_name, 'own', 1 FROM nation, (VALUES ('x'), ('bad')) AS v(q) WHERE n_nationkey BETWEEN 10 AND 13
-        UNION ALL SELECT 'arxiv', 'f' || n_nationkey, 'Feed ' || n_name, 'arXiv', 2 FROM nation WHERE n_nationkey BETWEEN 14 AND 19
-        UNION ALL SELECT 'biorxiv', '10.b/' || n_nationkey, n_name, 'biorxiv', 3 FROM nation WHERE n_nationkey >= 20
-        UNION ALL SELECT 'registry', '10.v/' || n_nationkey, 'venue ' || n_name, 'V1', 4 FROM nation WHERE n_nationkey BETWEEN 10 AND 13""",
-    "q_failed_sources": "SELECT CAST(item_id AS VARCHAR) AS identifier, md5(text) AS title FROM benchmark",
-    "q_lookups": """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN 'of ' || n_name END AS abstract, CASE WHEN n_nationkey % 2 = 1 THEN 'http://page/' || n_nationkey END AS page,
-        CASE WHEN n_nationkey % 3 <> 0 THEN '/end/' || n_nationkey END AS resolved FROM nation""",
-    "q_push": f"""SELECT k - 1 AS pos, 'K2' AS found, 'Recommended due to score ' || printf('%.3f', score) AS note, 'NEW' AS collection, printf('%02d | %.3f | consider | %s', k, score, source) AS line
-        FROM (SELECT row_number() OVER (ORDER BY doc_id DESC) AS k, doc_id / 10.0::DOUBLE AS score, source FROM {EVENTS}) WHERE k <= 10""",
     "q_watch_flagship": f"""WITH lib AS (SELECT md5(text) AS k, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE {LIBRARY}),
         c AS (SELECT * FROM (SELECT d.*, ts, value, md5(text) AS k, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents d JOIN events ON event_id = 20 * doc_id WHERE {CANDIDATE}) WHERE copy = 1),
         f AS (SELECT * FROM (SELECT *, lower(concat_ws(' ', nullif(text, ''), source)) AS h FROM c) WHERE NOT {has('h', ['casino'])} AND ({has('h', ['the ', 'de '])} AND {has('h', ['tion', 'ment'])} OR {has('h', ['die'])}) AND k NOT IN (SELECT k FROM lib)),

@@ -1,7 +1,6 @@
 """Registered queries of sources, flatteners, state and control flow, on payloads made from the driver's tables.
 
-Web sources are asked from a server on this machine that answers from small tables (``nation``, ``benchmark``); files
-are written to the shared folder first. ``SQL`` holds the same results computed from the tables directly.
+Files that a query reads are written to the shared folder first. The web clients' tests are in ``tests/test_web.py``.
 """
 
 from __future__ import annotations
@@ -16,17 +15,16 @@ from pyspark.sql import functions as F
 from ..config import LibraryApi, Scoring, Settings, Sources, Weights, build
 from ..functions import dates, fuzzy, text
 from ..functions.embed import HashingEmbedder
-from ..operators import dedupe, profile, scoring, topic
+from ..operators import dedupe, profile, scoring, state, topic
 from ..operators.logtable import LogTable
 from ..schema import CANDIDATE_COLUMNS, CANDIDATES, LIBRARY
 from ..sinks import notes, report
-from ..sources import fetch, files, lookups, payloads
-from ..sources.http import Client
+from ..sources import fetch, files, payloads
+from ..sources.datasource import LibrarySource
 from ..storage import shared_dir, stored
-from ..streaming import sync
+from ..streaming import keyed, sync
 from . import watch as plan
 from .queries import ASOF, CANDIDATE, LIBRARY as IN_LIBRARY, asof, candidates, documents, t
-from .served import served
 
 NOW = datetime(2024, 1, 31)
 
@@ -309,120 +307,46 @@ def q_stream_sync(s, d):
     return snaps.read().select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
 
 
-# the web
-
-
-def nations(s, d) -> list[dict]:
-    return [r.asDict() for r in t(s, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
-
-
-def q_library_api(s, d):
-    """SRC1 to SRC3, SRC26, SRC27, INC1, INC4: pages by link header, a key, busy servers, an unchanged library, deletions since the old cursor."""
-    rows = nations(s, d)
-    items = [{"key": f"n{r['n_nationkey']}", "version": r["n_nationkey"] + 1, "data": {"title": r["n_name"]}} for r in rows]
-
-    def pages(q, request):
-        if request["headers"].get("authorization") != "Bearer key" or request["headers"].get("x-version") != "3":
-            return 403, {}, ""
-        if request["headers"].get("if-modified-since-version") == "25":
-            return 304, {}, ""
-        a, n = int(q.get("start", 0)), int(q["limit"])
-        more = {"Link": f'<{request["url"]}/users/u/items?limit={n}&start={a + n}>; rel="next"'} if a + n < len(items) else {}
-        return 200, more, items[a : a + n]
-
-    gone = lambda q, request: {"items": ["n3"] if int(q["since"]) == 0 else ["n4"]}
-    snaps = LogTable(s, shared_dir(s), LIBRARY)
-    os.environ["LITSCOUT_QUERY_KEY"] = "key"
-    with served({"/users/u/items": pages, "/users/u/deleted": gone}, failing=1) as web:
-        api = LibraryApi(web.url, "u", "LITSCOUT_QUERY_KEY", {"X-Version": "3"}, page_size=10, polite_delay_ms=0)
-        one = sync.library(s, api, snaps, asof=asof())
-        two = sync.library(s, api, snaps, asof=asof())  # 304: nothing is read, nothing deleted
-        asked = web.asked["/users/u/items"]
-    out = snaps.read().select("key", "version", "title")
-    return out.select("*", *[F.lit(x).cast("bigint").alias(n) for n, x in (("fetched", one.fetched), ("removed", one.removed), ("again", two.fetched), ("requests", asked))])
-
-
-def q_unified_api(s, d):
-    """SRC4, SRC10, SRC12, SRC26, SRC27: the unified interface by offset, with its own key header and page size."""
-    items = [{"id": str(r["n_nationkey"]), "title": r["n_name"], "source": "unified", "published_at": "2024-01-20"} for r in nations(s, d)]
-
-    def page(q, request):
-        if request["headers"].get("x-api-key") != "k" or q["sources"] != "graph,registry":
-            return 403, {}, ""
-        a, n = int(q["offset"]), int(q["limit"])
-        return {"data": items[a : a + n], "paging": {"next_offset": a + n if a + n < len(items) else None}}
-
-    off = {"enabled": False}
-    with served({"/works": page}, failing=1) as web:
-        unified = {"base_url": f"{web.url}/works", "api_key_value": "k", "api_key_env": "LITSCOUT_UNIFIED_KEY", "page_size": 7}
-        made = Settings(sources=build(Sources, {"unified": unified, "feed": off, "bio": off, "med": off, "exclude_keywords": ["united"]}))
-        out = fetch.fetch_all(s, fetch.Endpoints.of(made.sources), made, files.Snapshot(s, shared_dir(s)), NOW)
-        asked = web.asked["/works"]
-    return out.select("source", "identifier", "title", "ordinal", F.lit(asked).cast("bigint").alias("requests"))
-
-
-def q_fetch_all(s, d):
-    """SRC5 to SRC14, SNK9, SRC29: every source, one of which fails, and the venue scan."""
-    rows = nations(s, d)
-    entry = "<entry><id>f{0}</id><title>Feed {1}</title><author><name>A</name></author><link href='http://l'/><published>2024-01-20T00:00:00Z</published></entry>"
-    graph = lambda q, r: {"results": [{"id": f"{q['search']}{x['n_nationkey']}", "display_name": f"Graph {x['n_name']}"} for x in rows[:10]]} if q["search"] != "bad" else (404, {}, "")
-    registry = lambda q, r: {"message": {"items": [{"title": [f"{q.get('query', 'venue')} {x['n_name']}"], "DOI": f"10.{q.get('query', 'v')}/{x['n_nationkey']}", "container-title": ["own"]} for x in rows[10:14]]}}
-    feed = lambda q, r: "<feed xmlns='http://www.w3.org/2005/Atom'>" + "".join(entry.format(x["n_nationkey"], x["n_name"]) for x in rows[14:20]) + "</feed>"
-    bio = lambda q, r: {"collection": [{"title": x["n_name"], "doi": f"10.b/{x['n_nationkey']}", "authors": "A; B"} for x in rows[20:]]}
-    with served({"/graph": graph, "/registry": registry, "/feed": feed, "/bio": bio}) as web:
-        at = {n: {"base_url": f"{web.url}/{n}"} for n in ("graph", "registry", "bio", "med")}  # med: not found
-        made = Settings(sources=build(Sources, at | {"feed": {"base_url": f"{web.url}/feed", "categories": ["cs", "q"]}, "unified": {"enabled": False}, "queries": ["x", "bad", " "], "tracked_venues": ["V1", " "], "window_days": 30}))
-        out = fetch.fetch_all(s, fetch.Endpoints.of(made.sources), made, files.Snapshot(s, shared_dir(s)), NOW, ["V1", "V2"])
-    return out.select("source", "identifier", "title", "venue", (F.col("ordinal") / F.lit(1 << 40)).cast("int").alias("place"))
-
-
-def q_failed_sources(s, d):
-    """SRC11, AGG10, INC7: every source fails, so the stale snapshot stays."""
-    snap = files.Snapshot(s, shared_dir(s))
-    snap.write(candidates(s, d)[2].select(*CANDIDATE_COLUMNS, F.col("pos").alias("ordinal")), NOW - timedelta(days=3))
-    with served({}) as web:  # nothing is found there
-        made = Settings(sources=build(Sources, {"bio": {"base_url": web.url}, "unified": {"enabled": False}, "graph": {"enabled": False}, "registry": {"enabled": False}, "feed": {"enabled": False}, "med": {"enabled": False}}))
-        out = fetch.fetch_all(s, fetch.Endpoints.of(made.sources), made, snap, NOW)
-    return out.select("identifier", F.md5("title").alias("title"))
-
-
-def q_lookups(s, d):
-    """SRC24, SRC25, JN9: works by DOI, not found ones left out; where redirects end."""
-    known = {str(r["n_nationkey"]): r["n_name"] for r in nations(s, d)}
-
-    def work(q, request):
-        n = request["path"].rsplit("/", 1)[-1]
-        return {"abstract_inverted_index": {known[n]: [1], "of": [0]}, "primary_location": {"landing_page_url": f"http://page/{n}"}} if int(n) % 2 else (404, {}, "")
-
-    def go(q, request):
-        n = request["path"].rsplit("/", 1)[-1]
-        return (302, {"Location": f"{request['url']}/end/{n}"}, "") if int(n) % 3 else (404, {}, "")
-
-    with served({"/works": work, "/doi": go, "/end": lambda q, r: "here"}) as web:
-        x = t(s, d, "nation").select("n_nationkey", F.concat(F.lit(f"{web.url}/doi/"), F.col("n_nationkey").cast("string")).alias("doi"))
-        works = stored(lookups.works_by_doi(x, f"{web.url}/works"))
-        found = stored(lookups.resolve(x))
-    out = x.join(works, "doi", "left").join(found, "doi", "left")
-    return out.select("n_nationkey", "abstract", F.col("landing_page").alias("page"), F.regexp_extract("resolved_url", "/end/[0-9]+$", 0).alias("resolved"))
-
-
-def q_push(s, d):
-    """SNK12, SNK13, SNK14, S29: a collection looked for on every page and made, all notes in one request, log lines."""
-    ranked = to_score(s, d).select("ordinal", F.col("source").alias("title"), (F.col("ordinal") / 10).alias("score"), F.lit("consider").alias("label"))
-    ranked = ranked.orderBy(*scoring.rank_order()).limit(20)
-
-    def collections(q, request):
-        if request["method"] == "POST":
-            return {"successful": {"0": {"data": {"key": "NEW"}}}}
-        more = {"Link": f'<{request["url"]}/collections?page=2>; rel="next"'} if "page" not in q else {}
-        return 200, more, [{"data": {"name": f"c{q.get('page', 1)}", "key": "K" + q.get("page", "1")}}]
-
-    with served({"/collections": collections, "/items": lambda q, r: {}}) as web:
-        found = notes.collection_key(Client(), web.url, "c2")
-        notes.push(ranked, scoring.rank_order(), Client(), web.url, dry_run=False)
-        body = web.posted[1]
-    sent = [(i, found, x["note"], x["collections"][0], line) for i, (x, line) in enumerate(zip(body, report.log_lines(ranked, scoring.rank_order())))]
-    return s.createDataFrame(sent, "pos bigint, found string, note string, collection string, line string")
+def exports(s, d, folder: str):
+    """The log as a library's exports, newest versions last; an error deletes its user's row. Each export is a folder of several files."""
+    for n, part in enumerate(two_batches(s, d)):
+        user = F.col("user_id").cast("string")
+        data = F.struct(user.alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("title"))
+        part.select(F.to_json(F.struct(user.alias("key"), data.alias("data"), (F.col("event_type") == "error").alias("deleted")))).repartition(4).write.text(f"{folder}/export-{n}")
+        yield n
+
+
+def q_page_stream(s, d):
+    """INC1: pages planned on the driver and read by executors; the stream is stopped after one export and goes on with the next from its checkpoint."""
+    s.dataSource.register(LibrarySource)
+    folder, out, check = shared_dir(s), shared_dir(s), shared_dir(s)
+    for _ in exports(s, d, folder):
+        pages = s.readStream.format("library").option("folder", folder).load()
+        seen = pages.select(F.get_json_object("json", "$.data.version").cast("bigint").alias("event_id"), F.get_json_object("json", "$.data.title").alias("title"), "pos")
+        seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    read = s.read.schema("event_id bigint, title string, pos bigint").parquet(out)
+    return read.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("places"), F.sum("event_id").alias("ids"), F.count_distinct(F.shiftright("pos", 32)).alias("pages"))
+
+
+def q_keyed_stream(s, d):
+    """SNK1, SNK2, INC3, INC8: newest versions and tombstones as keyed state, restarted in mid-stream, into the merge-on-read table."""
+    s.dataSource.register(LibrarySource)
+    folder, check, table = shared_dir(s), shared_dir(s), LogTable(s, shared_dir(s), LIBRARY)
+    for _ in exports(s, d, folder):
+        raw = s.readStream.format("library").option("folder", folder).load()
+        keyed.start(keyed.item_changes(raw), table, check, asof()).awaitTermination()
+    return table.read().select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
+
+
+def q_state_log(s, d):
+    """SNK1, SNK2: ten batches of the log into a merge-on-read table, which compacts itself on the way."""
+    table = LogTable(s, shared_dir(s), "key string, version bigint, title string", bucket_rows=40, most_deltas=3)
+    x = t(s, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("title"), F.pmod("event_id", F.lit(10)).alias("batch"))
+    for b in range(10):
+        last = state.latest(x.where(F.col("batch") == b))
+        new = state.upserts(table.read(of=last), last.drop("batch"))
+        table.append(new.where("title <> 'error'"), last.where("title = 'error'").select("key"))
+    return table.read().select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
 
 
 # the whole

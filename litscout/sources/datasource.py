@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .http import Client, Response, feed_page, library_pages, offset_pages, with_key
+from .pages import PageStream
 
 
 class Query(InputPartition):
@@ -96,33 +97,6 @@ def pages_of(options: dict, since: int | None) -> Iterator[Response]:
     return library_pages(client, options["url"], since, int(options.get("page_size", 100)), float(options.get("delay", 0.2)))
 
 
-def library_rows(options: dict, since: int | None) -> tuple[int, list[tuple]]:
-    """(new cursor, rows (json, pos))."""
-    rows, cursor = [], since or 0
-    for page in pages_of(options, since):
-        cursor = max(cursor, int(page.headers.get("Last-Modified-Version", 0)))
-        rows += [(json.dumps(x, ensure_ascii=False), len(rows) + i) for i, x in enumerate(page.json())]
-    return cursor, rows
-
-
-class LibraryStream(SimpleDataSourceStreamReader):
-    """INC1: offsets are library versions; an unchanged library gives no batch. The cursor moves only after a whole read (INC5)."""
-
-    def __init__(self, options: dict):
-        self.options = options
-
-    def initialOffset(self) -> dict:
-        return {"version": -1}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        since = start["version"] if start["version"] >= 0 else None
-        cursor, rows = library_rows(self.options, since)
-        return iter(rows), {"version": cursor if rows else start["version"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.read(start)[0]
-
-
 class LibrarySource(DataSource):
     """SRC1: (json, pos)."""
 
@@ -136,5 +110,5 @@ class LibrarySource(DataSource):
     def reader(self, schema) -> LibraryReader:
         return LibraryReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> LibraryStream:
-        return LibraryStream(dict(self.options))
+    def streamReader(self, schema) -> PageStream:
+        return PageStream(dict(self.options))

@@ -81,6 +81,13 @@ def library_pages(client: Client, base_url: str, since: int | None = None, page_
     yield from linked_pages(client, f"{base_url}/items", {"limit": page_size, "sort": "dateAdded", "direction": "asc"}, delay_s)
 
 
+def library_state(client: Client, base_url: str) -> dict:
+    """The library's version and number of items, if it says so, from the headers of a page of one item."""
+    headers = {k.lower(): v for k, v in client.request("GET", f"{base_url}/items", {"limit": 1}).headers.items()}
+    items = headers.get("total-results")
+    return {"version": int(headers.get("last-modified-version", 0)), "items": None if items is None else int(items)}
+
+
 def linked_pages(client: Client, first: str, ask: dict, delay_s: float = 0) -> Iterator[Response]:
     """A page and those that its ``next`` links lead to."""
     url: str | None = first
