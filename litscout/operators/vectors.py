@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of vectors that are broadcast at most, as they are held; beyond, blocks of that size are dealt out.
+from ..storage import stored
+
+#: Bytes of vectors that are broadcast at most, as they are held; beyond, they are indexed.
 BROADCAST_BYTES = 64_000_000
 #: Rows of both sides whose scores are held at once.
 TILE = (512, 4096)
@@ -27,13 +29,13 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """The vectors of a column of lists of one length, in the type they came in."""
     flat = pc.list_flatten(column).combine_chunks()
     return np.asarray(flat).reshape(len(column), -1)
 
 
-def _best(left: np.ndarray, right: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def best(left: np.ndarray, right: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, row of ``right``, score) of the k best of ``right`` for each row; ties go to the earlier. Scores are held tile by tile."""
     for a in range(0, len(left), TILE[0]):
         part = left[a : a + TILE[0]].astype(np.float64)
@@ -56,9 +58,9 @@ def _best(left: np.ndarray, right: np.ndarray, k: int) -> Iterator[tuple[np.ndar
 def nearest(candidates: DataFrame, library: DataFrame, k: int = 1, id_col: str = "id", vec_col: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """JN6 (JN5 for k = 1): (id, key, similarity, rank) of the k items of greatest inner product for each candidate; ties go to the smaller key.
 
-    Both sides are measured first, as they are held. If the library's matrix fits the bound it is broadcast once;
-    otherwise each side is cut into as many blocks as its bytes ask for and every pair of blocks is one task, of which
-    only k rows a candidate come back. Vectors have one length, the library's greatest; others match nothing.
+    The library is measured first, as it is held. If its matrix fits the bound it is broadcast once;
+    otherwise it is indexed in cells (``cells``), of which a candidate looks at those alone that may hold one of its k
+    best. Vectors have one length, the library's greatest; others match nothing.
     """
     spark = candidates.sparkSession
     single = all(dict(d.dtypes)[vec_col] == "array<float>" for d in (candidates, library))
@@ -70,49 +72,55 @@ def nearest(candidates: DataFrame, library: DataFrame, k: int = 1, id_col: str =
     schema = f"id {dict(rows.dtypes)['id']}, key {dict(lib.dtypes)['key']}, similarity double"
     if dims < 1:
         return spark.createDataFrame([], schema + ", rank int")
-    held = [d.count() * (dims * width + 32) for d in (rows, lib)]
-    if held[1] <= broadcast_bytes:
-        found = _broadcast_nearest(spark, rows, lib, k, schema)
-    else:
-        found = _block_nearest(rows, lib, k, *(max(1, -(-h // broadcast_bytes)) for h in held), schema)
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if lib.count() * (dims * width + 32) > broadcast_bytes:
+        from . import cells
+
+        return cells.search(stored(rows), cells.build(stored(lib)), k)[0]
+    found = _broadcast_nearest(spark, rows, lib, k, schema)
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _broadcast_nearest(spark: SparkSession, rows: DataFrame, lib: DataFrame, k: int, schema: str) -> DataFrame:
     table = lib.orderBy("key").toArrow()  # at most ``broadcast_bytes``
     if not table.num_rows:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((table.column("key").combine_chunks(), _matrix(table.column("v"))))
+    held = spark.sparkContext.broadcast((table.column("key").combine_chunks(), matrix(table.column("v"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, right = held.value
         for batch in batches:
             if batch.num_rows:
-                left = _matrix(pa.chunked_array([batch.column("v")]))
-                for i, j, score in _best(left, right, k):
+                left = matrix(pa.chunked_array([batch.column("v")]))
+                for i, j, score in best(left, right, k):
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), keys.take(pa.array(j)), pa.array(score)], names=["id", "key", "similarity"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _block_nearest(rows: DataFrame, lib: DataFrame, k: int, left_blocks: int, right_blocks: int, schema: str) -> DataFrame:
-    left = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(left_blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))))
-    right = lib.withColumn("j", F.pmod(F.xxhash64("key"), F.lit(right_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("key")
-        empty = pa.table({"id": a.column("id").slice(0, 0), "key": b.column("key").slice(0, 0), "similarity": pa.array([], pa.float64())})
-        if not len(a) or not len(b):
-            return empty
-        parts = [pa.table({"id": a.column("id").take(pa.array(i)), "key": b.column("key").take(pa.array(j)), "similarity": pa.array(score)}) for i, j, score in _best(_matrix(a.column("v")), _matrix(b.column("v")), k)]
-        return pa.concat_tables(parts)
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
+def centroid(library: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """AGG4: one row, the element-wise mean scaled to length 1; empty library: an empty array.
 
+    Every task sums its vectors as matrices and gives a row for each dimension (pos, total, n), so what is shuffled does not grow with the
+    vectors. Null vectors and elements do not count; a shorter vector counts in the dimensions that it has.
+    """
 
-def centroid(library: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """AGG4: one row, the element-wise mean scaled to length 1; empty library: an empty array."""
-    means = library.select(F.posexplode(vec_col).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            column = batch.column("v")
+            flat, lengths = pc.list_flatten(column), np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+            value = np.asarray(pc.cast(flat, pa.float64()).fill_null(0.0))
+            there = np.asarray(pc.is_valid(flat))
+            pos = np.arange(len(value)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            if (dims := int(lengths.max(initial=0))) > len(total):
+                total, n = np.pad(total, (0, dims - len(total))), np.pad(n, (0, dims - len(n)))
+            total += np.bincount(pos, value, len(total))
+            n += np.bincount(pos[there], minlength=len(n))
+        kept = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept]), pa.array(n[kept])], names=["pos", "total", "n"])
+
+    parts = library.select(F.col(vec_col).alias("v")).mapInArrow(run, "pos bigint, total double, n bigint")
+    means = parts.groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("m"))
     mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))  # one row a dimension
     return mean.select(l2_normalize(F.col("mean")).alias("centroid"))

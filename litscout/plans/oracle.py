@@ -84,6 +84,8 @@ SQL = {
     "q_top1_similarity": f"SELECT a.vec_id, round(max({DOT}), 4) AS similarity FROM embeddings a, embeddings b WHERE a.label >= 5 AND b.label < 5 GROUP BY a.vec_id",
     "q_topk_similarity": f"""SELECT vec_id, rank, round(s, 4) AS similarity FROM (SELECT a.vec_id, {DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
         FROM embeddings a, embeddings b WHERE a.label >= 5 AND b.label < 5) WHERE rank <= 5""",
+    "q_cell_index": f"""SELECT vec_id, rank, round(s, 4) AS similarity FROM (SELECT a.vec_id, {DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
+        FROM embeddings a, embeddings b) WHERE rank <= 2""",
     "q_centroid": """WITH m AS (SELECT pos, avg(x::DOUBLE) AS m FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY pos)
         SELECT CAST(pos AS BIGINT) AS pos, round(m / (sqrt(sum(m * m) OVER ()) + 1e-12), 6) AS x FROM m""",
     "q_l2_normalize": """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE * (vec_id + 1) AS x FROM embeddings)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, scores, text
-from ..operators import cap, dedupe, enrich, fanin, profile, scoring, state, topic, vectors
+from ..operators import cap, cells, dedupe, enrich, fanin, profile, scoring, state, topic, vectors
 from ..sinks import feed, notes, report
 from ..sources import payloads
+from ..storage import shared_dir
 
 ASOF = "2024-01-31 00:00:00"
 LIBRARY, CANDIDATE = "source < 'src2'", "source >= 'src2'"
@@ -218,11 +219,20 @@ def q_top1_similarity(s, d):
 
 
 def q_topk_similarity(s, d):
-    """JN6, k = 5, the blocked way that large libraries take."""
+    """JN6, k = 5, by the index that large libraries take."""
     found = vectors.nearest(*halves(s, d), k=5, broadcast_bytes=40_000)
     return found.select(F.col("id").alias("vec_id"), F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
+def q_cell_index(s, d):
+    """JN6, SNK7, SRC22, SRC28: every vector's two nearest of all, itself included, by an index that was stored and loaded."""
+    x = t(s, d, "embeddings")
+    path = shared_dir(s)
+    cells.build(x.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))).save(path)
+    found, _ = cells.search(x.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), cells.Cells.load(s, path), 2)
+    return found.select(F.col("id").alias("vec_id"), F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
 def q_centroid(s, d):
     """AGG4."""
     return vectors.centroid(t(s, d, "embeddings")).select(F.posexplode("centroid").alias("pos", "x")).select(F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))

@@ -128,7 +128,7 @@ def test_nearest_in_tiles(monkeypatch):
     rng = np.random.default_rng(4)
     a, b = rng.integers(-2, 3, (30, 4)).astype(np.float32), rng.integers(-2, 3, (50, 4)).astype(np.float32)
     for k in (1, 3, 60):
-        got = sorted((int(i), -s, int(j)) for r, c, x in vectors._best(a, b, k) for i, j, s in zip(r, c, x))
+        got = sorted((int(i), -s, int(j)) for r, c, x in vectors.best(a, b, k) for i, j, s in zip(r, c, x))
         want = []
         for i in range(30):
             want += [(i, *p) for p in sorted((-float(a[i] @ b[j]), j) for j in range(50))[:k]]
