@@ -23,8 +23,8 @@ doubtful and the regions decide: it is left out if links hold over half of its c
 no line in a region; outside of a container also if less than half of its characters are in regions.
 
 Character references are decoded; white space becomes one space; lines are joined by one space. Null
-html is empty and gives an empty text, as does a page without content. Null ids and repeated rows are
-pages like others; an empty table gives no rows. Long pages are read whole: every event costs the same however
+html is empty and gives an empty text, as does a page without content. A comment, declaration or tag without an end reaches to the page's end and is no text. Null ids and repeated rows are
+pages like others; an empty table gives no rows; there are no ties; other columns, whatever their names, are not read. Long pages are read whole: every event costs the same however
 many elements are open.
 """
 
@@ -286,7 +286,7 @@ class Lines(HTMLParser):
             self.text.append(" ")
 
     def done(self) -> list[list]:
-        if re.match(r"</?[A-Za-z]", self.rawdata):  # a tag cut off by the page's end
+        if re.match(r"<[!?/A-Za-z]", self.rawdata):  # a tag, comment or declaration that the page's end cuts off
             self.rawdata = ""
         self.close()
         self.end_line()
@@ -305,7 +305,7 @@ def in_regions(lines: list[tuple]) -> tuple[list[bool], list[bool]]:
     own = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
     ratios = smoothed(np.pad(own, 1))
     prior = np.array([0.0 if row[-1] else 1.0 for row in lines])
-    bar = ratios.std()
+    bar = ratios.std() or np.inf  # lines that are all alike, as none has text, are no region
     return (ratios[1:-1] * prior >= bar).tolist(), (own >= bar).tolist()
 
 

@@ -116,15 +116,20 @@ def test_clusters_decide_about_doubtful_parts(monkeypatch):
     page = f"<article>{rest}{part.format('Short text')}</article>"
     assert main_text(page) == f"{LONG * 9}{' x' * 9}"
     assert main_text(page.replace("Short text", LONG * 9)) == f"{LONG * 9}{' x' * 9} {LONG * 9} b"
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
-    assert main_text(page) == f"{LONG * 9}{' x' * 9} Short text b"
 
 
-def test_regions_decide_about_marked_parts(monkeypatch):
-    page = f"<body><nav><a href=x>m</a></nav><div class='ad'>Buy</div><article><p>{LONG}</p><p>x</p></article><footer>f</footer>"
-    assert main_text(page) == f"{LONG} x"
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
-    assert main_text(page) == f"Buy {LONG} x f"
+def test_regions_are_the_text_of_pages_without_containers(monkeypatch):
+    page = f"<body><div><a href=x>m</a></div><div><a href=y>n</a></div><p>{LONG}</p><p>{LONG}</p><div><a href=x>f</a></div><div><a href=z>g</a></div>"
+    assert main_text(page) == f"{LONG} {LONG}"
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios[::-1].max() - ratios)
+    assert main_text(page) != f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("end", ["<!-- unclosed <p>Gamma", "<!DOCTYPE <p", "<? x <p", "<p class='x", "<!--" * 250_000, "</" * 100_000])
+def test_what_the_end_cuts_off_is_no_text(end):
+    began = time.process_time()
+    assert main_text("<p>Alpha beta</p>" + end) == "Alpha beta"
+    assert time.process_time() - began < 2
 
 
 def test_dense_lines_beside_containers():
