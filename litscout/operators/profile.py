@@ -2,16 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import stored
 from .vectors import centroid
 
+#: Values of a task's summary.
+SUMMARY = 4_096
+
+
+class Frequent:
+    """A Misra-Gries summary: counts of at most ``size`` values, each too small by ``lost`` at most; so are those of all other values, held as 0."""
+
+    def __init__(self, size: int):
+        self.size, self.count, self.lost = size, {}, 0
+
+    def add(self, counted: dict) -> None:
+        """Takes the counts of a batch; if there are too many, all are lowered by the count that follows the ``size`` greatest."""
+        for value, n in counted.items():
+            self.count[value] = self.count.get(value, 0) + n
+        if len(self.count) > self.size:
+            cut = sorted(self.count.values(), reverse=True)[self.size]
+            self.count = {v: n - cut for v, n in self.count.items() if n > cut}
+            self.lost += cut
+
+
+def candidates(values: DataFrame, value: str, n: int, size: int = SUMMARY) -> DataFrame | None:
+    """(value) of all values that may be among the n most frequent, ties included; none if the summaries do not tell, as when hardly any value is frequent."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Frequent(size)
+        for batch in batches:
+            counted = batch.column("v").value_counts()
+            held.add(dict(zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist())))
+        rows = [(v, c, False) for v, c in held.count.items()] + [(None, held.lost, True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch_type, pa.int64(), pa.bool_()))], names=["v", "n", "lost"])
+
+    kind = values.schema[value].dataType
+    batch_type = to_arrow_type(kind)
+    each = stored(values.select(F.col(value).alias("v")).where("v IS NOT NULL").mapInArrow(summarise, f"v {kind.simpleString()}, n bigint, lost boolean"))
+    lost = each.where("lost").agg(F.sum("n")).first()[0] or 0
+    sums = each.where("NOT lost").groupBy("v").agg(F.sum("n").alias("n"))
+    least = [r.n for r in sums.orderBy(F.desc("n")).select("n").limit(n).collect()]
+    if lost and (len(least) < n or least[-1] <= lost):
+        return None
+    return sums.where(F.col("n") >= (least[-1] if len(least) == n else 0) - lost).select("v")
+
+
+def top_counts(values: DataFrame, value: str, order: list[str], n: int = 20, size: int = SUMMARY) -> DataFrame:
+    """AGG3: the n most frequent values with counts and first places; ties by first occurrence in ``order``. Null values do not count.
 
-def top_counts(values: DataFrame, value: str, order: list[str], n: int = 20) -> DataFrame:
-    """AGG3: the n most frequent values with counts and first places; ties by first occurrence in ``order``."""
+    Two passes: summaries of at most ``size`` values for each task bound every count, and what may be among the first n is then counted exactly. What is shuffled
+    depends on the number of tasks, not of different values. Where no value stands out from the summaries' error, all are counted.
+    """
+    some = candidates(values, value, n, size)
+    if some is not None:
+        values = values.join(some.withColumnRenamed("v", value), value, "left_semi")
     first = F.min(F.struct(*order)).alias("first")
-    return values.groupBy(value).agg(F.count(F.lit(1)).alias("count"), first).orderBy(F.desc("count"), "first", value).limit(n)
+    return values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"), first).orderBy(F.desc("count"), "first", value).limit(n)
 
 
 def top_authors(library: DataFrame, n: int = 20) -> DataFrame:

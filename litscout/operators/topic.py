@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from ..config import Sources
 from ..functions.text import contains_any, haystack
 from .dedupe import keep_first
 
+#: Terms beyond which texts go through an automaton: a search in the JVM is faster for few, and each costs a pass.
+MANY_TERMS = 24
+
 
 @dataclass
 class Topics:
@@ -39,36 +44,82 @@ class Topics:
             s.require_topic_match,
         )
 
+    def terms(self) -> list[str]:
+        """All different terms that the predicate asks for."""
+        groups = [g for s in self.any_of for g in s] if self.any_of else self.groups
+        return sorted({x for g in [self.exclude, *groups, self.include if self.require_include else []] for x in g})
+
     def empty(self) -> bool:
         return not (self.include or self.exclude or self.groups or self.any_of)
 
 
-def all_groups(text: Column, groups: list[list[str]]) -> Column:
+#: Has the text one of these terms?
+Has = Callable[[list[str]], Column]
+
+
+def plainly(text: Column) -> Has:
+    """One search of the text for each term, in the JVM."""
+    return lambda terms: contains_any(text, terms)
+
+
+@lru_cache(8)
+def _automaton(terms: tuple[str, ...]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for i, term in enumerate(terms):
+        made.add_word(term, i)
+    made.make_automaton()
+    return made
+
+
+def found_terms(text: Column, terms: list[str]) -> Column:
+    """The numbers, ascending, of the terms that a text holds as substrings, overlapping ones too: one pass of an Aho-Corasick automaton, which a worker builds once."""
+    held = tuple(terms)
+
+    def run(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(held)
+        return pa.array([None if x is None else sorted({i for _, i in automaton.iter(x)}) for x in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(text)
+
+
+def by_automaton(text: Column, terms: list[str]) -> tuple[Column, Callable[[Column], Has]]:
+    """The terms found in a text, and what asks them; the found terms are to be bound once."""
+    number = {x: i for i, x in enumerate(terms)}
+    return found_terms(text, terms), lambda found: lambda some: F.arrays_overlap(found, F.array(*[F.lit(number[x]) for x in some])) if some else F.lit(False)
+
+
+def all_groups(has: Has, groups: list[list[str]]) -> Column:
     """FLT2: of every group some term is in the text."""
-    return reduce(lambda a, b: a & b, [contains_any(text, g) for g in groups], F.lit(True))
+    return reduce(lambda a, b: a & b, [has(g) for g in groups], F.lit(True))
 
 
-def any_set(text: Column, sets: list[list[list[str]]]) -> Column:
+def any_set(has: Has, sets: list[list[list[str]]]) -> Column:
     """FLT3: some set matches with all of its groups."""
-    return reduce(lambda a, b: a | b, [all_groups(text, g) for g in sets], F.lit(False))
+    return reduce(lambda a, b: a | b, [all_groups(has, g) for g in sets], F.lit(False))
 
 
-def on_topic(text: Column, t: Topics) -> Column:
+def on_topic(text: Column, t: Topics, many: int = MANY_TERMS) -> Column:
     """The predicate: no excluded term; then the sets, or else the groups; then, if asked for, an included term.
 
-    The text is bound once, however many terms there are.
+    The text is bound once, however many terms there are. Over ``many`` of them are found in one pass, so that their number hardly matters.
     """
-    return F.transform(F.array(text), lambda bound: _rules(bound, t))[0]
+    terms = t.terms()
+    if len(terms) <= many:
+        return F.transform(F.array(text), lambda bound: _rules(plainly(bound), t))[0]
+    found, asks = by_automaton(text, terms)
+    return F.transform(F.array(found), lambda bound: _rules(asks(bound), t))[0]
 
 
-def _rules(text: Column, t: Topics) -> Column:
-    keep = ~contains_any(text, t.exclude)
+def _rules(has: Has, t: Topics) -> Column:
+    keep = ~has(t.exclude)
     if t.any_of:
-        keep &= any_set(text, t.any_of)
+        keep &= any_set(has, t.any_of)
     elif t.groups:
-        keep &= all_groups(text, t.groups)
+        keep &= all_groups(has, t.groups)
     if t.require_include and t.include:
-        keep &= contains_any(text, t.include)
+        keep &= has(t.include)
     return keep
 
 

@@ -195,3 +195,57 @@ def test_sources_fail_alone():
     assert a.failed and not b.failed and fanin.all_failed([a]) and not fanin.all_failed([a, b]) and not fanin.all_failed([])
     with pytest.raises(KeyError):
         fanin.guarded("c", lambda: {}["x"])
+
+
+def test_many_terms_in_one_pass(spark):
+    rng = random.Random(4)
+    terms = ["".join(rng.choice("abc_%é ") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    s = Sources(
+        required_any_group_sets=[[terms[:9], terms[9:20]], [terms[20:22]]], exclude_keywords=terms[22:24] + ["ABC"], include_keywords=terms[24:50], require_topic_match=True
+    )
+    texts = ["".join(rng.choice("abc_%é ") for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", "abc"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(3)
+    t = topic.Topics.of(s)
+    assert len(t.terms()) > topic.MANY_TERMS
+    one, all_ = (sorted(r.i for r in df.where(topic.on_topic(F.col("x"), t, many)).collect()) for many in (0, 10**6))
+    assert one == all_ and 0 < len(one) < 300
+    found = {r.i: r.f for r in df.select("i", topic.found_terms(F.col("x"), terms).alias("f")).collect()}
+    assert found == {i: [k for k, term in enumerate(terms) if term in x and term not in terms[k + 1 :]] for i, x in enumerate(texts)}
+
+
+def test_the_number_of_terms_hardly_matters():
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(400)]
+
+    def cost(n):
+        automaton = topic._automaton(tuple(words[:n]))
+        began = time.process_time()
+        for _ in range(3):
+            for x in texts:
+                for _ in automaton.iter(x):
+                    pass
+        return time.process_time() - began
+
+    cost(10)
+    assert cost(1_000) < 5 * cost(10)
+
+
+@pytest.mark.parametrize("size", [4_096, 40, 3])
+def test_heavy_hitters_are_exact(spark, size):
+    rng = random.Random(size)
+    rows = [(i, f"v{int(rng.paretovariate(0.7))}" if rng.random() < 0.98 else None) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "ordinal int, author string").repartition(6)
+    count, first = {}, {}
+    for i, v in rows:
+        if v is not None:
+            count[v] = count.get(v, 0) + 1
+            first.setdefault(v, i)
+    want = sorted(count, key=lambda v: (-count[v], first[v]))[:12]
+    got = profile.top_counts(df, "author", ["ordinal"], 12, size).collect()
+    assert [(r.author, r["count"], r["first"].ordinal) for r in got] == [(v, count[v], first[v]) for v in want]
+    if size == 40:
+        assert profile.candidates(df, "author", 12, size).count() < 300  # of over 1,000 values
+    assert profile.top_counts(df.where("false"), "author", ["ordinal"], 3).count() == 0
