@@ -27,9 +27,9 @@ from .operators.scoring import rank_order
 from .operators.logtable import LogTable
 from .plans.watch import Steps, acquire, watch
 from .schema import LIBRARY
-from .sinks.feed import rss
+from .sinks.feed import write_rss
 from .sinks.notes import push
-from .sinks.report import log_lines, report, report_name
+from .sinks.report import log_lines, report_name, write_report
 from .sources import files
 from .sources.fetch import Endpoints, fetch_all, profile_venues
 from .sources.http import Client, with_key
@@ -132,13 +132,13 @@ class Run:
         empty = not ranked.limit(1).count()
         for line in log_lines(ranked, rank_order()):
             log.info(line)
-        out = self.base / "reports"
+        out = (self.base / "reports").resolve()
         out.mkdir(parents=True, exist_ok=True)
         if self.args.rss:
-            (out / "feed.xml").write_text(rss(ranked, rank_order(), self.asof), encoding="utf-8")
+            write_rss(ranked, rank_order(), self.asof, str(out / "feed.xml"))
         if self.args.report:
             name = "report-empty.html" if empty else self.spark.range(1).select(report_name(self.asof).alias("n")).first().n
-            (out / name).write_text(report(ranked, rank_order(), f"{self.now:%Y-%m-%d %H:%M:%S}"), encoding="utf-8")
+            write_report(ranked, rank_order(), f"{self.now:%Y-%m-%d %H:%M:%S}", str(out / name))
         if self.args.push and not empty:
             send, api = self.args.send, self.settings.library.api
             key = secret(api.api_key_env) if send else ""

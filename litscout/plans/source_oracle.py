@@ -100,3 +100,4 @@ SQL = {
         SELECT 'recency' AS step, count(*) AS removed FROM x WHERE NOT ok UNION ALL SELECT 'preprints', count(*) FROM cut WHERE pre AND p <= was""",
 }
 SQL["q_fuzzy_components"] = SQL["q_fuzzy_dedupe"]
+SQL["q_report_document"] = "SELECT row_number() OVER (ORDER BY (doc_id * 7919 % 1000) / 10::DOUBLE DESC, doc_id) AS rank, doc_id FROM documents"

@@ -18,7 +18,7 @@ from ..functions.embed import HashingEmbedder
 from ..operators import dedupe, profile, scoring, state, topic
 from ..operators.logtable import LogTable
 from ..schema import CANDIDATE_COLUMNS, CANDIDATES, LIBRARY
-from ..sinks import notes, report
+from ..sinks import report
 from ..sources import fetch, files, payloads
 from ..sources.datasource import LibrarySource
 from ..storage import shared_dir, stored
@@ -349,6 +349,20 @@ def q_state_log(s, d):
     return table.read().select(F.col("key").cast("bigint").alias("user_id"), "version", "title")
 
 
+def q_report_document(s, d):
+    """SNK11, WIN4 without a limit: the report of all documents as tasks wrote and the commit joined it; rank and title of its entries."""
+    score = F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 10
+    x = t(s, d, "documents").select(
+        F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("title"), F.lit("").alias("url"), score.alias("score"), F.lit(0.5).alias("similarity"), F.lit("consider").alias("label"),
+        F.lit(None).cast("timestamp").alias("published"), F.col("source").alias("venue"), F.lit(None).cast("string").alias("abstract"), F.array("lang").alias("authors"),
+    )
+    path = shared_dir(s)
+    report.write_report(x, scoring.rank_order(), "now", path)
+    lines = s.read.text(path).where(F.col("value").startswith("<section>"))
+    pick = lambda k, kind: F.regexp_extract("value", r'<h2>(\d+)\. <a href="#">(\d+)</a>', k).cast(kind)
+    return lines.select(pick(1, "bigint").alias("rank"), pick(2, "bigint").alias("doc_id"))
+
+
 # the whole
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_utc, rfc822
 from ..functions.text import empty_to_null
+from .document import write_document
 
 
 def escape(c: Column, quotes: bool = False) -> Column:
@@ -41,13 +42,16 @@ def item(asof: Column) -> Column:
     return F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>"))
 
 
-def items(ranked: DataFrame, order: list[Column], asof: Column) -> list[str]:
-    return [r.x for r in ranked.orderBy(*order).select(item(asof).alias("x")).collect()]  # the top rows
+def frame(asof_text: str, title: str, link: str, about: str) -> tuple[str, str]:
+    """What stands before and behind the items."""
+    from xml.sax.saxutils import escape as plain
 
+    head = f"<title>{plain(title)}</title><link>{plain(link)}</link><description>{plain(about)}</description><lastBuildDate>{asof_text}</lastBuildDate>"
+    return f"<?xml version='1.0' encoding='utf-8'?>\n<rss version=\"2.0\"><channel>{head}", "</channel></rss>"
 
-def rss(ranked: DataFrame, order: list[Column], asof: Column, title: str = "Literature feed", link: str = "https://example.com", about: str = "Newly published works") -> str:
-    from xml.sax.saxutils import escape as plain
 
+def write_rss(ranked: DataFrame, order: list[Column], asof: Column, path: str, title: str = "Literature feed", link: str = "https://example.com", about: str = "Newly published works") -> None:
+    """The feed of all rows in order, however many."""
     built = ranked.sparkSession.range(1).select(rfc822(asof).alias("d")).first().d
-    head = f"<title>{plain(title)}</title><link>{plain(link)}</link><description>{plain(about)}</description><lastBuildDate>{built}</lastBuildDate>"
-    return f"<?xml version='1.0' encoding='utf-8'?>\n<rss version=\"2.0\"><channel>{head}{''.join(items(ranked, order, asof))}</channel></rss>"
+    head, tail = frame(built, title, link, about)
+    write_document(ranked.orderBy(*order).select(item(asof).alias("text")), path, head, tail)

@@ -34,9 +34,9 @@ def collection_key(client: Client, base_url: str, name: str) -> str:
 
 
 def push(ranked: DataFrame, order: list[Column], client: Client, base_url: str, name: str = "Suggested", dry_run: bool = True) -> str:
-    """One POST of all notes; the body is returned, and by default nothing is sent."""
+    """One POST of all notes, which are built on the driver, as one request asks for; the body is returned, and by default nothing is sent."""
     key = "DRYRUN" if dry_run else collection_key(client, base_url, name)
-    body = "[" + ",".join(r.x for r in ranked.orderBy(*order).select(payload(key).alias("x")).collect()) + "]"  # the top rows
+    body = "[" + ",".join(r.x for r in ranked.orderBy(*order).select(payload(key).alias("x")).collect()) + "]"  # one request's notes
     if not dry_run and body != "[]":
         client.request("POST", f"{base_url}/items", body=body.encode())
     return body

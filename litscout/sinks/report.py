@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import empty_to_null
+from .document import ranked_anywhere, write_document
 from .feed import escape
 
 
@@ -27,10 +28,11 @@ def row_html() -> Column:
     )
 
 
-def report(ranked: DataFrame, order: list[Column], generated_at: str) -> str:
-    rows = numbered(ranked, order).orderBy("rank").select(row_html().alias("x")).collect()  # the top rows
-    body = "\n".join(r.x for r in rows)
-    return f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Reading list {generated_at}</title></head>\n<body><h1>Reading list</h1><p>Generated at {generated_at}</p>\n{body}\n</body></html>\n'
+def write_report(ranked: DataFrame, order: list[Column], generated_at: str, path: str) -> None:
+    """The report of all rows in order, however many."""
+    head = f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Reading list {generated_at}</title></head>\n<body><h1>Reading list</h1><p>Generated at {generated_at}</p>\n'
+    rows = ranked_anywhere(ranked, order).orderBy("rank").select(row_html().alias("text"))
+    write_document(rows, path, head, "\n</body></html>\n", "\n")
 
 
 def log_lines(ranked: DataFrame, order: list[Column], n: int = 10) -> list[str]:

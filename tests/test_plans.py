@@ -74,17 +74,23 @@ def ranked(spark):
     return spark.createDataFrame([(0, "i<0>", "A & B", None, [], None, None, None, 0.5, 0.1, "consider"), (1, "i1", '"Q"', "abs", ["X", "Y"], "http://u?a&b", datetime(2024, 1, 1), "V", 0.5, 0.2, "consider"), (2, "i2", "T", "", None, "", None, "", float("nan"), 0.0, "ignore")], RANKED)
 
 
-def test_feed_is_well_formed(spark):
+def written(write, *args, path, **more):
+    write(*args, path=path, **more)
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def test_feed_is_well_formed(spark, tmp_path):
     asof = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
-    items = ET.fromstring(feed.rss(ranked(spark), rank_order(), asof, title="a & b").split("\n", 1)[1]).findall("channel/item")
+    items = ET.fromstring(written(feed.write_rss, ranked(spark), rank_order(), asof, path=str(tmp_path / "feed.xml"), title="a & b").split("\n", 1)[1]).findall("channel/item")
     assert [i.findtext("title") for i in items] == ["A & B", '"Q"', "T"]  # equal scores keep their order, NaN is last
     assert items[0].findtext("pubDate") == "Wed, 31 Jan 2024 00:00:00 +0000" and items[0].find("link") is None
     assert items[0].findtext("description") == "Published: Unknown\nVenue: Unknown"
     assert items[1].findtext("description").startswith("abs\nPublished: 2024-01-01T00:00:00+00:00")
 
 
-def test_report_and_notes(spark):
-    page = report.report(ranked(spark), rank_order(), "now")
+def test_report_and_notes(spark, tmp_path):
+    page = written(report.write_report, ranked(spark), rank_order(), "now", path=str(tmp_path / "r.html"))
     HTMLParser().feed(page)
     assert '<a href="#">A &amp; B</a>' in page and "Score: 0.500" in page and "Authors: X, Y" in page and "&#34;Q&#34;" in page
     assert report.log_lines(ranked(spark), rank_order(), 1) == ["01 | 0.500 | consider | A & B"]
