@@ -274,6 +274,8 @@ def similar_titles(
     """
     same = left is right
     sides = [features(left, threshold)] if same else [features(left, threshold), features(right, threshold)]
+    if not all(d.limit(1).count() for d in sides):  # titles without words are all there are
+        return left.sparkSession.createDataFrame([], "t string, u string")
     words, spelling = alike_in_words(sides, threshold, frequent, key_rows), alike_in_spelling(sides, threshold, block)
     pairs = words.withColumn("spelled", F.lit(False)).union(spelling.withColumn("spelled", F.lit(True)))
     if same:

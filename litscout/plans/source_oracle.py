@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import CAP, DOT, HAY, RECENCY, TITLE, collapse, has
+from .oracle import CAP, DOT, HAY, RECENCY, TITLE, WORDS, collapse, has
 from .queries import ASOF, CANDIDATE, DOCS, LIBRARY
 
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
@@ -47,7 +47,7 @@ SQL = {
         SELECT 'graph' AS source, doc_id AS ordinal, CAST(doc_id AS VARCHAR) AS identifier, split_part(text, chr(10), 1) AS title, text AS abstract FROM documents
         UNION ALL SELECT 'registry', 1099511627776 + page_id, url, {TITLE}, NULL FROM pages UNION ALL SELECT 'arxiv', 2199023255552 + item_id, CAST(item_id AS VARCHAR), text, NULL FROM benchmark)""",
     "q_stored_items": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || '|' || source ELSE '' END AS creators, CAST(0 AS BIGINT) AS empty FROM documents",
-    "q_inverted_gaps": r"SELECT doc_id, 'zz gap first' AS text, w || ' ' || w AS word FROM (SELECT doc_id, regexp_extract(text, '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE w <> ''",
+    "q_inverted_gaps": f"SELECT doc_id, md5(string_agg(CASE WHEN pos = first THEN chr(2) || 'last' ELSE word END, ' ' ORDER BY pos)) AS digest FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id) AS first FROM {WORDS}) GROUP BY doc_id",
     "q_iso_parse": f"SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN {ISO.format('ts - INTERVAL 2 HOUR')} END AS at FROM events",
     "q_topic_settings": f"SELECT ordinal AS doc_id, 'literature' AS query FROM (SELECT ordinal, {HAY} AS h FROM {DOCS}) WHERE NOT {has('h', ['ouen the'])} AND {has('h', ['the ', 'tion'])}",
     "q_topics_empty": "SELECT min(doc_id) AS ordinal, source FROM documents GROUP BY source",
@@ -87,7 +87,7 @@ SQL = {
         SELECT user_id, version, title FROM r""",
     "q_stream_sync": f"SELECT user_id, event_id AS version, event_type AS title FROM {LAST.format('')}",
     "q_watch_flagship": f"""WITH lib AS (SELECT md5(text) AS k, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE {LIBRARY}),
-        c AS (SELECT * FROM (SELECT d.*, ts, value, md5(text) AS k, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents d JOIN events ON event_id = 20 * doc_id WHERE {CANDIDATE}) WHERE copy = 1),
+        c AS (SELECT * FROM (SELECT d.*, ts, value, md5(text) AS k, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents d JOIN events ON event_id = 20 * doc_id % (SELECT count(*) FROM events) WHERE {CANDIDATE}) WHERE copy = 1),
         f AS (SELECT * FROM (SELECT *, lower(concat_ws(' ', nullif(text, ''), source)) AS h FROM c) WHERE NOT {has('h', ['casino'])} AND ({has('h', ['the ', 'de '])} AND {has('h', ['tion', 'ment'])} OR {has('h', ['die'])}) AND k NOT IN (SELECT k FROM lib)),
         m AS (SELECT f.doc_id, max({DOT}) AS similarity FROM f JOIN embeddings a ON a.vec_id = f.doc_id, lib b GROUP BY f.doc_id),
         y AS (SELECT f.doc_id, source, ts, coalesce(similarity, 0.0::DOUBLE) AS similarity, coalesce(similarity, 0.0::DOUBLE) * 0.62 + ({RECENCY.format('ts', ASOF)}) * 0.1 + ({ALT.format('value')}) * 0.1 + {QUALITY} * 0.05

@@ -144,11 +144,12 @@ def q_stored_items(s, d):
 
 
 def q_inverted_gaps(s, d):
-    """S5, AGG9: positions with gaps; of two words on a slot the later entry wins."""
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    x = t(s, d, "documents").select("doc_id", F.slice(words, 1, 5).alias("w"), (F.size(words) > 0).alias("some")).where("some")
-    index = F.map_from_arrays(F.array(F.lit("first"), F.lit("gap"), F.lit("zz")), F.array(F.array(F.lit(0), F.lit(7)), F.array(F.lit(3)), F.array(F.lit(0))))
-    return x.select("doc_id", text.inverted_index_text(index).alias("text"), text.inverted_index_text(F.map_from_arrays(F.array(F.col("w")[0]), F.array(F.array(F.lit(2), F.lit(9))))).alias("word"))
+    """S5, AGG9: all words of a text at positions with gaps; of two words on a slot, here the first, the later entry wins."""
+    w = t(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).alias("pos", "word"))
+    lists = w.groupBy("doc_id", "word").agg(F.collect_list(F.col("pos") * 3).alias("at"))
+    last = F.array(F.struct(F.lit("\x02last").alias("word"), F.array(F.lit(0)).alias("at")))
+    index = lists.groupBy("doc_id").agg(F.map_from_entries(F.concat(F.collect_list(F.struct("word", "at")), last)).alias("index"))
+    return index.select("doc_id", F.md5(text.inverted_index_text(F.col("index"))).alias("digest"))
 
 
 def q_iso_parse(s, d):
@@ -369,7 +370,8 @@ def q_report_document(s, d):
 def q_watch_flagship(s, d):
     """Every step of ``plans.watch``, from the fan-in over topics, dedupe, similarity, scores, window and cap to the top 20 with lookups."""
     docs = t(s, d, "documents")
-    x = docs.join(t(s, d, "events"), F.col("event_id") == 20 * F.col("doc_id"))
+    events = t(s, d, "events")
+    x = docs.join(events, F.col("event_id") == F.pmod(20 * F.col("doc_id"), F.lit(events.count())))
     mine = x.where(CANDIDATE).select(
         F.when(F.col("source") == "src3", "arXiv").otherwise(F.col("source")).alias("source"), F.md5("text").alias("identifier"), F.lit("").alias("title"), F.col("text").alias("abstract"), F.array("lang").alias("authors"),
         F.concat(F.lit("10.1/"), F.md5("text")).alias("doi"), when_id(2, 0, F.lit("https://doi.org/10.1/x")).alias("url"), F.col("ts").cast("timestamp").alias("published"), F.col("source").alias("venue"), F.create_map(F.lit("cited_by"), "value").alias("metrics"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,4 +23,5 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(os.path.join(folder, "litscout"), "zip", os.path.dirname(kept)))
     finally:
         shutil.rmtree(os.path.join(folder, "tree"), True)
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file as long as it lives
     context._litscout_shipped = True
