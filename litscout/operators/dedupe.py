@@ -148,5 +148,5 @@ def self_dedupe(candidates: DataFrame, order: str = "ordinal", threshold: float
 
 def dedupe(candidates: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The whole step. Library conflicts do not depend on the order of candidates, so they go first."""
-    rest = fuzzy_not_in_library(not_in_library(candidates, library), library, threshold)
+    rest = fuzzy_not_in_library(stored(not_in_library(candidates, library)), library, threshold)  # read twice
     return self_dedupe(stored(rest), threshold=threshold)
