@@ -11,7 +11,10 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package, zipped, to the session's Python files; once per session."""
+    """Adds the package, zipped, to the session's Python files; once per session.
+
+    Planners of streams are Python processes beside the driver that look for those files in another folder: they find the package by its path here.
+    """
     context = spark.sparkContext
     if getattr(context, "_litscout_shipped", False):
         return
@@ -24,4 +27,6 @@ def ship(spark: SparkSession) -> None:
     finally:
         shutil.rmtree(os.path.join(folder, "tree"), True)
     atexit.register(shutil.rmtree, folder, True)  # the driver serves the file as long as it lives
+    paths = [os.path.dirname(here), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]
+    context.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
     context._litscout_shipped = True

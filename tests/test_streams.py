@@ -1,6 +1,9 @@
 """Page streams and keyed state, stopped and started again."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +88,28 @@ def test_keyed_state_guards_versions(spark, tmp_path):
         assert {r.key: (r.version, r.title) for r in table.read().collect()} == want
     last = table.pointer()
     assert sum(sum(d["rows"].values()) for d in last["deltas"]) + sum(last["rows"].values()) < 9  # what changed nothing was not written
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from litscout.shipping import ship
+from litscout.sources.datasource import LibrarySource
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+ship(spark)
+spark.dataSource.register(LibrarySource)
+pages = spark.readStream.format("library").option("folder", sys.argv[2] + "/in").load()
+pages.writeStream.format("parquet").option("path", sys.argv[2] + "/out").option("checkpointLocation", sys.argv[2] + "/check").trigger(availableNow=True).start().awaitTermination()
+print("rows", spark.read.parquet(sys.argv[2] + "/out").count())
+"""
+
+
+def test_stream_planner_finds_the_package_from_any_folder(tmp_path):
+    """A driver started elsewhere, whose environment does not name the package."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"key": "a"}\n{"key": "b"}\n')
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE, root, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
