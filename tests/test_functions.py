@@ -42,6 +42,13 @@ def test_inverted_index(spark):
     assert apply(df, text.inverted_index_text(F.col("x"))) == ["a b a c", None, "y", None, None]
 
 
+def test_inverted_index_of_words(spark):
+    df = column(spark, [[("b", 3), ("a", 6), ("b", 0)], [("", 1), (None, 2)], [], None, [("\xa0", 0), ("x", 1), ("\x1f", 2)]], "array<struct<word: string, at: int>>")
+    made = text.inverted_index(F.col("x"))
+    assert apply(df, made) == [{"a": [6], "b": [0, 3]}, {"": [1]}, None, None, {"\x1f": [2], "x": [1], "\xa0": [0]}]
+    assert apply(df, text.inverted_index_text(made)) == ["b b a", None, None, None, "x"]
+
+
 @pytest.mark.parametrize("value,want", [("2024-05", 2024), ("May-2021", 2021), ("c. 1999", None), ("12-2001", 12), (None, None), ("", None)])
 def test_first_year(spark, value, want):
     assert apply(column(spark, [value]), text.first_year(F.col("x"))) == [want]
