@@ -141,3 +141,12 @@ def test_entry_without_llm(monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", gone)
     assert entry.queries() and not any(n.startswith("op") for n in entry.queries()) and "pipeline" not in entry.oracle_sql()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+@pytest.mark.parametrize("name", ["q_inverted_index_text", "q_inverted_gaps"])
+def test_texts_are_shuffled_and_not_their_words(spark, name):
+    from litscout.plans import source_queries
+
+    plan = getattr(source_queries if name == "q_inverted_gaps" else queries, name)(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan  # no row for each word
