@@ -8,7 +8,8 @@ which Spark measures. What was written is folded in as it grows:
 * a bucket whose deltas hold over ``SHARE`` of its base rows is rewritten, the others stay as they are.
 
 So a row is rewritten about ``1 / SHARE`` times as often as its bucket's size is changed, and a batch of one percent of the rows costs one percent. The number of
-buckets follows the rows of the first write, one for each ``bucket_rows``. Every state is one pointer, renamed into place, that names a generation for each bucket, the deltas and
+buckets follows the rows of the first write, one for each ``bucket_rows``; beyond ``FEW`` buckets they grow up to ``BUCKET_ROWS`` rows before there are more. Buckets share
+folders, ``FOLDERS`` of them or one for each ``BUCKET_ROWS`` rows, as a file costs a rewrite and a read much whatever it holds. Every state is one pointer, renamed into place, that names a generation for each bucket, the deltas and
 what is stored beside (the cursor): readers of an older pointer keep what they read, a run that dies leaves only files without a pointer, and ``vacuum``
 removes what no pointer since a given one names.
 
@@ -24,6 +25,9 @@ from ..storage import stored
 from .state import Snapshots
 
 BUCKET_ROWS, MOST_DELTAS, SHARE = 1_000_000, 8, 0.25
+#: Buckets up to which small ``bucket_rows`` are kept to; folders that small buckets are written to.
+FEW, FOLDERS = 256, 16
+BASE = "__bucket int, __generation int"
 MORE = "__bucket int, __deleted boolean, __batch bigint"
 
 
@@ -36,12 +40,25 @@ class LogTable(Snapshots):
         self.names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
         self.bucket_rows, self.most_deltas, self.share = bucket_rows, most_deltas, share
 
+    def _layout(self, rows: int) -> tuple[int, int]:
+        """How many buckets the first rows are dealt to, and in how many folders these are."""
+        large = -(-rows // BUCKET_ROWS)
+        buckets = max(1, min(-(-rows // self.bucket_rows), max(FEW, large)))
+        return buckets, min(buckets, max(FOLDERS, large))
+
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
 
     def _base(self, at: dict, buckets: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/base-{g}/__bucket={b}" for b, g in at.get("base", {}).items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        base = {int(b): g for b, g in at.get("base", {}).items() if buckets is None or int(b) in buckets}
+        paths = sorted({f"{self.path}/base-{g}/__folder={b % at['folders']}" for b, g in base.items()})
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, {BASE}").parquet(*paths)
+        if buckets is not None:
+            rows = rows.where(F.col("__bucket").isin(*base))  # files are sorted by it
+        # a folder of a generation may hold buckets that a later one rewrote
+        return rows.where(F.get(F.lit([base.get(b, -1) for b in range(at["buckets"])]), "__bucket") == F.col("__generation")).select(*self.names)
 
     def _deltas(self, at: dict, buckets: set[int] | None = None) -> DataFrame:
         """The last row of each key that the deltas hold, or its tombstone."""
@@ -70,8 +87,8 @@ class LogTable(Snapshots):
         """Replaces all rows."""
         n = self.pointer()["version"] + 1
         rows = stored(df.where(F.col(self.key).isNotNull()).select(*self.names))
-        buckets = max(1, -(-rows.count() // self.bucket_rows))
-        return self._commit(n, beside | {"buckets": buckets} | self._rewrite(n, rows.withColumn("__bucket", self._bucket(buckets)), {}, {}) | {"deltas": []})
+        buckets, folders = self._layout(rows.count())
+        return self._commit(n, beside | {"buckets": buckets, "folders": folders} | self._rewrite(n, rows.withColumn("__bucket", self._bucket(buckets)), folders, {}, {}) | {"deltas": []})
 
     def append(self, rows: DataFrame, deleted: DataFrame | None = None, **beside: object) -> int:
         """A batch: ``rows`` replace those of their keys, ``deleted`` keys go. What is stored beside stays unless given anew."""
@@ -99,9 +116,10 @@ class LogTable(Snapshots):
         counted = self.spark.read.schema(f"{self.schema}, {MORE}").parquet(f"{self.path}/{name}").groupBy("__bucket").count().collect()  # as many as buckets
         return [{"name": name, "rows": {str(r[0]): r[1] for r in counted}}] if counted else []
 
-    def _rewrite(self, n: int, rows: DataFrame, base: dict, held: dict) -> dict:
+    def _rewrite(self, n: int, rows: DataFrame, folders: int, base: dict, held: dict) -> dict:
         """Writes buckets (rows with __bucket) as generation n; the pointer's part for them and for those of ``base`` and ``held`` that stay."""
-        rows.repartition("__bucket").sortWithinPartitions("__bucket", self.key).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/base-{n}")
+        placed = rows.withColumns({"__generation": F.lit(n).cast("int"), "__folder": F.pmod("__bucket", F.lit(folders))})
+        placed.repartition("__folder").sortWithinPartitions("__folder", "__bucket", self.key).write.mode("overwrite").partitionBy("__folder").parquet(f"{self.path}/base-{n}")
         counted = {str(r[0]): r[1] for r in rows.groupBy("__bucket").count().collect()}  # as many as buckets
         return {"base": base | dict.fromkeys(counted, n), "rows": held | counted}
 
@@ -118,7 +136,7 @@ class LogTable(Snapshots):
             base, deltas = self._base(at, numbers), self._deltas(at, numbers)
             merged = base.join(deltas.select(self.key), self.key, "left_anti").select(*self.names).union(deltas.where("NOT __deleted").select(*self.names))
             stay = [{b: x for b, x in at[k].items() if b not in full} for k in ("base", "rows")]
-            out |= self._rewrite(n, stored(merged.withColumn("__bucket", self._bucket(at["buckets"]))), *stay)
+            out |= self._rewrite(n, stored(merged.withColumn("__bucket", self._bucket(at["buckets"]))), at["folders"], *stay)
             rest = self._deltas(at, {int(b) for b in changed} - numbers) if len(full) < len(changed) else None
             out["deltas"] = self._delta(n, rest) if rest is not None else []
         elif len(at["deltas"]) > self.most_deltas:

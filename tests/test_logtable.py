@@ -77,3 +77,16 @@ def test_reads_skip_other_buckets(spark, tmp_path):
     table = LogTable(spark, str(tmp_path), SCHEMA, bucket_rows=50)
     table.append(frame(spark, [(f"k{i}", 0) for i in range(400)]))
     assert len(table.read(of=keys(spark, ["k7"])).inputFiles()) < len(table.read().inputFiles()) / 3
+
+
+def test_many_small_buckets_share_few_files(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path), "key string, version bigint", bucket_rows=4)
+    rows = spark.range(4_000).select(F.col("id").cast("string").alias("key"), F.lit(0).cast("bigint").alias("version"))
+    table.append(rows)
+    for batch in (1, 2):  # half of the buckets are rewritten, those left stay where they are
+        table.append(rows.where(table._bucket(table.pointer()["buckets"]) % 2 == batch - 1).withColumn("version", F.lit(batch).cast("bigint")))
+        at = table.pointer()
+        assert at["buckets"] <= 256 and set(at["base"].values()) == {batch - 1, batch}
+        assert len(table.read().inputFiles()) <= 64
+        assert table.read().groupBy("version").count().orderBy("version").collect()[-1][0] == batch and table.read().count() == 4_000
+    assert table.read().agg(F.count_distinct("key")).first()[0] == 4_000 and table.read().where("version = 0").count() == 0
