@@ -249,3 +249,12 @@ def test_heavy_hitters_are_exact(spark, size):
     if size == 40:
         assert profile.candidates(df, "author", 12, size).count() < 300  # of over 1,000 values
     assert profile.top_counts(df.where("false"), "author", ["ordinal"], 3).count() == 0
+
+
+def test_rows_without_a_title_are_not_gathered_to_meet_the_library(spark):
+    rows = spark.range(1_000).select(F.col("id").alias("ordinal"), F.lit("").alias("title"))
+    library = spark.createDataFrame([("a title of the library",), ("",)], "title string")
+    out = dedupe.fuzzy_not_in_library(rows, library)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert out.count() == 1_000
