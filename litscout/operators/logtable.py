@@ -51,7 +51,10 @@ class LogTable(Snapshots):
 
     def _base(self, at: dict, buckets: set[int] | None = None) -> DataFrame:
         base = {int(b): g for b, g in at.get("base", {}).items() if buckets is None or int(b) in buckets}
-        paths = sorted({f"{self.path}/base-{g}/__folder={b % at['folders']}" for b, g in base.items()})
+        paths = sorted({f"{self.path}/base-{g}/__folder={b % at.get('folders', 1)}" for b, g in base.items()})
+        if "folders" not in at:  # a table of before buckets shared folders
+            paths = [f"{self.path}/base-{g}/__bucket={b}" for b, g in base.items()]
+            return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(f"{self.schema}, {BASE}").parquet(*paths)
@@ -93,6 +96,9 @@ class LogTable(Snapshots):
     def append(self, rows: DataFrame, deleted: DataFrame | None = None, **beside: object) -> int:
         """A batch: ``rows`` replace those of their keys, ``deleted`` keys go. What is stored beside stays unless given anew."""
         at = self.pointer()
+        if "buckets" in at and "folders" not in at:  # laid out anew once
+            self.write(self.read(), **{k: x for k, x in at.items() if k not in ("version", "buckets", "base", "rows", "deltas")})
+            at = self.pointer()
         n = at["version"] + 1
         rows = rows.where(F.col(self.key).isNotNull()).select(*self.names).dropDuplicates([self.key])
         if deleted is not None:

@@ -90,3 +90,15 @@ def test_many_small_buckets_share_few_files(spark, tmp_path):
         assert len(table.read().inputFiles()) <= 64
         assert table.read().groupBy("version").count().orderBy("version").collect()[-1][0] == batch and table.read().count() == 4_000
     assert table.read().agg(F.count_distinct("key")).first()[0] == 4_000 and table.read().where("version = 0").count() == 0
+
+
+def test_a_table_without_folders_is_read_and_laid_out_anew(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path), SCHEMA, bucket_rows=5)
+    rows = frame(spark, [(f"k{i}", 0) for i in range(10)]).withColumn("__bucket", table._bucket(2))
+    rows.write.partitionBy("__bucket").parquet(f"{tmp_path}/base-0")
+    held = {str(r[0]): r[1] for r in rows.groupBy("__bucket").count().collect()}
+    table._commit(0, {"buckets": 2, "base": dict.fromkeys(held, 0), "rows": held, "deltas": [], "cursor": 7})
+    assert table.read().count() == 10 and content(table.read(of=keys(spark, ["k3"]))) == [("k3", 0, "k3")]
+    table.append(frame(spark, [("k3", 1)]), keys(spark, ["k4"]))
+    assert content(table.read()) == sorted((f"k{i}", int(i == 3), f"k{i}") for i in range(10) if i != 4)
+    assert table.pointer()["cursor"] == 7 and table.pointer()["folders"] >= 1
