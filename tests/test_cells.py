@@ -57,3 +57,25 @@ def test_centroid_of_odd_vectors(spark):
     want = np.array([2.0, 2.0, 5.0])
     assert vectors.centroid(df).first()[0] == pytest.approx((want / np.linalg.norm(want)).tolist())
     assert vectors.centroid(df.where("false")).first()[0] == []
+
+
+def test_a_query_is_sent_to_a_bounded_number_of_groups(spark, monkeypatch):
+    """On vectors without clusters every cell is looked at; a query is still sent to the groups alone, not to each cell."""
+    monkeypatch.setattr(cells, "GROUPS", 4)
+    lib = clustered(5, 2_500, spread=3.0, dims=32)
+    index = cells.build(frame(spark, lib, "key"))
+    got, looked = cells.search(frame(spark, lib[:200], "id"), index, 3)
+    assert sorted((r.id, r.key, r["rank"]) for r in got.collect()) == brute(lib[:200], lib, 3)
+    assert len(index.number) > 30 and cells.products(looked, index) > 0.5 * 200 * 2_500
+    assert max(len(r.parts) for r in looked[1].collect()) <= 4
+    assert sum(len(r.parts) for d in looked for r in d.collect()) < 6 * 200
+
+
+def test_best_above_a_floor():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(-3, 4, (600, 6)), rng.integers(-3, 4, (9_000, 6))
+    score = x @ y.T
+    floor = np.sort(score, axis=1)[:, -5].astype(float)
+    for k in (1, 4, 9):
+        want = [(i, j, score[i, j]) for i in range(len(x)) for j in np.lexsort((np.arange(len(y)), -score[i]))[:k] if score[i, j] >= floor[i]]
+        assert [t for part in vectors.best(x, y, k, floor) for t in zip(*(p.tolist() for p in part))] == want
