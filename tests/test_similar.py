@@ -129,3 +129,23 @@ def test_few_pairs_are_compared():
     block = block_of([similar.distinct_words(" ".join(rng.sample(vocabulary, 8))) for _ in range(3_000)])
     passed = sum(len(i) for i, _ in similar.near_spelling(block, block, 0.9)) - 3_000
     assert passed < 0.0001 * 3_000**2
+
+
+def test_titles_alike_throughout_are_handed_on_in_parts():
+    """Where every pair is alike, no more pairs are held than are looked at together."""
+    block = block_of([similar.distinct_words(f"the same words of a title again and again {i:04d}") for i in range(3_000)])
+    most = similar.CANDIDATE_CELLS // block.spread
+    parts = [len(i) for i, _ in similar.near_spelling(block, block, 0.9)]
+    assert sum(parts) == 3_000**2 and max(parts) <= most
+
+
+def test_the_letters_leave_few_pairs_to_look_at(monkeypatch):
+    """Titles of one vocabulary share many letter pairs; what the first product passes is a small part of all pairs."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    block = block_of([similar.distinct_words(" ".join(rng.sample(vocabulary, 12))) for _ in range(2_000)])
+    looked = []
+    minimum = similar.np.minimum
+    monkeypatch.setattr(similar.np, "minimum", lambda a, b: looked.append(len(a)) or minimum(a, b))
+    list(similar.near_spelling(block, block, 0.9))
+    assert 2_000 <= sum(looked) < 0.01 * 2_000**2
