@@ -149,3 +149,10 @@ def test_the_letters_leave_few_pairs_to_look_at(monkeypatch):
     monkeypatch.setattr(similar.np, "minimum", lambda a, b: looked.append(len(a)) or minimum(a, b))
     list(similar.near_spelling(block, block, 0.9))
     assert 2_000 <= sum(looked) < 0.01 * 2_000**2
+
+
+def test_posts_come_in_small_parts():
+    """A title of frequent words has hundreds of posts; those of a few titles are held at once, however large the batch."""
+    rows = [{"id": i, "size": 60, "words": [{"n": 10_000, "word": f"w{k}"} for k in range(12)]} for i in range(2_000)]
+    sizes = [b.num_rows for b in similar.posts_of(iter([pa.RecordBatch.from_pylist(rows)]), 0.9, 200, [(False, True), (False, False)])]
+    assert sum(sizes) > 100_000 and max(sizes) < 50_000
