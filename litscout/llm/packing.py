@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .common import slices, spread_row_number, table, text_of
-from .tokens import encoder, tokenizer_file
+from .tokens import AT_ONCE, encoder, tokenizer_file
 
 WINDOW, END = 4096, 2
 MOST_COMBINATIONS = 40_000
@@ -157,13 +157,13 @@ def make_plan(counts: np.ndarray, window: int = WINDOW) -> Plan:
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, last = encoder(path).ids, end.to_bytes(4, "little")
+        ids, last = encoder(path).all, end.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column("text")
-            for a in range(0, len(texts), 512):
-                part = [ids(t.as_py()) + last for t in texts[a : a + 512]]
+            for a in range(0, len(texts), AT_ONCE):
+                part = [x + last for x in ids(texts.slice(a, AT_ONCE).to_pylist())]
                 n = pa.array([len(x) // 4 for x in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 512), n, pa.array(part, pa.binary())], names=["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, AT_ONCE), n, pa.array(part, pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 

@@ -3,14 +3,16 @@
 ``encoder(path)`` gives exactly the library's ids. For the word vocabulary white space is dropped and
 nothing is merged across it, so a text is split at white space and only words not met before go to the
 library. Texts of plain letters, digits and marks are split into letters, digits and marks, as the library's
-splitter does it, which leaves fewer different words. A worker keeps what it met and starts anew beyond a
-fixed number of words. Texts in
+splitter does it, which leaves fewer different words; many such texts are split at once, their different words
+are looked up once, and a word not met before goes to the library's merges alone. A worker keeps what it met
+and starts anew beyond a fixed number of words. Texts in
 which that does not hold (special strings, U+001C to U+001F) go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,15 @@ from ..storage import shared_dir
 from .common import SPACE_RUN, table, text_of, worker_memo
 
 MOST_WORDS = 900_000
+#: Texts encoded in one call.
+AT_ONCE = 512
 #: Texts of letters without normal forms or odd lower case, digits, marks but the apostrophe, and white space;
-#: and what the library's splitter parts such a text into once it is in lower case.
+#: and how the library's splitter parts such a text once it is in lower case: runs of letters, single digits, runs of marks.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9 \t-\r\x85\xa0!-&(-/:-@\[-`{-~]*")
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+DROPPED, LETTER, MARK, DIGIT, TEXT_END = range(5)
+KINDS = np.zeros(256, np.uint8)
+for _kind, _these in ((LETTER, "[a-zß-öø-ÿ]"), (DIGIT, "[0-9]"), (MARK, r"[!-&(-/:-@\[-`{-~]"), (TEXT_END, r"\0")):
+    KINDS[[i for i in range(256) if re.match(_these, chr(i))]] = _kind
 #: U+001C to U+001F split words for Python but not for the library; "<|" may begin a special string.
 UNEVEN = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -58,43 +65,65 @@ class Encoder:
             self.whole = lambda text: model.encode(text, add_special_tokens=False).ids
             self.by_word = splits_at_space(path)
             if self.by_word:
-                ends = np.zeros(model.get_vocab_size(), bool)
-                ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
-                self.ends = ends
+                self.merge = model.model.tokenize
+                # the letters that the splitter writes a character's bytes as
+                self.written = {c: model.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in np.flatnonzero(KINDS).tolist() if KINDS[c] != TEXT_END}
         self.path = path
 
     @property
-    def known(self) -> dict[str, bytes]:
+    def known(self) -> dict[str | bytes, bytes]:
+        """The ids of words: bytes (Latin-1) are those of plain texts."""
         return worker_memo(f"ids {self.path}")
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds the ids of words that the library leaves whole, all in one call."""
-        ids, known = np.array(self.whole(" ".join(new)), "<u4"), self.known
-        stops = np.flatnonzero(self.ends[ids]) + 1  # each ends with an id that ends a word
-        if len(stops) == len(new):
-            raw, at = ids.tobytes(), 0
-            for word, stop in zip(new, (4 * stops).tolist()):
-                known[word] = raw[at:stop]
-                at = stop
-        else:
-            for word in new:
-                known[word] = np.array(self.whole(word), "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
+    def _look_up(self, words: list, learn) -> list[bytes]:
+        known = self.known
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) + found.count(None) > MOST_WORDS:
+                known.clear()
+            for i, word in enumerate(words):
+                if found[i] is None:
+                    if (ids := known.get(word)) is None:
+                        ids = known[word] = learn(word)
+                    found[i] = ids
+        return found
+
+    def _merged(self, word: bytes) -> bytes:
+        """The ids of one word of a plain text; the end of a text has none."""
+        if word == b"\0":
+            return b""
+        return array("I", [t.id for t in self.merge(word.decode("latin-1").translate(self.written))]).tobytes()
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are plain: their words are found, numbered and replaced by ids in one array for all."""
+        letters = np.frombuffer("\0".join([*texts, ""]).lower().encode("latin-1"), np.uint8)
+        kinds = KINDS[letters]
+        starts = (kinds >= DIGIT) | (np.diff(kinds, prepend=np.uint8(DROPPED)) != 0)
+        there = kinds != DROPPED
+        letters, starts = letters[there], np.flatnonzero(starts[there])
+        offsets = np.append(starts, len(letters)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        raw = self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._merged)
+        sizes, word = np.fromiter(map(len, raw), np.int64, len(raw)) // 4, words.indices.to_numpy()
+        first, n = np.cumsum(sizes) - sizes, sizes[word]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[word] - upto + n, n) + np.arange(n.sum())].tobytes()
+        ends = (4 * upto[letters[starts] == 0]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _ids(self, text: str) -> bytes:
         if not self.by_word or UNEVEN.search(text):
             return np.array(self.whole(text), "<u4").tobytes()
-        plain = PLAIN.fullmatch(text)
-        words, known = PARTS.findall(text.lower()) if plain else text.split(), self.known
-        if new := set(words).difference(known):
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = set(words)
-            if plain:
-                self._learn(list(new))
-            else:
-                for word in new:
-                    known[word] = np.array(self.whole(word), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(self._look_up(text.split(), lambda word: np.array(self.whole(word), "<u4").tobytes()))
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [self.by_word and "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        found = iter(self._plain([t for t, p in zip(texts, plain) if p])) if any(plain) else iter(())
+        return [next(found) if p else self._ids(t) for t, p in zip(texts, plain)]
+
+    def ids(self, text: str) -> bytes:
+        return self.all([text])[0]
 
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
@@ -143,9 +172,10 @@ def content_digest(text: Column, version: str) -> Column:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path).count
+        ids = encoder(path).all
         for batch in batches:
-            n = pa.array([count(t) for t in batch.column("text").to_pylist()], pa.int64())
+            texts = batch.column("text")
+            n = pa.array([len(x) // 4 for a in range(0, len(texts), AT_ONCE) for x in ids(texts.slice(a, AT_ONCE).to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), n], names=["digest", "n_tokens"])
 
     return run

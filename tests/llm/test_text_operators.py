@@ -386,6 +386,29 @@ def test_counts_equal_the_library(spark):
     assert tokens.count_tokens(documents(spark, [])).count() == 0
 
 
+def test_plain_texts_are_encoded_together():
+    """Words of plain texts are merged once each, and no text goes to the library whole; ids are the library's, beside other texts and when a worker starts anew."""
+    path, rng = tokens.tokenizer_file(), random.Random(4)
+    letters = "aabcdeXYZßÀéÖöøØÿÞ01-/_{~!\"\t\n\r \x85\xa0  "
+    plain = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["", " ", "a", "\n-\n", "A" * 5_000, "9" * 300]
+    e = tokens.Encoder(path)
+    want = {t: np.array(e.whole(t), "<u4").tobytes() for t in plain}
+    merge, merged = e.merge, []
+    e.whole, e.merge = None, lambda word: merged.append(word) or merge(word)
+    e.known.clear()
+    assert e.all(plain) == [want[t] for t in plain] and e.all(plain[::-1]) == [want[t] for t in plain[::-1]]
+    assert len(merged) == len(set(merged)) > 1_000
+    e = tokens.Encoder(path)
+    mixed = plain + ["\0", "a\0b", "it's", "日本 語", "a\x1cb", "<|startoftext|> x", "× ÷ µ", "e\u0301"]
+    rng.shuffle(mixed)
+    try:
+        tokens.MOST_WORDS, most = 50, tokens.MOST_WORDS
+        assert [x for i in range(0, len(mixed), 7) for x in e.all(mixed[i : i + 7])] == [np.array(e.whole(t), "<u4").tobytes() for t in mixed]
+    finally:
+        tokens.MOST_WORDS = most
+    assert e.all([]) == []
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(spark, name):
     e = tokens.encoder(tokens.tokenizer_file(name))
